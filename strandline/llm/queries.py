@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .quality import op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

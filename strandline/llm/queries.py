@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .quality import op1_quality
+from .secrets import op7_secrets
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_bpe": op5_bpe,
+    "op7_secrets": op7_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

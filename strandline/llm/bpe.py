@@ -25,54 +25,109 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 class MinimalPerfectHash:
-    """Hash and displace: a key's bucket has a seed under which the bucket's keys fall into free slots; slots = keys."""
+    """Hash and displace: under its seed a bucket's keys fall into free slots; there are as many slots as keys.
 
-    def __init__(self, keys: list[bytes], load: float = 3.0) -> None:
+    A bucket of one key stores a free slot itself, as a negative seed.
+    """
+
+    def __init__(self, keys: list[bytes], load: float = 2.0) -> None:
         self.n = max(1, len(keys))
         self.buckets = max(1, math.ceil(len(keys) / load))
-        groups: list[list[int]] = [[] for _ in range(self.buckets)]
+        groups: list[list[tuple[int, int]]] = [[] for _ in range(self.buckets)]
         for i, k in enumerate(keys):
-            groups[xxhash.xxh3_64_intdigest(k) % self.buckets].append(i)
+            h = xxhash.xxh3_64_intdigest(k)
+            groups[h % self.buckets].append((h, i))
         self.seeds = [0] * self.buckets
         self.order = [0] * self.n
         free = bytearray(b"\1") * self.n
-        for g in sorted(range(self.buckets), key=lambda g: -len(groups[g])):
-            if not groups[g]:
-                continue
-            seed = 1
+        sizes = sorted(range(self.buckets), key=lambda g: -len(groups[g]))
+        for g in sizes:
+            if len(own := groups[g]) < 2:
+                break
+            seed, slots = 0, [0] * len(own)
             while True:
-                slots = [xxhash.xxh3_64_intdigest(keys[i], seed) % self.n for i in groups[g]]
+                seed += 1
+                slots = [self.displaced(h, seed) for h, _ in own]
                 if all(free[s] for s in slots) and len(set(slots)) == len(slots):
                     break
-                seed += 1
             self.seeds[g] = seed
-            for i, s in zip(groups[g], slots, strict=True):
+            for (_, i), s in zip(own, slots, strict=True):
                 free[s] = 0
                 self.order[s] = i
+        left = iter([s for s in range(self.n) if free[s]])
+        for g in sizes:
+            if len(groups[g]) == 1:
+                s = next(left)
+                self.seeds[g], self.order[s] = -1 - s, groups[g][0][1]
+
+    def displaced(self, h: int, seed: int) -> int:
+        return ((h ^ (seed * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93 >> 32 & 0xFFFFFFFF) % self.n
 
     def slot(self, key: bytes) -> int:
         """The slot of a key; any slot for what is not a key."""
-        return xxhash.xxh3_64_intdigest(key, self.seeds[xxhash.xxh3_64_intdigest(key) % self.buckets]) % self.n
+        h = xxhash.xxh3_64_intdigest(key)
+        seed = self.seeds[h % self.buckets]
+        return -1 - seed if seed < 0 else self.displaced(h, seed)
+
+
+def token_table(rank_file: str) -> list[tuple[bytes, int]]:
+    """(token, rank) of a rank file in the tiktoken format: base64 of the token's bytes, blank, rank."""
+    with open(rank_file, "rb") as f:
+        return [(base64.b64decode(t), int(r)) for t, r in (line.split() for line in f if line.strip())]
+
+
+class Decoder:
+    """Ids to bytes: all tokens' bytes in one array, and where each id's bytes start."""
+
+    def __init__(self, rank_file: str) -> None:
+        bytes_of = {r: t for t, r in token_table(rank_file)}
+        tokens = [bytes_of.get(i, b"") for i in range(max(bytes_of, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of ids, gathered without a loop over ids. An id that the file does not have, but lies below its highest, has none."""
+        ids = np.asarray(ids, dtype=np.int64)
+        if not len(ids):
+            return b""
+        first = self.start[ids]
+        size = self.start[ids + 1] - first
+        shift = np.repeat(first - (np.cumsum(size) - size), size)
+        return self.flat[shift + np.arange(len(shift))].tobytes()
+
+
+class Memo:
+    """A dictionary in two generations, each of at most ``most`` entries: entries used lately survive when one is full."""
+
+    def __init__(self, most: int) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def get(self, key: str) -> bytes | None:
+        if (x := self.new.get(key)) is None and (x := self.old.get(key)) is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        if len(key) <= 64:
+            self.new[key] = value
 
 
 class Tokenizer:
     """Encoder and decoder over a rank file in the tiktoken format (base64 of the token's bytes, blank, rank)."""
 
-    def __init__(self, rank_file: str, pattern: str, cache_size: int = 400_000) -> None:
-        pairs = []
-        with open(rank_file, "rb") as f:
-            for line in f:
-                if line.strip():
-                    token, rank = line.split()
-                    pairs.append((base64.b64decode(token), int(rank)))
+    def __init__(self, rank_file: str, pattern: str, segments: int = 100_000, pieces: int = 300_000) -> None:
+        pairs = token_table(rank_file)
         self.ranks = dict(pairs)
-        self.bytes_of = {r: t for t, r in pairs}
         self.hash = MinimalPerfectHash([t for t, _ in pairs])
         self.slots = [pairs[i] for i in self.hash.order]
         self.pieces = regex.compile(pattern).findall
@@ -82,9 +137,7 @@ class Tokenizer:
             for k in range(1, len(t)):
                 if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None:
                     self.pairs[(a << 32) + b] = r
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.cache, self.known = Memo(segments), Memo(pieces)
 
     def whole(self, piece: bytes) -> int | None:
         """Tier one: the id of a piece that is a token."""
@@ -126,7 +179,7 @@ class Tokenizer:
         """Ids of a pre-token as little-endian int32."""
         b = piece.encode("utf-8", "surrogatepass")
         found = self.whole(b)
-        return struct.pack("<i", found) if found is not None else np.array(self.merged(b), dtype="<i4").tobytes()
+        return struct.pack("<i", found) if found is not None else struct.pack(f"<{len(m := self.merged(b))}i", *m)
 
     def encode_segment(self, segment: str) -> bytes:
         """Ids of a segment. Most are a blank and letters, then perhaps one stop or comma; the pattern cuts the rest."""
@@ -140,11 +193,8 @@ class Tokenizer:
         for p in pieces:
             if (x := get(p)) is None:
                 x = self.encode_piece(p)
-                if len(p) <= 64:
-                    self.known[p] = x
+                self.known.put(p, x)
             out.append(x)
-        if len(self.known) > self.cache_size:
-            self.known.clear()
         return out[0] if len(out) == 1 else b"".join(out)
 
     def segments(self, text: str) -> list[str]:
@@ -163,43 +213,21 @@ class Tokenizer:
     def encode_array(self, text: str) -> np.ndarray:
         """Ids of a text, as int32."""
         segments = self.segments(text)
-        get = self.cache.get
-        found = [get(s) for s in segments]
+        found = list(map(self.cache.new.get, segments))
         if None in found:
-            cache = self.cache
+            get, put = self.cache.get, self.cache.put
             for i, x in enumerate(found):
                 if x is None:
                     s = segments[i]
                     if (x := get(s)) is None:
                         x = self.encode_segment(s)
-                        if len(s) <= 64:
-                            cache[s] = x
+                        put(s, x)
                     found[i] = x
-            if len(cache) > self.cache_size:
-                cache.clear()
         return np.frombuffer(b"".join(found), dtype="<i4")
 
     def encode(self, text: str) -> list[int]:
         return self.encode_array(text).tolist()
 
-    @property
-    def decoding(self) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens' bytes in one array, and where each id's bytes start; an unknown id has none."""
-        if not hasattr(self, "_decoding"):
-            tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
-            self._decoding = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-        return self._decoding
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of ids, gathered without a loop over ids."""
-        flat, start = self.decoding
-        ids = np.asarray(ids, dtype=np.int64)
-        if not len(ids):
-            return b""
-        first, size = start[ids], start[ids + 1] - start[ids]
-        shift = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        return flat[shift + np.arange(len(shift))].tobytes()
-
 
 @lru_cache(maxsize=4)
 def tokenizer(rank_file: str, pattern: str) -> Tokenizer:
@@ -207,6 +235,11 @@ def tokenizer(rank_file: str, pattern: str) -> Tokenizer:
     return Tokenizer(rank_file, pattern)
 
 
+@lru_cache(maxsize=4)
+def decoder(rank_file: str) -> Decoder:
+    return Decoder(rank_file)
+
+
 def public_vocabulary() -> tuple[str, str]:
     """Path and pattern of the default vocabulary; both are parameters of the operators."""
     import public_tokenizers
@@ -226,18 +259,31 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
     return of(text)
 
 
-def decode(ids: Column, rank_file: str, pattern: str) -> Column:
+def decode(ids: Column, rank_file: str) -> Column:
     """Column of the bytes (binary) that ids stand for; a null array has none."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(rank_file, pattern)
+        d = decoder(rank_file)
         for rows in batches:
-            yield pd.Series([t.decode(x if x is not None else ()) for x in rows], dtype=object)
+            yield pd.Series([d.decode(x if x is not None else ()) for x in rows], dtype=object)
 
     return of(ids)
 
 
+def round_trip(text: Column, rank_file: str, pattern: str) -> Column:
+    """Struct of ``ids`` and ``decoded`` of a text, both made by one worker, which halves the Python processes."""
+
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t, d = tokenizer(rank_file, pattern), decoder(rank_file)
+        for texts in batches:
+            ids = [t.encode_array(x or "") for x in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([d.decode(x) for x in ids], dtype=object)})
+
+    return of(text)
+
+
 def joined(ids: Column) -> Column:
     """Decimal ids joined by commas."""
     return F.array_join(ids.cast("array<string>"), ",")
@@ -245,13 +291,14 @@ def joined(ids: Column) -> Column:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text (null: as empty)."""
-    vocabulary = public_vocabulary()
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text"), *vocabulary).alias("ids"))
-    both = docs.select("doc_id", "ids", decode(F.col("ids"), *vocabulary).alias("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text"), *public_vocabulary()).alias("r"))
+    ids, decoded = F.col("r.ids"), F.col("r.decoded")
+    return docs.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined(ids).cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: doc_id, source, n_tokens and the ids of every remaining document, copies included."""
+    small_batches(spark)
     encoded = docs.select("doc_id", "source", encode(F.col("text"), *public_vocabulary()).alias("ids"))
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

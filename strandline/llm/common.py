@@ -65,6 +65,13 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """At most ``rows`` rows in an Arrow batch, so that whole texts and what is made of them fit a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null as 0, by splitting on one character (no regular expression in the loop)."""
     blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

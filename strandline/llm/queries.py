@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .mixing import op8_mixing
 from .quality import op1_quality
 from .secrets import op7_secrets
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op5_bpe": op5_bpe,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,12 +6,16 @@ from .bpe import op5_bpe
 from .mixing import op8_mixing
 from .quality import op1_quality
 from .secrets import op7_secrets
+from .telephony import op10_telephony
+from .urls import op9_urls
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_bpe": op5_bpe,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_urls": op9_urls,
+    "op10_telephony": op10_telephony,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .fingerprint import op6_fingerprint
 from .mixing import op8_mixing
 from .quality import op1_quality
 from .secrets import op7_secrets
@@ -12,6 +13,7 @@ from .urls import op9_urls
 QUERIES = {
     "op1_quality": op1_quality,
     "op5_bpe": op5_bpe,
+    "op6_fingerprint": op6_fingerprint,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_urls": op9_urls,

@@ -7,11 +7,13 @@ from .fingerprint import op6_fingerprint
 from .mixing import op8_mixing
 from .quality import op1_quality
 from .secrets import op7_secrets
+from .substrings import op4_substrings
 from .telephony import op10_telephony
 from .urls import op9_urls
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
     "op6_fingerprint": op6_fingerprint,
     "op7_secrets": op7_secrets,

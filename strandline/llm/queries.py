@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .fingerprint import op6_fingerprint
 from .mixing import op8_mixing
+from .neardup import op3_neardup
 from .quality import op1_quality
 from .secrets import op7_secrets
 from .substrings import op4_substrings
@@ -13,6 +14,7 @@ from .urls import op9_urls
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_neardup": op3_neardup,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
     "op6_fingerprint": op6_fingerprint,

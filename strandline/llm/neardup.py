@@ -31,7 +31,7 @@ from .common import Scratch, hash_words, mix64, slices, small_batches, table
 
 COORDINATES = 128
 SKETCH = 64
-LEAF = 8
+LEAF = 24
 MAX_LEVELS = 24
 THRESHOLD = 0.8
 RECALL = 0.9999

@@ -210,9 +210,8 @@ class Tokenizer:
         out.append(held)
         return out
 
-    def encode_array(self, text: str) -> np.ndarray:
-        """Ids of a text, as int32."""
-        segments = self.segments(text)
+    def encoded(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment as little-endian int32, remembered ones first."""
         found = list(map(self.cache.new.get, segments))
         if None in found:
             get, put = self.cache.get, self.cache.put
@@ -223,7 +222,11 @@ class Tokenizer:
                         x = self.encode_segment(s)
                         put(s, x)
                     found[i] = x
-        return np.frombuffer(b"".join(found), dtype="<i4")
+        return found
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids of a text, as int32."""
+        return np.frombuffer(b"".join(self.encoded(self.segments(text))), dtype="<i4")
 
     def encode(self, text: str) -> list[int]:
         return self.encode_array(text).tolist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .editcounts import op2_token_counts
 from .fingerprint import op6_fingerprint
 from .mixing import op8_mixing
 from .neardup import op3_neardup
@@ -14,6 +15,7 @@ from .urls import op9_urls
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
     "op3_neardup": op3_neardup,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,

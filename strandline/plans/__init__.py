@@ -1,6 +1,9 @@
-"""Driver queries: one per operator, each with its DuckDB twin."""
+"""Driver queries: one per operator, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import callset_queries
+
+_ALL: dict = {**callset_queries.QUERIES}
+QUERIES = {name: q for name, (q, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -6,9 +6,10 @@
    those coordinates name. Two sets of the threshold's similarity stay together in one child on average, so their chance
    to share a node falls slowly with depth; as many independent trees are grown as the target recall needs.
 3. The first levels, which the number of classes makes certain to be large, are walked without looking at sizes. Then
-   nodes of at most ``LEAF`` classes are compared exhaustively. In larger nodes, all members are compared to two pivots,
-   and the node branches on, unless the links found so far already join all its members: then it can add nothing.
-   What is still mixed at ``MAX_LEVELS`` is compared exhaustively across components, so no case is dropped.
+   nodes of at most ``LEAF`` classes are compared exhaustively. In larger nodes, all members are compared to two pivots.
+   What is then left of a node are the pairs across components: none where links already join all members; where they
+   are at most ``CROSS`` for each member, they are compared exhaustively, else the node branches on. Nodes that still
+   have more at ``MAX_LEVELS`` are compared exhaustively all the same, so no case is dropped.
 4. A candidate pair must pass a 64-byte sketch (5 standard deviations of slack), then the whole sets decide. First each
    class's most promising pair is confirmed, then only pairs whose classes are not yet in one component.
 5. Components come from alternating large-star and small-star steps over written tables.
@@ -32,6 +33,7 @@ from .common import Scratch, hash_words, mix64, slices, small_batches, table
 COORDINATES = 128
 SKETCH = 64
 LEAF = 24
+CROSS = 64
 MAX_LEVELS = 24
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -236,25 +238,26 @@ class Join:
             self.confirm(inside.unionAll(stars))
             if not sizes.where(F.col("n") > LEAF).limit(1).count():
                 return
-            mixed = self.mixed(nodes, sizes)
-            if not mixed.limit(1).count():
-                return
-            if level == MAX_LEVELS - 1:
-                other = mixed.select("node", F.col("sid").alias("b"), F.col("label").alias("lb"))
-                self.confirm(mixed.join(other, "node").where("label < lb").select(F.col("sid").alias("a"), "b"))
+            own = self.large(nodes, sizes)
+            per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
+            left = per.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+            few = (F.col("n") * F.col("n") - F.col("sq")) / 2 <= CROSS * F.col("n")
+            left = self.scratch.keep(left.withColumn("settle", few if level < MAX_LEVELS - 1 else F.lit(True)))
+            # What is left to compare in a node: pairs across components. Members outside its largest component are few.
+            odd = own.join(left.where("settle").select("node", "most"), "node").where("label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
+            pairs = odd.join(own.select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
+            self.confirm(pairs.select("a", "b"))
+            if not left.where("not settle").limit(1).count():
                 return
             sig = self.classes.select("sid", "sig")
-            nodes = mixed.select("node", "sid").join(sig, "sid").mapInPandas(deeper(more), "node long, sid long")
+            nodes = own.join(left.where("not settle").select("node"), "node", "left_semi").select("node", "sid").join(sig, "sid").mapInPandas(deeper(more), "node long, sid long")
 
-    def mixed(self, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-        """(node, sid, label) of large nodes whose members are in more than one component."""
-        large = nodes.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
+    def large(self, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(node, sid, label) of the members of large nodes, by component so far."""
+        own = nodes.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
         if self.labels is None:
-            return self.scratch.keep(large.withColumn("label", F.col("sid")))
-        own = large.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        own = self.scratch.keep(own.select("node", "sid", "label"))
-        several = own.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-        return self.scratch.keep(own.join(several, "node", "left_semi"))
+            return self.scratch.keep(own.withColumn("label", F.col("sid")))
+        return self.scratch.keep(own.join(self.labels, "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Adds to links and labels what holds of candidate pairs (a, b)."""

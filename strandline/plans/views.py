@@ -76,7 +76,7 @@ INTERVALS = """intervals AS (SELECT CAST(p_partkey AS BIGINT) AS gene, CAST(p_pa
  p_type AS g_type, CAST(p_size AS BIGINT) AS g_size FROM part)"""
 
 #: Overlaps of reads and loci, each once.
-OVERLAPS = f"""overlaps AS (SELECT r.*, l.locus, l.centre FROM loci l JOIN reads r ON r.contig = l.l_contig AND r.pos0 < l.centre + {HALF} AND r.end0 > l.centre - {HALF})"""
+OVERLAPS = f"""seen_at AS (SELECT r.*, l.locus, l.centre FROM loci l JOIN reads r ON r.contig = l.l_contig AND r.pos0 < l.centre + {HALF} AND r.end0 > l.centre - {HALF})"""
 BANDS_ON = f"a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND abs(a.pos1 - b.pos1) <= {TOL1} AND abs(a.pos2 - b.pos2) <= {TOL2}"
 #: DuckDB plans an equality on bins as a hash join, as the Spark side does.
 BANDS_BIN = f"a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND b.bin = a.pos1 // {TOL1} AND abs(a.pos1 - b.pos1) <= {TOL1} AND abs(a.pos2 - b.pos2) <= {TOL2}"

@@ -24,7 +24,8 @@ BINS_LOG2 = 5
 KEEP = 2
 LOW = (1 << 24) - 1
 BUCKET = 256
-_FAR = 2147483647
+#: More elements than any array has; slice adds the start to it, so it stays clear of the largest int.
+_FAR = 1_000_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -41,12 +41,17 @@ def _packed(hash_: Column, position: Column) -> Column:
     return hash_.bitwiseAND(F.lit(~LOW)).bitwiseOR(position.cast("long").bitwiseAND(F.lit(LOW)))
 
 
-def runs(hashes: Column) -> Column:
-    """Hash of the run of ``RUN`` words that begins at each word."""
-    out = hashes
-    for k in range(1, RUN):
-        out = F.zip_with(out, F.slice(hashes, k + 1, _FAR), lambda a, b: F.xxhash64(a, b))
-    return out
+def packed_runs(own: Column) -> Column:
+    """Sorted array of the packed runs of a word array: one lambda over the words, hashing all words of a run at once."""
+    parts = F.arrays_zip(*[(own if k == 0 else F.slice(own, k + 1, _FAR)).alias(f"w{k}") for k in range(RUN)])
+    one = F.transform(parts, lambda x, i: _packed(F.xxhash64(*[x[f"w{k}"] for k in range(RUN)]), i))
+    return F.sort_array(one)
+
+
+def repeats(packed: Column) -> Column:
+    """Whether a sorted array of packed runs has equal ones."""
+    pairs = F.zip_with(packed, F.slice(packed, 2, _FAR), lambda a, b: F.coalesce(F.shiftright(a, 24) == F.shiftright(b, 24), F.lit(False)))
+    return F.exists(pairs, lambda x: x)
 
 
 def occurrences(packed: Column) -> Column:
@@ -99,12 +104,18 @@ def tuples(items: Column) -> Column:
     return let(least(items), pairs)
 
 
-def signature(text: Column) -> Column:
-    """Array of at most 32 longs; empty for a text without words."""
-    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
-    sorted_runs = let(hashed, lambda h: F.sort_array(F.transform(runs(h), lambda x, i: _packed(x, i))))
-    items = F.sort_array(F.transform(occurrences(sorted_runs), lambda s: _packed(F.xxhash64(F.shiftright(s["v"], 24), s["r"]), s["v"])))
-    return let(items, tuples)
+def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``: an array of at most 32 longs, the signature of a text; empty for a text without words.
+
+    Each step is a column of its own that the next refers to more than once, so it is computed once and sorting runs on
+    arrays of longs in generated code.
+    """
+    df = df.withColumn("__w", words(F.col(text))).withColumn("__r", packed_runs(F.col("__w"))).drop("__w")
+    item = lambda v, r: _packed(F.xxhash64(F.shiftright(v, 24), r), v)
+    few = F.transform("__r", lambda v: item(v, F.lit(0)))
+    many = F.transform(occurrences(F.col("__r")), lambda s: item(s["v"], s["r"]))
+    df = df.withColumn("__i", F.sort_array(F.when(repeats(F.col("__r")), many).otherwise(few))).drop("__r")
+    return df.withColumn(out, tuples(F.col("__i"))).drop("__i")
 
 
 def fingerprint(sig: Column) -> Column:
@@ -150,12 +161,12 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("sig", signature(F.col("text"))), ["text", "sig"])
+    docs = with_next(with_signature(docs, "text", "sig"), ["text", "sig"])
     n = F.char_length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
     docs = docs.withColumns({"n_chars": n.cast("long"), "edited": edited}).drop("text", "next_text")
-    docs = docs.withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "edited_sig": signature(F.col("edited"))}).drop("edited")
+    docs = with_signature(docs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "edited_sig").drop("edited")
     return docs.select(
         "doc_id",
         "n_chars",

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
@@ -46,22 +47,22 @@ def local_alignment(x: str, y: str, match: int = 2, mismatch: int = -3, opening:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_cdf(int(i), int(j), float(q)) for i, j, q in zip(k, n, p, strict=True)], dtype=float)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def smith_waterman(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([local_alignment(a or "", b or "") for a, b in zip(x, y, strict=True)], dtype="int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def py_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounding half to even on the binary value, as Python does it."""
     return pd.Series([None if pd.isna(v) else round(float(v), int(k)) for v, k in zip(x, digits, strict=True)], dtype=float)

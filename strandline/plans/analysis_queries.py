@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
@@ -250,25 +250,26 @@ def q_universal_check(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_UNIVERSAL = "SELECT user_id, count(*) AS n, bool_and(coalesce(value < 60, false)) AS all_hold FROM events GROUP BY 1"
 
-_AGGS = [F.count("*").alias("n"), F.sum(F.floor("value")).cast("long").alias("total")]
+def _aggs() -> list[Column]:
+    return [F.count("*").alias("n"), F.sum(F.floor("value")).cast("long").alias("total")]
 
 
 def q_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    return X.tumbling(t(spark, d, "events"), "ts", ["event_type"], "1 hour", _AGGS)
+    return X.tumbling(t(spark, d, "events"), "ts", ["event_type"], "1 hour", _aggs())
 
 
 SQL_TUMBLING = "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY 1, 2, 3"
 
 
 def q_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return X.tumbling(t(spark, d, "events"), "ts", [], "1 hour", _AGGS, "15 minutes")
+    return X.tumbling(t(spark, d, "events"), "ts", [], "1 hour", _aggs(), "15 minutes")
 
 
 SQL_SLIDING = "WITH w AS (SELECT time_bucket(INTERVAL 15 minute, ts) - k * INTERVAL 15 minute AS window_start, value FROM events, range(0, 4) r(k)) SELECT window_start, window_start + INTERVAL 1 hour AS window_end, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM w GROUP BY 1, 2"
 
 
 def q_session(spark: SparkSession, d: str) -> DataFrame:
-    return X.sessions(t(spark, d, "events"), "ts", ["user_id"], "6 hours", _AGGS)
+    return X.sessions(t(spark, d, "events"), "ts", ["user_id"], "6 hours", _aggs())
 
 
 SQL_SESSION = """WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 hour THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a)

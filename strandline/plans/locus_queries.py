@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,11 +31,13 @@ SQL_STATS = V.with_(*_BASE) + (
     "CAST(count(*) FILTER (mapq < 20) AS DOUBLE) / count(*) AS low_fraction, count(*) FILTER (strand = 0) AS forward, count(*) FILTER (strand <> 0) AS reverse FROM seen_at GROUP BY 1"
 )
 
-OTHER = F.col("mate_contig") == "O"
+
+def other() -> Column:
+    return F.col("mate_contig") == "O"
 
 
 def q_discordance(spark: SparkSession, d: str) -> DataFrame:
-    return L.discordance(at(spark, d), 20, OTHER)
+    return L.discordance(at(spark, d), 20, other())
 
 
 SQL_DISCORDANCE = V.with_(*_BASE) + (
@@ -59,12 +61,14 @@ SQL_PARTNERS = V.with_(
     "WHEN n >= 3 AND share >= 0.6 THEN 'predominantly ' || partner || ' (' || n || ' reads)' ELSE 'scattered' END END) AS sentence FROM k GROUP BY 1"
 )
 
-LEFT = F.col("rid") % 3 == 0
+
+def left() -> Column:
+    return F.col("rid") % 3 == 0
 
 
 def q_pileup_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Reads of every third id are clipped on the left (at pos0), the others on the right (at end0)."""
-    side, pos = F.when(LEFT, "left").otherwise("right"), F.when(LEFT, F.col("pos0")).otherwise(F.col("end0"))
+    side, pos = F.when(left(), "left").otherwise("right"), F.when(left(), F.col("pos0")).otherwise(F.col("end0"))
     return L.pile(at(spark, d), side, pos, F.col("rid"))
 
 
@@ -100,17 +104,22 @@ _DIP = f"""e AS (SELECT *, CAST(covered AS DOUBLE) / (bin_end-bin_start) AS dept
  f AS (SELECT locus, (bin_start+bin_end)//2 AS dip FROM e QUALIFY row_number() OVER (PARTITION BY locus ORDER BY depth, bin) = 1), dd AS (SELECT m.*, dip, abs(dip-centre) AS distance, CASE WHEN mean_depth > 0 THEN min_depth/mean_depth END AS ratio FROM m JOIN f USING (locus))"""
 SQL_DIP = V.with_(*_BASE, _BINS, _DIP) + "SELECT locus, n_bins, round(min_depth, 6) AS min_depth, round(ratio, 4) AS ratio, dip, distance, distance <= 20 AS at_focus, ratio < 0.7 AS likely_deletion FROM dd"
 
-SUPP = F.col("supp") % 5 == 0
-CLIP = F.col("rid") % 7 == 0
+
+def supp() -> Column:
+    return F.col("supp") % 5 == 0
+
+
+def clip() -> Column:
+    return F.col("rid") % 7 == 0
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """All layers of a locus in one aggregate over one join, with scores, total and words."""
     good = F.col("mapq") >= 20
     a = at(spark, d).groupBy("locus").agg(
-        F.count("*").alias("n"), F.count_if(good).alias("total"), F.count_if(good & OTHER).alias("discordant"), F.count_if(good & SUPP).alias("split"), F.count_if(F.col("mapq") < 20).alias("low")
+        F.count("*").alias("n"), F.count_if(good).alias("total"), F.count_if(good & other()).alias("discordant"), F.count_if(good & supp()).alias("split"), F.count_if(F.col("mapq") < 20).alias("low")
     )
-    c = at(spark, d).where(CLIP).groupBy("locus", "pos0").agg(F.count("*").alias("k")).groupBy("locus").agg(F.max("k").alias("clip_max"))
+    c = at(spark, d).where(clip()).groupBy("locus", "pos0").agg(F.count("*").alias("k")).groupBy("locus").agg(F.max("k").alias("clip_max"))
     x = a.join(c, "locus", "left").withColumn("clip_max", F.coalesce("clip_max", F.lit(0)))
     need = R.minimum_support(F.lit(H))
     x = x.withColumns(
@@ -162,7 +171,7 @@ SQL_CEILING = V.with_(*_EVIDENCE, f"ce AS (SELECT locus, score, {_CEIL} AS ceili
 
 def q_reciprocal_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Ends of a junction: a locus and the one 100 after it."""
-    g = at(spark, d).groupBy("locus").agg(F.count_if((F.col("mapq") >= 20) & OTHER).alias("n"), F.count_if(SUPP & OTHER).alias("back"))
+    g = at(spark, d).groupBy("locus").agg(F.count_if((F.col("mapq") >= 20) & other()).alias("n"), F.count_if(supp() & other()).alias("back"))
     b = g.select((F.col("locus") - 100).alias("locus"), F.col("n").alias("there"), F.col("back").alias("points"))
     x = g.join(b, "locus")
     return x.select("locus", F.col("n").alias("here"), "there", F.col("points").alias("back"), R.reciprocal(F.col("n"), F.col("there"), F.col("points")).alias("verdict"))

@@ -12,7 +12,8 @@ from ..operators.text import redacted
 
 
 def _marked(df: DataFrame, ts: str, late: str | None) -> DataFrame:
-    return df.withWatermark(ts, late) if late and df.isStreaming else df
+    """A stream's watermark; it needs a timestamp, so one without time zone is taken in the session's."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late and df.isStreaming else df
 
 
 def tumbling(df: DataFrame, ts: str, keys: list[str], size: str, aggs: list[Column], slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:

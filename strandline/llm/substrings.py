@@ -87,14 +87,17 @@ def check_of(text: bytes) -> int:
 
 def routed(key: np.ndarray, doc: np.ndarray, check: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None, name: str) -> pd.DataFrame:
     """One packed row for each value of ``key``; inside, entries keep their order."""
+    columns = [name, *_FIELDS, *(["hashes"] if hashes is not None else [])]
+    if not len(key):
+        return pd.DataFrame(columns=columns)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+    cut = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     rows = []
     for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
         own = order[a:b]
         rows.append({name: int(key[a])} | pack(doc[own], check[own], pos[own], None if hashes is None else hashes[own]))
-    return pd.DataFrame(rows, columns=[name, *_FIELDS, *(["hashes"] if hashes is not None else [])])
+    return pd.DataFrame(rows, columns=columns)
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -227,8 +230,10 @@ def positions(rows: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
     found: dict[tuple[int, int], list[np.ndarray]] = {}
     for r in rows.itertuples():
         doc, check, pos = unpack(r.docs, r.checks, r.counts, r.gaps)
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]))) if len(doc) else []
-        for a, b in zip(cut, np.append(cut[1:], len(doc)).astype(int), strict=True):
+        if not len(doc):
+            continue
+        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (check[1:] != check[:-1])))
+        for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
             found.setdefault((int(doc[a]), int(check[a])), []).append(pos[a:b])
     return {k: np.concatenate(v) for k, v in found.items()}
 
@@ -274,20 +279,22 @@ def dedup(docs: DataFrame, digests: bool = False) -> DataFrame:
     # The same group as group_of: a splitmix64 finaliser, so that the two sides agree, computed where the row is.
     @F.pandas_udf("long")
     def group(ids: pd.Series) -> pd.Series:
-        return pd.Series(group_of(ids.fillna(0).to_numpy(dtype=np.int64), groups))
+        return pd.Series(group_of(ids.to_numpy(dtype=np.int64), groups))
 
     runs = rows.where("doc_id is not null and text is not null").mapInPandas(anchors_of(buckets), f"bucket long, {PACKED}, hashes binary")
     hits = scratch.keep(runs.groupBy("bucket").applyInPandas(anchored(groups), f"grp long, {PACKED}"))
     del runs
     scratch.free_shuffles()
-    grouped = rows.withColumn("grp", group("doc_id"))
+    # From here ids go through Python as text, since pandas makes floats of integers with nulls.
+    grouped = rows.select("text", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(group(F.coalesce("doc_id", F.lit(0)))).alias("grp"), F.col("doc_id").cast("string").alias("doc_id"))
     whole = grouped.where(F.octet_length("text") >= 2 * WINDOW - 1).groupBy("grp").cogroup(hits.groupBy("grp")).applyInPandas(windows_of(buckets), f"bucket long, {PACKED}, hashes binary")
     repeats = scratch.keep(whole.groupBy("bucket").applyInPandas(repeated(groups), f"grp long, {PACKED}"))
     scratch.drop(hits)
     del whole, hits
     scratch.free_shuffles()
     last, kind = (digest, "kept_sha256 string") if digests else (remove, "kept binary")
-    return grouped.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInPandas(last, f"doc_id long, n_words long, n_removed long, {kind}")
+    out = grouped.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInPandas(last, f"doc_id string, n_words long, n_removed long, {kind}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 1. Every text becomes its set of two-word shingles; equal sets become one class, so copies cost one row each and no pair.
 2. Each class has ``COORDINATES`` minwise tokens. In a tree, a node chooses one coordinate, and with probability
-   1/threshold - 1 a second one, by a hash of the node alone; classes branch to the children that their minwise tokens at
-   those coordinates name. Two sets of the threshold's similarity stay together in one child on average, so their chance
-   to share a node falls slowly with depth; as many independent trees are grown as the target recall needs.
-3. The first levels, which the number of classes makes certain to be large, are walked without looking at sizes. Then
-   nodes of at most ``LEAF`` classes are compared exhaustively. In larger nodes, all members are compared to two pivots.
-   What is then left of a node are the pairs across components: none where links already join all members; where they
-   are at most ``CROSS`` for each member, they are compared exhaustively, else the node branches on. Nodes that still
-   have more at ``MAX_LEVELS`` are compared exhaustively all the same, so no case is dropped.
-4. A candidate pair must pass a 64-byte sketch (5 standard deviations of slack), then the whole sets decide. First each
-   class's most promising pair is confirmed, then only pairs whose classes are not yet in one component.
+   ``EXTRA`` a second one, by a hash of the node alone; classes branch to the children that their minwise tokens at those
+   coordinates name. As many independent trees are grown as the target recall needs at the threshold's similarity.
+3. The first levels, as many as keep unrelated classes apart at this number of classes, are walked without looking at
+   sizes. Then every member of a node is compared to the node's pivot, its least class; of these pairs each class's most
+   promising one is confirmed. What is then left of a node are the pairs across components: none where links join all
+   members. Where they are at most ``CROSS`` for each member the node is small, and they are compared exhaustively, else
+   the node branches on. Nodes that still have more at ``MAX_LEVELS`` are compared exhaustively all the same, so no case
+   is dropped.
+4. A candidate pair must pass a 64-byte sketch (5 standard deviations of slack), then the whole sets decide.
 5. Components come from alternating large-star and small-star steps over written tables.
 
 No step collects ids, links or components; the driver sees counts only.
@@ -32,7 +31,7 @@ from .common import Scratch, hash_words, mix64, slices, small_batches, table
 
 COORDINATES = 128
 SKETCH = 64
-LEAF = 24
+EXTRA = 0.1
 CROSS = 64
 MAX_LEVELS = 24
 THRESHOLD = 0.8
@@ -85,13 +84,13 @@ def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at += len(s)
                 out.append((i, len(x), set_id(x) if len(x) else None, minwise(x).tobytes() if len(x) else None))
             frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "sid", "sig"])
-            frame["sid"] = frame["sid"].astype("Int64")
+            # Built as nullable integers at once: by way of floats, ids would lose bits wherever a batch has an empty set.
+            frame["sid"] = pd.array([x[2] for x in out], dtype="Int64")
             yield frame
 
 
-def misses(depth: int, threshold: float) -> float:
+def misses(depth: int, threshold: float, more: float = EXTRA) -> float:
     """Chance that two sets of the threshold's similarity share no node at a depth of one tree."""
-    more = 1 / threshold - 1
     q = 0.0
     for _ in range(depth):
         one = 1 - threshold + threshold * q
@@ -182,7 +181,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -197,15 +196,6 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("sid"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("sid"), F.col("b").alias("label")).distinct())
 
 
-def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    out = pairs
-    for c in ("a", "b"):
-        own = labels.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
-        out = out.join(own, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    return out.where("la <> lb").drop("la", "lb")
-
-
 class Join:
     """The state of one run: classes, confirmed links and their components."""
 
@@ -214,8 +204,10 @@ class Join:
         self.scratch = Scratch(self.spark, "neardup")
         small_batches(self.spark, 1024)
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        schema = "doc_id long, n_shingles long, sid long, sig binary"
-        self.sets = self.scratch.keep(self.rows.mapInPandas(sets_of, schema))
+        # Ids go through Python as text, since pandas makes floats of integers with nulls.
+        named = self.rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+        sets = named.mapInPandas(sets_of, "doc_id string, n_shingles long, sid long, sig binary")
+        self.sets = self.scratch.keep(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
         classes = self.sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"))
         self.classes = self.scratch.keep(classes)
         self.n = self.classes.count()
@@ -223,48 +215,40 @@ class Join:
         self.labels: DataFrame | None = None
 
     def run(self) -> None:
-        more = 1 / self.threshold - 1
-        depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(12)))
+        depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(6)))
         trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
-        nodes = self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, more), "node long, sid long")
+        nodes = self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long")
         for level in range(MAX_LEVELS):
             nodes = self.scratch.keep(nodes)
-            sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("p"), F.min_by("sid", F.xxhash64("sid", "node")).alias("r")).where("n > 1")
-            sizes = self.scratch.keep(sizes)
-            members = nodes.join(sizes, "node")
-            inside = members.where(F.col("n") <= LEAF).groupBy("node").agg(F.collect_set("sid").alias("s"))
-            inside = inside.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b"))
-            stars = members.where(F.col("n") > LEAF).select(F.col("sid").alias("a"), F.explode(F.array("p", "r")).alias("b"))
-            self.confirm(inside.unionAll(stars))
-            if not sizes.where(F.col("n") > LEAF).limit(1).count():
-                return
-            own = self.large(nodes, sizes)
+            sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("p")).where("n > 1")
+            members = self.scratch.keep(nodes.join(sizes, "node"))
+            self.scratch.drop(nodes)
+            self.confirm(members.select(F.col("sid").alias("a"), F.col("p").alias("b")), True)
+            own = members.select("node", "sid")
+            if self.labels is not None:
+                own = own.join(self.labels, "sid", "left")
+            else:
+                own = own.withColumn("label", F.lit(None).cast("long"))
+            own = own.select("node", "sid", F.coalesce("label", "sid").alias("label"))
             per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
             left = per.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
             few = (F.col("n") * F.col("n") - F.col("sq")) / 2 <= CROSS * F.col("n")
-            left = self.scratch.keep(left.withColumn("settle", few if level < MAX_LEVELS - 1 else F.lit(True)))
+            left = left.withColumn("settle", few if level < MAX_LEVELS - 1 else F.lit(True)).select("node", "most", "settle")
+            own = self.scratch.keep(own.join(left, "node"))
+            self.scratch.drop(members)
             # What is left to compare in a node: pairs across components. Members outside its largest component are few.
-            odd = own.join(left.where("settle").select("node", "most"), "node").where("label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
-            pairs = odd.join(own.select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
-            self.confirm(pairs.select("a", "b"))
-            if not left.where("not settle").limit(1).count():
+            odd = own.where("settle and label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
+            pairs = odd.join(own.where("settle").select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
+            self.confirm(pairs.select("a", "b"), False)
+            if not own.where("not settle").limit(1).count():
                 return
             sig = self.classes.select("sid", "sig")
-            nodes = own.join(left.where("not settle").select("node"), "node", "left_semi").select("node", "sid").join(sig, "sid").mapInPandas(deeper(more), "node long, sid long")
-
-    def large(self, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-        """(node, sid, label) of the members of large nodes, by component so far."""
-        own = nodes.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
-        if self.labels is None:
-            return self.scratch.keep(own.withColumn("label", F.col("sid")))
-        return self.scratch.keep(own.join(self.labels, "sid", "left").select("node", "sid", F.coalesce("label", "sid").alias("label")))
+            nodes = own.where("not settle").select("node", "sid").join(sig, "sid").mapInPandas(deeper(EXTRA), "node long, sid long")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Adds to links and labels what holds of candidate pairs (a, b)."""
+    def confirm(self, pairs: DataFrame, best: bool) -> None:
+        """Adds to links and labels what holds of candidate pairs (a, b); with ``best``, of the best pair of each class."""
         scratch = self.scratch
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.labels is not None:
-            pairs = labelled(pairs, self.labels)
         sketch = self.classes.select("sid", F.substring("sig", 1, 4 * SKETCH).alias("sig"))
         low = self.scratch.keep(sketch.mapInPandas(low_bytes, "sid long, sketch binary"))
         both = pairs.join(low.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(low.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
@@ -274,20 +258,17 @@ class Join:
         scratch.free_shuffles()
         if not likely.limit(1).count():
             return
+        if best:
+            # In both directions; on ties the least partner, so that groups form stars.
+            ends = likely.select(F.col("a").alias("v"), F.col("b").alias("w"), "same").unionAll(likely.select(F.col("b").alias("v"), F.col("a").alias("w"), "same"))
+            sure = math.floor((self.threshold + 0.06) * SKETCH)
+            top = ends.groupBy("v").agg(F.min(F.when(F.col("same") >= sure, F.col("w"))).alias("near"), F.max(F.struct("same", F.bitwise_not("w").alias("w"))).alias("top"))
+            likely = scratch.keep(top.select("v", F.coalesce("near", F.bitwise_not(F.col("top.w"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
         ids = likely.select(F.col("a").alias("sid")).unionAll(likely.select(F.col("b").alias("sid"))).distinct()
         wanted = self.classes.join(ids, "sid", "left_semi").select("sid", F.col("doc").alias("doc_id"))
         texts = scratch.keep(self.rows.join(wanted, "doc_id").mapInPandas(own_text, "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
         scratch.free_shuffles()
-        # The best partner of each class, in both directions; on ties the least, so that groups form stars.
-        ends = likely.select(F.col("a").alias("v"), F.col("b").alias("w"), "same").unionAll(likely.select(F.col("b").alias("v"), F.col("a").alias("w"), "same"))
-        sure = math.floor((self.threshold + 0.06) * SKETCH)
-        best = ends.groupBy("v").agg(F.min(F.when(F.col("same") >= sure, F.col("w"))).alias("near"), F.max(F.struct("same", -F.col("w"))).alias("top"))
-        best = best.select("v", F.coalesce("near", -F.col("top.col2")).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        self.add(self.whole(best, texts))
-        rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        if self.labels is not None:
-            rest = labelled(rest, self.labels)
-        self.add(self.whole(rest, texts))
+        self.add(self.whole(likely, texts))
         scratch.drop(likely, texts)
         scratch.free_shuffles()
 

@@ -153,6 +153,7 @@ def test_neardup_brute_force(spark):
 
 def test_neardup_large_groups_and_deep_nodes(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CROSS", 1)
+    monkeypatch.setattr(neardup, "MAX_LEVELS", 3)
     import random
 
     rnd = random.Random(4)

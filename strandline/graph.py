@@ -1,41 +1,58 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each round is two grouped minima and two joins; hubs are halved every round, so the number of rounds grows with the log of
-the longest path. Rounds are cut by ``checkpoint`` in the folder of spark.checkpoint.dir, which survives lost executors.
+the longest path. Rounds are cut by tables written to the folder of spark.checkpoint.dir, which survive lost executors
+and, unlike an eager checkpoint, are computed once.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Keeps the cluster's checkpoint folder; sets a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="strandline-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="strandline-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node reached. Self-loops only name a node."""
     spark = edges.sparkSession
-    ensure_checkpoints(spark)
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    root, turn = f"{shared_folder(spark)}/components-{uuid.uuid4().hex[:12]}", 0
+    pairs = _written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), f"{root}/edges")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    now = pairs.where("a <> b").distinct().checkpoint()
+    now = pairs.where("a <> b").distinct()
     seen = None
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = small.unionAll(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        small = large.join(least, "a").where("b <> m")
+        # A node and its other smaller neighbours point at the node's least neighbour.
+        small = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        now = _written(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), f"{root}/{turn}")
+        if turn:
+            _removed(spark, f"{root}/{turn - 1}")
+        turn += 1
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == seen:
             break

@@ -26,4 +26,13 @@ QUERIES = {
     "op10_telephony": op10_telephony,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words, windows of 50 words by their hash, the least document of each, and the words that repeats cover.
+SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+ win AS (SELECT doc_id, p, sha256(array_to_string(words[p:p+49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM w)),
+ first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT win.doc_id, p FROM win JOIN first USING (h) WHERE m < win.doc_id) r, range(0, 50) t(k)),
+ tok AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+ kept AS (SELECT t.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS kept FROM tok t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY 1)
+ SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_substrings": SUBSTRINGS_SQL}

@@ -215,7 +215,7 @@ class Join:
         self.labels: DataFrame | None = None
 
     def run(self) -> None:
-        depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(6)))
+        depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(5)))
         trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
         nodes = self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long")
         for level in range(MAX_LEVELS):

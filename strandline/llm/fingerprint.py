@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 RUN = 3
 BINS_LOG2 = 5
@@ -149,7 +149,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     everything = W.orderBy("run")
     first = first.withColumn("after", F.coalesce(F.lead("first").over(everything), F.min("first").over(W.partitionBy()))).select(F.col("run").alias("r"), "after")
     tops = tops.join(first, F.col("run") == F.col("r")).withColumn("to", F.coalesce(F.lead("bucket").over(W.partitionBy("run").orderBy("bucket")), F.col("after")))
-    tops = tops.select(F.col("bucket").alias("b"), "top", "to")
+    # Written, so that its size is known: below Spark's broadcast limit the texts are not shuffled for this join.
+    tops = Scratch(docs.sparkSession, "next").keep(tops.select(F.col("bucket").alias("b"), "top", "to"))
     sent = rows.join(tops, F.col("bucket") == F.col("b"))
     copies = F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))
     is_top = F.col("doc_id").eqNullSafe(F.col("top"))

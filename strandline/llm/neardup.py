@@ -4,12 +4,12 @@
 2. Each class has ``COORDINATES`` minwise tokens. In a tree, a node chooses one coordinate, and with probability
    ``EXTRA`` a second one, by a hash of the node alone; classes branch to the children that their minwise tokens at those
    coordinates name. As many independent trees are grown as the target recall needs at the threshold's similarity.
-3. The first levels, as many as keep unrelated classes apart at this number of classes, are walked without looking at
-   sizes. Then every member of a node is compared to the node's pivot, its least class; of these pairs each class's most
-   promising one is confirmed. What is then left of a node are the pairs across components: none where links join all
-   members. Where they are at most ``CROSS`` for each member the node is small, and they are compared exhaustively, else
-   the node branches on. Nodes that still have more at ``MAX_LEVELS`` are compared exhaustively all the same, so no case
-   is dropped.
+3. As many levels as keep unrelated classes apart at this number of classes are walked, none deeper: the number of trees
+   gives the recall at just that level. Then every member of a node is compared to the node's pivot, its least class; of
+   these pairs each class's most promising one is confirmed. What is then left of a node are the pairs across components:
+   none where links join all members. All of them are compared: by a join where they are at most ``CROSS`` for each
+   member, else in salted blocks of about ``SIDE`` members, where only pairs that pass the sketch leave a block. Of those,
+   each class's most promising one is confirmed first, for up to ``MAX_LEVELS`` rounds while that links; then the rest.
 4. A candidate pair must pass a 64-byte sketch (5 standard deviations of slack), then the whole sets decide.
 5. Components come from alternating large-star and small-star steps over written tables.
 
@@ -33,6 +33,7 @@ COORDINATES = 128
 SKETCH = 64
 EXTRA = 0.1
 CROSS = 64
+SIDE = 512
 MAX_LEVELS = 24
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -125,19 +126,6 @@ def grown(trees: int, depth: int, more: float):
     return work
 
 
-def deeper(more: float):
-    """One further level for rows (node, sid, sig)."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, COORDINATES)
-                node, row = branch(rows["node"].to_numpy(dtype=np.int64).view(np.uint64), sig, np.arange(len(rows)), more)
-                yield pd.DataFrame({"node": node.view(np.int64), "sid": rows["sid"].to_numpy(dtype=np.int64)[row]})
-
-    return work
-
-
 def sketched(least: int):
     """Pairs whose sketches agree in at least ``least`` bytes, with the number that agree."""
 
@@ -151,6 +139,31 @@ def sketched(least: int):
     return work
 
 
+def blocks(least: int):
+    """Pairs (a, b, same) of two blocks of a node, or of one, in different components, whose sketches agree in ``least`` bytes."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        sid, label, block = (rows[c].to_numpy(dtype=np.int64) for c in ("sid", "label", "block"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
+        one = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        x = np.flatnonzero(block == rows["lo"].iloc[0])
+        y = x if one else np.flatnonzero(block == rows["hi"].iloc[0])
+        out = []
+        for at in range(0, len(x), SIDE):
+            own = x[at : at + SIDE]
+            same = np.zeros((len(own), len(y)), dtype=np.uint8)
+            for k in range(SKETCH):
+                same += sketch[own, k][:, None] == sketch[y, k][None, :]
+            keep = (same >= least) & (label[own][:, None] != label[y][None, :])
+            if one:
+                keep &= sid[own][:, None] < sid[y][None, :]
+            i, j = np.nonzero(keep)
+            out.append(pd.DataFrame({"a": np.minimum(sid[own[i]], sid[y[j]]), "b": np.maximum(sid[own[i]], sid[y[j]]), "same": same[i, j].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "same": []})
+
+    return work
+
+
 def confirmed(percent: int):
     """Pairs whose whole sets have 100 * intersection >= percent * union."""
 
@@ -217,60 +230,108 @@ class Join:
     def run(self) -> None:
         depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(5)))
         trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
-        nodes = self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long")
-        for level in range(MAX_LEVELS):
-            nodes = self.scratch.keep(nodes)
-            sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("p")).where("n > 1")
-            members = self.scratch.keep(nodes.join(sizes, "node"))
-            self.scratch.drop(nodes)
-            self.confirm(members.select(F.col("sid").alias("a"), F.col("p").alias("b")), True)
-            own = members.select("node", "sid")
-            if self.labels is not None:
-                own = own.join(self.labels, "sid", "left")
-            else:
-                own = own.withColumn("label", F.lit(None).cast("long"))
-            own = own.select("node", "sid", F.coalesce("label", "sid").alias("label"))
-            per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
-            left = per.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-            few = (F.col("n") * F.col("n") - F.col("sq")) / 2 <= CROSS * F.col("n")
-            left = left.withColumn("settle", few if level < MAX_LEVELS - 1 else F.lit(True)).select("node", "most", "settle")
-            own = self.scratch.keep(own.join(left, "node"))
-            self.scratch.drop(members)
-            # What is left to compare in a node: pairs across components. Members outside its largest component are few.
-            odd = own.where("settle and label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
-            pairs = odd.join(own.where("settle").select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
-            self.confirm(pairs.select("a", "b"), False)
-            if not own.where("not settle").limit(1).count():
-                return
-            sig = self.classes.select("sid", "sig")
-            nodes = own.where("not settle").select("node", "sid").join(sig, "sid").mapInPandas(deeper(EXTRA), "node long, sid long")
+        nodes = self.scratch.keep(self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long"))
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("p")).where("n > 1")
+        members = self.scratch.keep(nodes.join(sizes, "node"))
+        self.scratch.drop(nodes)
+        self.confirm(members.select(F.col("sid").alias("a"), F.col("p").alias("b")), True)
+        own = self.open(members.select("node", "sid"))
+        self.scratch.drop(members)
+        # What is left to compare in a node: pairs across components. Members outside its largest component are few.
+        odd = own.where("small and label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
+        pairs = odd.join(own.where("small").select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
+        self.confirm(pairs.select("a", "b"), False)
+        large = own.where("not small").select("node", "sid")
+        if large.limit(1).count():
+            again = self.open(large)
+            self.settle(again)
+            self.scratch.drop(again)
+        self.scratch.drop(own)
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """Written rows (node, sid, label, n, most, small) of the nodes whose members are in more than one component."""
+        own = self.labelled(members, "sid", "label")
+        per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
+        left = per.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        few = (F.col("n") * F.col("n") - F.col("sq")) / 2 <= CROSS * F.col("n")
+        return self.scratch.keep(own.join(left.select("node", "n", "most", few.alias("small")), "node"))
+
+    def labelled(self, rows: DataFrame, of: str, name: str) -> DataFrame:
+        """``rows`` with the component of the class in column ``of``, as ``name``."""
+        if self.labels is None:
+            return rows.withColumn(name, F.col(of))
+        known = self.labels.select(F.col("sid").alias(of), F.col("label").alias(name))
+        return rows.join(known, of, "left").withColumn(name, F.coalesce(name, of))
+
+    def settle(self, own: DataFrame) -> None:
+        """Compares all pairs across components of large nodes: sketches block by block, then whole sets of the likely ones."""
+        low = self.sketches()
+        count = F.ceil(F.col("n") / SIDE).cast("int")
+        dealt = own.select("node", "sid", "label", count.alias("many")).join(low, "sid").withColumn("block", F.pmod(F.xxhash64("sid", "node"), F.col("many")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        dealt = dealt.select("node", "sid", "label", "sketch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        pairs = dealt.groupBy("node", "lo", "hi").applyInPandas(blocks(self.least()), "a long, b long, same int")
+        likely = self.scratch.keep(pairs.distinct())
+        self.scratch.drop(low)
+        for _ in range(MAX_LEVELS):
+            best = self.scratch.keep(self.promising(likely))
+            tried = best.count()
+            linked = self.test(best) if tried else 0
+            rest = self.labelled(self.labelled(likely.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b", "same")
+            rest = self.scratch.keep(rest)
+            self.scratch.drop(likely, best)
+            likely = rest
+            # Rounds pay while they link; what they leave is compared all the same.
+            if not tried or 8 * linked < tried:
+                break
+        self.test(likely)
+        self.scratch.drop(likely)
+
+    def least(self) -> int:
+        """Bytes in which the sketches of a pair at the threshold agree, less 5 standard deviations."""
+        slack = 5 * math.sqrt(self.threshold * (1 - self.threshold) / SKETCH)
+        return math.floor((self.threshold - slack) * SKETCH)
+
+    def sketches(self) -> DataFrame:
+        sketch = self.classes.select("sid", F.substring("sig", 1, 4 * SKETCH).alias("sig"))
+        return self.scratch.keep(sketch.mapInPandas(low_bytes, "sid long, sketch binary"))
+
+    def promising(self, likely: DataFrame) -> DataFrame:
+        """The most promising pair of each class: (a, b)."""
+        # In both directions; on ties the least partner, so that groups form stars.
+        ends = likely.select(F.col("a").alias("v"), F.col("b").alias("w"), "same").unionAll(likely.select(F.col("b").alias("v"), F.col("a").alias("w"), "same"))
+        sure = math.floor((self.threshold + 0.06) * SKETCH)
+        top = ends.groupBy("v").agg(F.min(F.when(F.col("same") >= sure, F.col("w"))).alias("near"), F.max(F.struct("same", F.bitwise_not("w").alias("w"))).alias("top"))
+        return top.select("v", F.coalesce("near", F.bitwise_not(F.col("top.w"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
     def confirm(self, pairs: DataFrame, best: bool) -> None:
         """Adds to links and labels what holds of candidate pairs (a, b); with ``best``, of the best pair of each class."""
         scratch = self.scratch
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sketch = self.classes.select("sid", F.substring("sig", 1, 4 * SKETCH).alias("sig"))
-        low = self.scratch.keep(sketch.mapInPandas(low_bytes, "sid long, sketch binary"))
+        low = self.sketches()
         both = pairs.join(low.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(low.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
-        slack = 5 * math.sqrt(self.threshold * (1 - self.threshold) / SKETCH)
-        likely = scratch.keep(both.mapInPandas(sketched(math.floor((self.threshold - slack) * SKETCH)), "a long, b long, same int"))
+        likely = scratch.keep(both.mapInPandas(sketched(self.least()), "a long, b long, same int"))
         scratch.drop(low)
         scratch.free_shuffles()
         if not likely.limit(1).count():
             return
         if best:
-            # In both directions; on ties the least partner, so that groups form stars.
-            ends = likely.select(F.col("a").alias("v"), F.col("b").alias("w"), "same").unionAll(likely.select(F.col("b").alias("v"), F.col("a").alias("w"), "same"))
-            sure = math.floor((self.threshold + 0.06) * SKETCH)
-            top = ends.groupBy("v").agg(F.min(F.when(F.col("same") >= sure, F.col("w"))).alias("near"), F.max(F.struct("same", F.bitwise_not("w").alias("w"))).alias("top"))
-            likely = scratch.keep(top.select("v", F.coalesce("near", F.bitwise_not(F.col("top.w"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
+            likely = scratch.keep(self.promising(likely))
+        self.test(likely)
+        scratch.drop(likely)
+
+    def test(self, likely: DataFrame) -> int:
+        """Adds to links and labels the pairs (a, b) whose whole sets hold; their number."""
+        scratch = self.scratch
         ids = likely.select(F.col("a").alias("sid")).unionAll(likely.select(F.col("b").alias("sid"))).distinct()
         wanted = self.classes.join(ids, "sid", "left_semi").select("sid", F.col("doc").alias("doc_id"))
         texts = scratch.keep(self.rows.join(wanted, "doc_id").mapInPandas(own_text, "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
         scratch.free_shuffles()
-        self.add(self.whole(likely, texts))
-        scratch.drop(likely, texts)
+        links = self.whole(likely, texts)
+        self.add(links)
+        scratch.drop(texts)
         scratch.free_shuffles()
+        return links.count()
 
     def whole(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")

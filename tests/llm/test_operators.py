@@ -170,6 +170,23 @@ def test_neardup_large_groups_and_deep_nodes(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_neardup_large_nodes_lose_no_pair(spark, monkeypatch):
+    """Chains of near copies over one template, all in a few large nodes: any link that is lost cuts a chain."""
+    monkeypatch.setattr(neardup, "CROSS", 1)
+    monkeypatch.setattr(neardup, "SIDE", 16, raising=False)
+    rows = []
+    for g in range(60):
+        # 160 words of template and 23 of the chain: chains are at 0.75, steps of a chain at about 0.84.
+        words = [f"t{i}" for i in range(160)]
+        for k in range(4):
+            own = list(words)
+            for i in range(23):
+                own[7 * i] = f"c{g}x{i}" if i % 4 > k else f"c{g}y{i}"
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_neardup_awkward(spark, odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == len(ROWS) and (5, 1, 4) in got and (1, 0, 1) in got and (3, 0, 3) in got and (7, 119, 6) in got

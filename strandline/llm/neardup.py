@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, hash_words, mix64, slices, small_batches, table
@@ -65,6 +65,11 @@ def set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def text_hash(text: bytes) -> int:
+    """Spark's xxhash64 of a binary."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).astype(np.int64))
+
+
 def minwise(s: np.ndarray) -> np.ndarray:
     """The minwise tokens of a set (uint32)."""
     least = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -74,19 +79,20 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, n_shingles, sid and minwise tokens of each text; null sid for an empty set. Texts are lower-cased in A-Z."""
+    """doc_id, th (Spark's xxhash64 of the text), n_shingles, sid and minwise tokens of each text; null sid for an empty set.
+    Texts are lower-cased in A-Z."""
     for rows in batches:
         for ids, texts in slices(rows["doc_id"], rows["text"]):
             split = [t.lower().split() for t in texts]
             words = hash_words([w for s in split for w in s])
             out, at = [], 0
-            for i, s in zip(ids, split, strict=True):
+            for i, t, s in zip(ids, texts, split, strict=True):
                 x = shingles(words[at : at + len(s)])
                 at += len(s)
-                out.append((i, len(x), set_id(x) if len(x) else None, minwise(x).tobytes() if len(x) else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "sid", "sig"])
+                out.append((i, text_hash(t), len(x), set_id(x) if len(x) else None, minwise(x).tobytes() if len(x) else None))
+            frame = pd.DataFrame(out, columns=["doc_id", "th", "n_shingles", "sid", "sig"])
             # Built as nullable integers at once: by way of floats, ids would lose bits wherever a batch has an empty set.
-            frame["sid"] = pd.array([x[2] for x in out], dtype="Int64")
+            frame["sid"] = pd.array([x[3] for x in out], dtype="Int64")
             yield frame
 
 
@@ -219,10 +225,11 @@ class Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         # Ids go through Python as text, since pandas makes floats of integers with nulls.
         named = self.rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        sets = named.mapInPandas(sets_of, "doc_id string, n_shingles long, sid long, sig binary")
+        sets = named.mapInPandas(sets_of, "doc_id string, th long, n_shingles long, sid long, sig binary")
         self.sets = self.scratch.keep(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
-        classes = self.sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"))
-        self.classes = self.scratch.keep(classes)
+        # The row of a class: of least doc_id, null last, then of least text hash.
+        classes = self.sets.where("sid is not null").groupBy("sid").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"), F.min("sig").alias("sig"))
+        self.classes = self.scratch.keep(classes.select("sid", F.col("row.doc_id").alias("doc"), F.col("row.th").alias("th"), "sig"))
         self.n = self.classes.count()
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -324,8 +331,10 @@ class Join:
         """Adds to links and labels the pairs (a, b) whose whole sets hold; their number."""
         scratch = self.scratch
         ids = likely.select(F.col("a").alias("sid")).unionAll(likely.select(F.col("b").alias("sid"))).distinct()
-        wanted = self.classes.join(ids, "sid", "left_semi").select("sid", F.col("doc").alias("doc_id"))
-        texts = scratch.keep(self.rows.join(wanted, "doc_id").mapInPandas(own_text, "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
+        wanted = self.classes.join(ids, "sid", "left_semi").select("sid", "doc", F.col("th").alias("own"))
+        rows = self.rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(b""))))
+        rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("own"))).select("sid", "text")
+        texts = scratch.keep(rows.mapInPandas(own_text, "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
         scratch.free_shuffles()
         links = self.whole(likely, texts)
         self.add(links)
@@ -353,7 +362,7 @@ def low_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def own_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows whose text has the set that is asked for; a doc_id may have rows of other texts."""
+    """Rows whose text has the set that is asked for."""
     for rows in batches:
         keep = [t is not None and set_id(text_shingles(t)) == s for s, t in zip(rows["sid"], rows["text"], strict=True)]
         yield rows.loc[keep, ["sid", "text"]]
@@ -366,17 +375,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     doc_id are judged by their own texts. kept: doc_id is the component's least. A null doc_id is never a component's id
     unless all are null. ``recall`` is the chance that a pair of just the threshold's similarity becomes a candidate.
     """
+    out = judged(docs, threshold, recall)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def judged(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, th, n_shingles, sid, label, component_id for each row; label names the component, null for an empty set."""
     join = Join(docs, threshold, recall)
     join.run()
     classes = join.classes.select("sid", "doc")
     if join.labels is not None:
         named = classes.join(join.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-        classes = named.join(least, "label").select("sid", "component_id")
+        classes = named.join(least, "label").select("sid", "label", "component_id")
     else:
-        classes = classes.select("sid", F.col("doc").alias("component_id"))
-    out = join.sets.select("doc_id", "n_shingles", "sid").join(classes, "sid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        classes = classes.select("sid", F.col("sid").alias("label"), F.col("doc").alias("component_id"))
+    out = join.sets.select("doc_id", "th", "n_shingles", "sid").join(classes, "sid", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +400,13 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates stays, that of the least doc_id; empty texts stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: one row of each group of near duplicates stays, that of the least doc_id (null last), then of the least
+    text hash; of rows that repeat both, one. Texts without words all stay."""
+    rows = judged(docs.select("doc_id", "text"), THRESHOLD, RECALL)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("th").alias("_th")]
+    first = rows.where("label is not null").groupBy("label").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"))
+    kept = first.select("row.doc_id", "row.th").select(*key, F.lit(True).alias("_one")).distinct()
+    kept = kept.unionAll(rows.where("label is null").select(*key, F.lit(False).alias("_one")).distinct())
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
+    turn = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.xxhash64(*docs.columns)))
+    return own.join(kept, ["_id", "_th"]).withColumn("_turn", turn).where("_turn = 1 or not _one").select(*docs.columns)

@@ -55,3 +55,31 @@ def test_stages_on_awkward_rows(spark):
         assert out.count() >= 1, name
         assert stage(spark, d.limit(0), DATA).count() == 0, name
     assert all("hunter2" not in (r.text or "") for r in secrets.stage_secrets(spark, d, DATA).collect())
+
+
+def test_neardup_stage_decides_by_row(spark):
+    long = lambda name, last: " ".join(f"{name}{i}" for i in range(60)) + f" {last}"
+    rows = [
+        (None, long("n", "x"), "one"),
+        (None, long("n", "y"), "one"),
+        (None, long("n", "x"), "one"),
+        (None, long("z", "x"), "two"),
+        (7, long("z", "y"), "two"),
+        (8, long("r", "x"), "three"),
+        (8, long("r", "x"), "three"),
+        (8, long("r", "x"), "three, other row"),
+        (8, long("r", "y"), "three"),
+        (9, long("s", "x"), "four"),
+        (9, long("r", "z"), "three"),
+        (None, "", "empty"),
+        (None, None, "null"),
+        (4, None, "null"),
+        (4, None, "null"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = neardup.stage_neardup(spark, d, DATA).collect()
+    words = sorted((r.text[0], r.doc_id or 0) for r in got if r.text)
+    assert words == [("n", 0), ("r", 8), ("s", 9), ("z", 7)]
+    assert sorted((r.source, r.doc_id or 0) for r in got if not r.text) == [("empty", 0), ("null", 0), ("null", 4), ("null", 4)]
+    group = [r.component_id for r in neardup.near_duplicates(d.where("source = 'two'")).collect()]
+    assert group == [7, 7]

@@ -55,9 +55,9 @@ def unplanes(b: bytes, kind: type) -> np.ndarray:
 
 
 def pack(doc: np.ndarray, check: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None = None) -> dict[str, bytes]:
-    """Columns of one packed row from arrays that are sorted by document and position."""
+    """Columns of one packed row from arrays in which each document's positions rise; where they fall, a repeated row begins."""
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (check[1:] != check[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]) | (pos[1:] < pos[:-1])
     first = np.flatnonzero(new)
     gap = np.diff(pos, prepend=0).astype(np.int64)
     gap[first] = pos[first]

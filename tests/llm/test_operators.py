@@ -228,6 +228,17 @@ def test_substrings_planted(spark):
     assert got == brute_removed([(i, [x.encode() for x in w]) for i, w in rows])
 
 
+def test_substrings_repeated_rows(spark):
+    doc, check, pos = np.full(6, 3, dtype=np.int64), np.full(6, 9, dtype=np.uint16), np.array([3, 10, 50, 3, 10, 50])
+    packed = substrings.pack(doc, check, pos)
+    assert substrings.unpack(*(packed[c] for c in ("docs", "checks", "counts", "gaps")))[2].tolist() == pos.tolist()
+    shared = [f"s{i}" for i in range(70)]
+    rows = [(1, shared)] + [(2, [f"b{i}" for i in range(30)] + shared + ["end"])] * 3 + [(3, shared)] * 2
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(d, digests=True).collect())
+    assert got == brute_removed([(i, [x.encode() for x in w]) for i, w in rows])
+
+
 def test_substrings_awkward(spark, odd, empty):
     got = substrings.dedup(odd).collect()
     assert len(got) == len(ROWS)

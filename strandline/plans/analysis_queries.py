@@ -120,7 +120,14 @@ SQL_SUBSETS = V.with_(V.READS, "g AS (SELECT contig || mate_contig || strand AS
 
 
 def q_even_thinning(spark: SparkSession, d: str) -> DataFrame:
-    r = V.reads(spark, d).where("supp < 8")
+    return _thinned(V.reads(spark, d).where("supp < 8"))
+
+
+def q_even_thinning_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _thinned(V.reads(spark, d))
+
+
+def _thinned(r: DataFrame) -> DataFrame:
     k = A.even_thinning(r, "supp", [F.col("pos0"), F.col("rid")], F.col("mapq") == 70, 40)
     return k.groupBy("supp").agg(F.count("*").alias("kept"), F.max("n_before").alias("n_before"), F.count_if(F.col("mapq") == 70).alias("priority"), F.sum("rid").cast("long").alias("checksum"))
 
@@ -131,6 +138,9 @@ SQL_THINNING = V.with_(
 ) + "SELECT supp, count(*) AS kept, max(n_before) AS n_before, count(*) FILTER (p) AS priority, CAST(sum(rid) AS BIGINT) AS checksum FROM x WHERE CASE WHEN p THEN i < 40 ELSE room > 0 AND (n <= room OR (i*room)//n > CASE WHEN i = 0 THEN -1 ELSE ((i-1)*room)//n END) END GROUP BY 1"
 
 
+SQL_THINNING_WHOLE = SQL_THINNING.replace(" WHERE supp < 8", "")
+
+
 def q_entropy_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return A.pair_entropy(t(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_pairs", F.round("entropy", 6).alias("entropy"))
 
@@ -204,6 +214,17 @@ def q_quote_verbatim(spark: SparkSession, d: str) -> DataFrame:
 SQL_QUOTE = "SELECT c.conv_id, c.turn, coalesce(contains(p.text, substr(c.text, 1, 12)), false) AS quoted, len(string_split(c.text, chr(10))) AS n_lines FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn"
 
 
+def q_quote_verbatim_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the whole of a turn comes verbatim in the turn before, and the number of its lines."""
+    c = t(spark, d, "conversations")
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    x = c.join(prev, ["conv_id", "turn"], "left")
+    return x.select("conv_id", "turn", F.coalesce(F.contains("before", "text"), F.lit(False)).alias("quoted"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+SQL_QUOTE_WHOLE = SQL_QUOTE.replace("substr(c.text, 1, 12)", "c.text")
+
+
 def q_sentence_polarity(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("s"))
     return R.polarity(s, ["conv_id"], "s", " en ", "que", "est").groupBy("conv_id", "polarity").agg(F.count("*").alias("n"))
@@ -387,6 +408,7 @@ QUERIES = {
     "q_pearson_guarded": (q_pearson_guarded, SQL_PEARSON),
     "q_subset_sums": (q_subset_sums, SQL_SUBSETS),
     "q_even_thinning": (q_even_thinning, SQL_THINNING),
+    "q_even_thinning_whole": (q_even_thinning_whole, SQL_THINNING_WHOLE),
     "q_entropy_bigrams": (q_entropy_bigrams, SQL_ENTROPY),
     "q_longest_run": (q_longest_run, SQL_RUN),
     "q_longest_dinuc": (q_longest_dinuc, SQL_DINUC),
@@ -394,6 +416,7 @@ QUERIES = {
     "q_secret_findings": (q_secret_findings, SQL_FINDINGS),
     "q_text_numbers_supported": (q_text_numbers_supported, SQL_NUMBERS),
     "q_quote_verbatim": (q_quote_verbatim, SQL_QUOTE),
+    "q_quote_verbatim_whole": (q_quote_verbatim_whole, SQL_QUOTE_WHOLE),
     "q_sentence_polarity": (q_sentence_polarity, SQL_POLARITY),
     "q_trace_composed_values": (q_trace_composed_values, SQL_COMPOSED),
     "q_cost_by_model": (q_cost_by_model, SQL_COST),

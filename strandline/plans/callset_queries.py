@@ -134,6 +134,14 @@ SQL_TRUTH = (
 )
 
 
+def q_truth_match_closest_whole(spark: SparkSession, d: str) -> DataFrame:
+    a, b = sets(spark, d)
+    return C.closest_truth(b, a, V.TOL1, V.TOL2).select("t_id", "c_id", "distance")
+
+
+SQL_TRUTH_WHOLE = SQL_TRUTH.replace(" WHERE a.id % 5 = 0", "")
+
+
 def q_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
     return C.grid(V.junctions(spark, d), "callset", [1, 3, 5, 7], [0, 6, 15])
 
@@ -267,6 +275,7 @@ QUERIES = {
     "q_dedup_components": (q_dedup_components, SQL_DEDUP),
     "q_mate_pairing": (q_mate_pairing, SQL_MATES),
     "q_truth_match_closest": (q_truth_match_closest, SQL_TRUTH),
+    "q_truth_match_closest_whole": (q_truth_match_closest_whole, SQL_TRUTH_WHOLE),
     "q_threshold_grid": (q_threshold_grid, SQL_GRID),
     "q_loss_attribution": (q_loss_attribution, SQL_LOSS),
     "q_sensitivity_rollup": (q_sensitivity_rollup, SQL_ROLLUP),

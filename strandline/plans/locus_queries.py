@@ -230,7 +230,14 @@ SQL_OVERLAP = V.with_(V.LOCI, V.INTERVALS) + "SELECT locus, count(*) AS genes, C
 
 
 def q_nearest_each_side(spark: SparkSession, d: str) -> DataFrame:
-    lo, g = V.loci(spark, d), V.intervals(spark, d).where("gene % 7 = 0")
+    return _each_side(V.loci(spark, d), V.intervals(spark, d).where("gene % 7 = 0"))
+
+
+def q_nearest_each_side_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _each_side(V.loci(spark, d), V.intervals(spark, d))
+
+
+def _each_side(lo: DataFrame, g: DataFrame) -> DataFrame:
     left = nearest(lo, "locus", g, [], F.col("centre"), F.col("g_end"), "left", 500, [F.col("g_start"), F.col("gene")], ["gene"])
     right = nearest(lo, "locus", g, [], F.col("centre"), F.col("g_start"), "right", 500, [F.col("g_start"), F.col("gene")], ["gene"])
     a = left.select("locus", F.col("gene").alias("left_gene"), F.col("distance").alias("left_distance"))
@@ -245,6 +252,9 @@ SQL_NEAREST = V.with_(V.LOCI, V.INTERVALS, "g AS (SELECT * FROM intervals WHERE
 )
 
 
+SQL_NEAREST_WHOLE = SQL_NEAREST.replace(" WHERE gene % 7 = 0", "")
+
+
 def q_band_of_position(spark: SparkSession, d: str) -> DataFrame:
     """Band of a position: start < position <= end; the bands are the parts' gaps of width 10 in their order."""
     bands = V.intervals(spark, d).select(F.col("g_start").alias("s"), (F.col("g_start") + 10).alias("e"), F.concat(F.lit("q"), F.col("gene").cast("string")).alias("band"), F.substring("g_type", 1, 5).alias("stain"))
@@ -303,6 +313,7 @@ QUERIES = {
     "q_interval_stab": (q_interval_stab, SQL_STAB),
     "q_interval_overlap": (q_interval_overlap, SQL_OVERLAP),
     "q_nearest_each_side": (q_nearest_each_side, SQL_NEAREST),
+    "q_nearest_each_side_whole": (q_nearest_each_side_whole, SQL_NEAREST_WHOLE),
     "q_band_of_position": (q_band_of_position, SQL_BAND),
     "q_canonical_choice": (q_canonical_choice, SQL_CANONICAL),
     "q_segment_counts": (q_segment_counts, SQL_SEGMENT),

@@ -1,6 +1,6 @@
 """Near duplicates by chosen-path set similarity join, with links confirmed on whole shingle sets.
 
-1. Every text becomes its set of two-word shingles; equal sets become one class, so copies cost one row each and no pair.
+1. Every text becomes its set of shingles of ``SHINGLE`` words, or as many as asked for; equal sets become one class, so copies cost one row each and no pair.
 2. Each class has ``COORDINATES`` minwise tokens. In a tree, a node chooses one coordinate, and with probability
    ``EXTRA`` a second one, by a hash of the node alone; classes branch to the children that their minwise tokens at those
    coordinates name. As many independent trees are grown as the target recall needs at the threshold's similarity.
@@ -36,6 +36,7 @@ CROSS = 64
 SIDE = 512
 MAX_LEVELS = 24
 THRESHOLD = 0.8
+SHINGLE = 2
 RECALL = 0.9999
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,15 +50,19 @@ def coefficients() -> tuple[np.ndarray, np.ndarray]:
 _A, _B = coefficients()
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of two-word shingles; of the one word alone; none without words."""
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of shingles of ``size`` words; of all words where they are fewer; none without words."""
     if len(words) < 2:
         return mix64(words ^ np.uint64(0x5851F42D4C957F2D))
-    return np.unique(mix64(words[:-1] * _K + words[1:]))
+    size = min(size, len(words))
+    out = words[: len(words) - size + 1]
+    for k in range(1, size):
+        out = mix64(out * _K + words[k : len(words) - size + 1 + k])
+    return np.unique(out)
 
 
-def text_shingles(text: bytes) -> np.ndarray:
-    return shingles(hash_words(text.lower().split()))
+def text_shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    return shingles(hash_words(text.lower().split()), size)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -78,22 +83,26 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (mix64(least) >> np.uint64(32)).astype(np.uint32)
 
 
-def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sets_of(size: int):
     """doc_id, th (Spark's xxhash64 of the text), n_shingles, sid and minwise tokens of each text; null sid for an empty set.
     Texts are lower-cased in A-Z."""
-    for rows in batches:
-        for ids, texts in slices(rows["doc_id"], rows["text"]):
-            split = [t.lower().split() for t in texts]
-            words = hash_words([w for s in split for w in s])
-            out, at = [], 0
-            for i, t, s in zip(ids, texts, split, strict=True):
-                x = shingles(words[at : at + len(s)])
-                at += len(s)
-                out.append((i, text_hash(t), len(x), set_id(x) if len(x) else None, minwise(x).tobytes() if len(x) else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "th", "n_shingles", "sid", "sig"])
-            # Built as nullable integers at once: by way of floats, ids would lose bits wherever a batch has an empty set.
-            frame["sid"] = pd.array([x[3] for x in out], dtype="Int64")
-            yield frame
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for ids, texts in slices(rows["doc_id"], rows["text"]):
+                split = [t.lower().split() for t in texts]
+                words = hash_words([w for s in split for w in s])
+                out, at = [], 0
+                for i, t, s in zip(ids, texts, split, strict=True):
+                    x = shingles(words[at : at + len(s)], size)
+                    at += len(s)
+                    out.append((i, text_hash(t), len(x), set_id(x) if len(x) else None, minwise(x).tobytes() if len(x) else None))
+                frame = pd.DataFrame(out, columns=["doc_id", "th", "n_shingles", "sid", "sig"])
+                # Built as nullable integers at once: by way of floats, ids would lose bits wherever a batch has an empty set.
+                frame["sid"] = pd.array([x[3] for x in out], dtype="Int64")
+                yield frame
+
+    return work
 
 
 def misses(depth: int, threshold: float, more: float = EXTRA) -> float:
@@ -170,7 +179,7 @@ def blocks(least: int):
     return work
 
 
-def confirmed(percent: int):
+def confirmed(percent: int, size: int):
     """Pairs whose whole sets have 100 * intersection >= percent * union."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +192,7 @@ def confirmed(percent: int):
                     if i not in known:
                         if len(known) >= 256:
                             known.clear()
-                        known[i] = text_shingles(t)
+                        known[i] = text_shingles(t, size)
                     both.append(known[i])
                 x, y = both
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -218,14 +227,14 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 class Join:
     """The state of one run: classes, confirmed links and their components."""
 
-    def __init__(self, docs: DataFrame, threshold: float, recall: float) -> None:
-        self.spark, self.threshold, self.recall = docs.sparkSession, threshold, recall
+    def __init__(self, docs: DataFrame, threshold: float, recall: float, shingle: int) -> None:
+        self.spark, self.threshold, self.recall, self.shingle = docs.sparkSession, threshold, recall, shingle
         self.scratch = Scratch(self.spark, "neardup")
         small_batches(self.spark, 1024)
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         # Ids go through Python as text, since pandas makes floats of integers with nulls.
         named = self.rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        sets = named.mapInPandas(sets_of, "doc_id string, th long, n_shingles long, sid long, sig binary")
+        sets = named.mapInPandas(sets_of(shingle), "doc_id string, th long, n_shingles long, sid long, sig binary")
         self.sets = self.scratch.keep(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
         # The row of a class: of least doc_id, null last, then of least text hash.
         classes = self.sets.where("sid is not null").groupBy("sid").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"), F.min("sig").alias("sig"))
@@ -334,7 +343,7 @@ class Join:
         wanted = self.classes.join(ids, "sid", "left_semi").select("sid", "doc", F.col("th").alias("own"))
         rows = self.rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(b""))))
         rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("own"))).select("sid", "text")
-        texts = scratch.keep(rows.mapInPandas(own_text, "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
+        texts = scratch.keep(rows.mapInPandas(own_text(self.shingle), "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
         scratch.free_shuffles()
         links = self.whole(likely, texts)
         self.add(links)
@@ -344,7 +353,7 @@ class Join:
 
     def whole(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
-        return self.scratch.keep(both.mapInPandas(confirmed(round(100 * self.threshold)), "a long, b long"))
+        return self.scratch.keep(both.mapInPandas(confirmed(round(100 * self.threshold), self.shingle), "a long, b long"))
 
     def add(self, links: DataFrame) -> None:
         if not links.limit(1).count():
@@ -361,27 +370,32 @@ def low_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sid": rows["sid"], "sketch": [r.tobytes() for r in x]})
 
 
-def own_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def own_text(size: int):
     """Rows whose text has the set that is asked for."""
-    for rows in batches:
-        keep = [t is not None and set_id(text_shingles(t)) == s for s, t in zip(rows["sid"], rows["text"], strict=True)]
-        yield rows.loc[keep, ["sid", "text"]]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keep = [t is not None and set_id(text_shingles(t, size)) == s for s, t in zip(rows["sid"], rows["text"], strict=True)]
+            yield rows.loc[keep, ["sid", "text"]]
+
+    return work
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, a whole number, and text; others are left out).
 
     Texts without words are linked with nothing: component_id is their own doc_id. Equal sets are linked. Rows of one
     doc_id are judged by their own texts. kept: doc_id is the component's least. A null doc_id is never a component's id
     unless all are null. ``recall`` is the chance that a pair of just the threshold's similarity becomes a candidate.
+    ``shingle`` is the number of words of a shingle.
     """
-    out = judged(docs, threshold, recall)
+    out = judged(docs, threshold, recall, shingle)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def judged(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+def judged(docs: DataFrame, threshold: float, recall: float, shingle: int) -> DataFrame:
     """doc_id, th, n_shingles, sid, label, component_id for each row; label names the component, null for an empty set."""
-    join = Join(docs, threshold, recall)
+    join = Join(docs, threshold, recall, shingle)
     join.run()
     classes = join.classes.select("sid", "doc")
     if join.labels is not None:
@@ -396,13 +410,13 @@ def judged(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
-def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = SHINGLE) -> DataFrame:
     """Pipeline stage: one row of each group of near duplicates stays, that of the least doc_id (null last), then of the least
     text hash; of rows that repeat both, one. Texts without words all stay."""
-    rows = judged(docs.select("doc_id", "text"), THRESHOLD, RECALL)
+    rows = judged(docs.select("doc_id", "text"), THRESHOLD, RECALL, shingle)
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("th").alias("_th")]
     first = rows.where("label is not null").groupBy("label").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"))
     kept = first.select("row.doc_id", "row.th").select(*key, F.lit(True).alias("_one")).distinct()

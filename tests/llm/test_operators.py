@@ -187,6 +187,15 @@ def test_neardup_large_nodes_lose_no_pair(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_neardup_shingle_length(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i % 18 == 9 else w for i, w in enumerate(base)]
+    d = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, "a b c"), (4, "a b c")], "doc_id bigint, text string")
+    got = lambda **k: {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, **k).collect()}
+    assert got(shingle=2) == {1: (199, 1), 2: (199, 1), 3: (2, 3), 4: (2, 3)}
+    assert got(shingle=5) == {1: (196, 1), 2: (196, 2), 3: (1, 3), 4: (1, 3)}
+
+
 def test_neardup_awkward(spark, odd, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == len(ROWS) and (5, 1, 4) in got and (1, 0, 1) in got and (3, 0, 3) in got and (7, 119, 6) in got

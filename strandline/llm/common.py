@@ -7,7 +7,6 @@ exactly ``bytes.split()``, so Python operators receive texts cast to BINARY and
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import removed, shared_folder
+
 #: Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset (tests), a temporary one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 class Scratch:
     """Durable intermediate tables under the shared folder; ``drop`` removes one as soon as it is no longer needed.
 
@@ -41,7 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads the written table, which survives lost executors."""
@@ -55,9 +47,7 @@ class Scratch:
     def drop(self, *dfs: DataFrame) -> None:
         """Delete the tables that ``keep`` wrote for these DataFrames."""
         for df in dfs:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            removed(self.spark, df._scratch)
 
     def free_shuffles(self) -> None:
         """Let Spark's cleaner remove shuffle files of finished jobs, which else stay until the driver collects garbage."""

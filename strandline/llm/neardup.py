@@ -1,17 +1,19 @@
 """Near duplicates by chosen-path set similarity join, with links confirmed on whole shingle sets.
 
-1. Every text becomes its set of shingles of ``SHINGLE`` words, or as many as asked for; equal sets become one class, so copies cost one row each and no pair.
+1. Every text becomes its set of shingles; equal sets become one class, so copies cost one row each and no pair.
 2. Each class has ``COORDINATES`` minwise tokens. In a tree, a node chooses one coordinate, and with probability
    ``EXTRA`` a second one, by a hash of the node alone; classes branch to the children that their minwise tokens at those
-   coordinates name. As many independent trees are grown as the target recall needs at the threshold's similarity.
-3. As many levels as keep unrelated classes apart at this number of classes are walked, none deeper: the number of trees
-   gives the recall at just that level. Then every member of a node is compared to the node's pivot, its least class; of
-   these pairs each class's most promising one is confirmed. What is then left of a node are the pairs across components:
-   none where links join all members. All of them are compared: by a join where they are at most ``CROSS`` for each
-   member, else in salted blocks of about ``SIDE`` members, where only pairs that pass the sketch leave a block. Of those,
-   each class's most promising one is confirmed first, for up to ``MAX_LEVELS`` rounds while that links; then the rest.
-4. A candidate pair must pass a 64-byte sketch (5 standard deviations of slack), then the whole sets decide.
-5. Components come from alternating large-star and small-star steps over written tables.
+   coordinates name.
+3. The depth is measured over all classes (``depth_of``): branching ends where one more level would no longer halve large
+   nodes, but for a share of ``SHARE`` of the classes. As many independent trees are grown as the target recall needs for a
+   pair of the threshold's similarity at just that depth.
+4. In each node every member is compared, by sketches, with the members of its block (the whole node, unless it has more
+   than ``SIDE`` members); the most promising pair of each class is confirmed. That makes components of most groups.
+5. Nodes that still hold several components are compared exhaustively across components. A large node is cut into blocks:
+   the members outside its largest component meet all blocks, those inside it only them. A pair of blocks with few pairs
+   that pass the sketch gives these pairs; one with many is settled in place on whole sets and gives a spanning forest of
+   the links, so no more rows than members.
+6. A pair must pass a sketch of ``SKETCH`` bytes (5 standard deviations of slack), then the whole sets decide.
 
 No step collects ids, links or components; the driver sees counts only.
 """
@@ -27,14 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..graph import components
 from .common import Scratch, hash_words, mix64, slices, small_batches, table
 
 COORDINATES = 128
-SKETCH = 64
+SKETCH = 128
 EXTRA = 0.1
-CROSS = 64
-SIDE = 512
-MAX_LEVELS = 24
+#: Pairs that a block may give for each of its members; above, it is settled in place.
+CROSS = 1
+#: Members of a block.
+SIDE = 256
+#: Nodes above this size are large when the depth is measured, and SHARE is the part of the classes that may stay in them.
+NODE = 64
+SHARE = 0.01
+#: Deepest level.
+MAX_LEVELS = 12
 THRESHOLD = 0.8
 SHINGLE = 2
 RECALL = 0.9999
@@ -124,12 +133,46 @@ def branch(node: np.ndarray, sig: np.ndarray, row: np.ndarray, more: float) -> t
     return np.concatenate([child(node, first, row), child(node[again], second[again], row[again])]), np.concatenate([row, row[again]])
 
 
+def signatures(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, COORDINATES)
+
+
+def paths(levels: int):
+    """The nodes of each class on one path without second choices: (level, parent, node), a row for each level and class."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sig = signatures(rows)
+            row = np.arange(len(sig))
+            node = np.zeros(len(sig), dtype=np.uint64)
+            for level in range(1, levels + 1):
+                child, _ = branch(node, sig, row, 0.0)
+                yield pd.DataFrame({"level": level, "parent": node.view(np.int64), "node": child.view(np.int64)})
+                node = child
+
+    return work
+
+
+def depth_of(classes: DataFrame, n: int) -> int:
+    """The least depth at which at most ``SHARE`` of the classes are in large nodes that another level would halve or better.
+
+    Counted over all classes: how many share a node at each level of a path, and how many a class can expect beside it one
+    level on. Groups of near copies stay together at any depth and don't count; what counts are texts that share a part.
+    """
+    steps = classes.select("sig").mapInPandas(paths(MAX_LEVELS + 1), "level int, parent long, node long")
+    sizes = steps.groupBy("level", "parent", "node").agg(F.count("*").alias("k"))
+    parents = sizes.groupBy("level", "parent").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"))
+    halved = (F.col("n") > NODE) & (2 * F.col("sq") <= F.col("n") * F.col("n"))
+    found = {r.level - 1: r.n for r in parents.groupBy("level").agg(F.sum(F.when(halved, F.col("n")).otherwise(0)).alias("n")).collect()}
+    return next((d for d in range(1, MAX_LEVELS) if found.get(d, 0) <= SHARE * n), MAX_LEVELS)
+
+
 def grown(trees: int, depth: int, more: float):
     """Nodes at ``depth`` of all trees for each class: (node, sid)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, COORDINATES)
+            sig = signatures(rows)
             sid = rows["sid"].to_numpy(dtype=np.int64)
             for t in range(trees):
                 row = np.arange(len(sid))
@@ -141,44 +184,143 @@ def grown(trees: int, depth: int, more: float):
     return work
 
 
-def sketched(least: int):
-    """Pairs whose sketches agree in at least ``least`` bytes, with the number that agree."""
+def low_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lowest byte of each of the first ``SKETCH`` minwise tokens."""
+    for rows in batches:
+        x = signatures(rows)[:, :SKETCH].astype(np.uint8)
+        yield pd.DataFrame({"sid": rows["sid"], "sketch": [r.tobytes() for r in x]})
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as frames of whole groups, with the number of the group by row. A group is at most two blocks."""
+    rest: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        change = np.flatnonzero((rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(1))
+        same = rest and (rest[-1][keys].iloc[-1].to_numpy() == rows[keys].iloc[0].to_numpy()).all()
+        if same and not len(change):
+            rest.append(rows)
+            continue
+        cut = change[-1] + 1 if len(change) else 0
+        done = [*rest, rows.iloc[:cut]]
+        rest = [rows.iloc[cut:]]
+        yield numbered(pd.concat(done, ignore_index=True), keys)
+    if rest:
+        yield numbered(pd.concat(rest, ignore_index=True), keys)
+
+
+def numbered(rows: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    k = rows[keys].to_numpy()
+    return rows, np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(1))]) if len(rows) else np.zeros(0, dtype=np.int64)
+
+
+def alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of equal bytes of sketches i and j. Lanes of 8 bytes are added up first: SKETCH / 8 is below 256."""
+    out = np.empty(len(i), dtype=np.uint64)
+    for a in range(0, len(i), 8192):
+        same = (sketch[i[a : a + 8192]] == sketch[j[a : a + 8192]]).view(np.uint64).sum(1, dtype=np.uint64)
+        out[a : a + 8192] = (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    return out.astype(np.int32)
+
+
+def within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group, as arrays: those one row apart, two rows apart and so on."""
+    i = np.arange(len(group) - 1)
+    for step in range(1, len(group)):
+        i = i[i < len(group) - step]
+        i = i[group[i] == group[i + step]]
+        if not len(i):
+            return
+        yield i, i + step
+
+
+def best_pairs(least: int, sure: int):
+    """The most promising partner of each member of a block: (v, w, same), with the least partner among those that are sure,
+    and among equals, so that groups form stars."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            x, y = (np.frombuffer(b"".join(rows[c]), dtype=np.uint8).reshape(-1, SKETCH) for c in ("x", "y"))
-            same = (x == y).sum(1)
-            keep = same >= least
-            yield pd.DataFrame({"a": rows["a"][keep], "b": rows["b"][keep], "same": same[keep]})
+        for rows, group in whole_groups(batches, ["node", "block"]):
+            sid = rows["sid"].to_numpy(dtype=np.int64)
+            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
+            best, mate = np.zeros(len(sid), dtype=np.int32), np.zeros(len(sid), dtype=np.int64)
+            for i, j in within(group):
+                same = np.minimum(alike(sketch, i, j), sure)
+                i, j, same = (x[same >= least] for x in (i, j, same))
+                for v, w in ((i, j), (j, i)):
+                    better = (same > best[v]) | ((same == best[v]) & (sid[w] < mate[v]))
+                    best[v[better]], mate[v[better]] = same[better], sid[w[better]]
+            own = best > 0
+            yield pd.DataFrame({"v": sid[own], "w": mate[own], "same": best[own]})
 
     return work
 
 
-def blocks(least: int):
-    """Pairs (a, b, same) of two blocks of a node, or of one, in different components, whose sketches agree in ``least`` bytes."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        sid, label, block = (rows[c].to_numpy(dtype=np.int64) for c in ("sid", "label", "block"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
-        one = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        x = np.flatnonzero(block == rows["lo"].iloc[0])
-        y = x if one else np.flatnonzero(block == rows["hi"].iloc[0])
-        out = []
-        for at in range(0, len(x), SIDE):
-            own = x[at : at + SIDE]
-            same = np.zeros((len(own), len(y)), dtype=np.uint8)
-            for k in range(SKETCH):
-                same += sketch[own, k][:, None] == sketch[y, k][None, :]
-            keep = (same >= least) & (label[own][:, None] != label[y][None, :])
-            if one:
-                keep &= sid[own][:, None] < sid[y][None, :]
-            i, j = np.nonzero(keep)
-            out.append(pd.DataFrame({"a": np.minimum(sid[own[i]], sid[y[j]]), "b": np.maximum(sid[own[i]], sid[y[j]]), "same": same[i, j].astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "same": []})
+def open_pairs(least: int):
+    """Pairs of a group across components that pass the sketch: (a, b), both null in the rows of a group with over ``CROSS``
+    for each member, of which there is one for each member that has any (node, lo, hi, sid)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in whole_groups(batches, ["node", "lo", "hi"]):
+            node, lo, hi, sid, label, block = (rows[c].to_numpy(dtype=np.int64) for c in ("node", "lo", "hi", "sid", "label", "block"))
+            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
+            left, right = [], []
+            for i, j in within(group):
+                other = (label[i] != label[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+                i, j = i[other], j[other]
+                keep = alike(sketch, i, j) >= least
+                left.append(i[keep])
+                right.append(j[keep])
+            i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+            n = int(group[-1]) + 1 if len(group) else 0
+            dense = np.bincount(group[i], minlength=n) > CROSS * np.bincount(group, minlength=n)
+            few = ~dense[group[i]] if len(i) else np.zeros(0, dtype=bool)
+            a, b = sid[i[few]], sid[j[few]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(node=None, lo=None, hi=None, sid=None)
+            live = np.unique(np.concatenate([i[~few], j[~few]]))
+            yield pd.DataFrame({"a": None, "b": None, "node": node[live], "lo": lo[live], "hi": hi[live], "sid": sid[live]})
+
+    return work
+
+
+def settled(percent: int, size: int, least: int):
+    """A spanning forest of the links of each group on whole sets: (a, b)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in whole_groups(batches, ["node", "lo", "hi"]):
+            out = []
+            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(group)) + 1):
+                own = rows.iloc[at]
+                sid, label = own["sid"].to_numpy(dtype=np.int64), own["label"].to_numpy(dtype=np.int64)
+                sketch = np.frombuffer(b"".join(own["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
+                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in forest([text_shingles(t, size) for t in own["text"]], label, sketch, percent, least)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work
 
 
+def forest(sets: list[np.ndarray], label: np.ndarray, sketch: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
+    """Links that join the components of ``label`` as far as whole sets do: each member is marked in turn, and the tokens of
+    all members of other components that pass the sketch are looked up in its marks."""
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(tokens), dtype=np.int32)
+    label, links = label.copy(), []
+    for i in range(len(sets) - 1):
+        mark[place[start[i] : start[i + 1]]] = 1
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[alike(sketch, np.full(len(j), i), j) >= least]
+        for k in j:
+            if label[k] != label[i]:
+                common = int(mark[place[start[k] : start[k + 1]]].sum())
+                if 100 * common >= percent * (size[i] + size[k] - common):
+                    links.append((i, int(k)))
+                    label[label == label[k]] = label[i]
+        mark[place[start[i] : start[i + 1]]] = 0
+    return links
+
+
 def confirmed(percent: int, size: int):
     """Pairs whose whole sets have 100 * intersection >= percent * union."""
 
@@ -202,30 +344,8 @@ def confirmed(percent: int, size: int):
     return work
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(sid, label): the least node that links reach from each node that has any. Written, star by star, until nothing moves."""
-    edges = scratch.keep(links.select("a", "b").where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = scratch.keep(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
-        scratch.drop(edges)
-        edges = after
-        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
-    # No node points at a node that points on, so the labels are the roots.
-    return edges.select(F.col("a").alias("sid"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("sid"), F.col("b").alias("label")).distinct())
-
-
 class Join:
-    """The state of one run: classes, confirmed links and their components."""
+    """The state of one run: classes, and the components of the links confirmed so far."""
 
     def __init__(self, docs: DataFrame, threshold: float, recall: float, shingle: int) -> None:
         self.spark, self.threshold, self.recall, self.shingle = docs.sparkSession, threshold, recall, shingle
@@ -240,134 +360,97 @@ class Join:
         classes = self.sets.where("sid is not null").groupBy("sid").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("row"), F.min("sig").alias("sig"))
         self.classes = self.scratch.keep(classes.select("sid", F.col("row.doc_id").alias("doc"), F.col("row.th").alias("th"), "sig"))
         self.n = self.classes.count()
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def run(self) -> None:
-        depth = max(2, math.ceil(math.log(max(self.n, 2)) / math.log(5)))
-        trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
-        nodes = self.scratch.keep(self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long"))
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("p")).where("n > 1")
-        members = self.scratch.keep(nodes.join(sizes, "node"))
-        self.scratch.drop(nodes)
-        self.confirm(members.select(F.col("sid").alias("a"), F.col("p").alias("b")), True)
-        own = self.open(members.select("node", "sid"))
-        self.scratch.drop(members)
-        # What is left to compare in a node: pairs across components. Members outside its largest component are few.
-        odd = own.where("small and label <> most").select("node", F.col("sid").alias("a"), F.col("label").alias("la"), "most")
-        pairs = odd.join(own.where("small").select("node", F.col("sid").alias("b"), F.col("label").alias("lb")), "node").where("la <> lb and (lb = most or a < b)")
-        self.confirm(pairs.select("a", "b"), False)
-        large = own.where("not small").select("node", "sid")
-        if large.limit(1).count():
-            again = self.open(large)
-            self.settle(again)
-            self.scratch.drop(again)
-        self.scratch.drop(own)
-
-    def open(self, members: DataFrame) -> DataFrame:
-        """Written rows (node, sid, label, n, most, small) of the nodes whose members are in more than one component."""
-        own = self.labelled(members, "sid", "label")
-        per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
-        left = per.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        few = (F.col("n") * F.col("n") - F.col("sq")) / 2 <= CROSS * F.col("n")
-        return self.scratch.keep(own.join(left.select("node", "n", "most", few.alias("small")), "node"))
-
-    def labelled(self, rows: DataFrame, of: str, name: str) -> DataFrame:
-        """``rows`` with the component of the class in column ``of``, as ``name``."""
-        if self.labels is None:
-            return rows.withColumn(name, F.col(of))
-        known = self.labels.select(F.col("sid").alias(of), F.col("label").alias(name))
-        return rows.join(known, of, "left").withColumn(name, F.coalesce(name, of))
-
-    def settle(self, own: DataFrame) -> None:
-        """Compares all pairs across components of large nodes: sketches block by block, then whole sets of the likely ones."""
-        low = self.sketches()
-        count = F.ceil(F.col("n") / SIDE).cast("int")
-        dealt = own.select("node", "sid", "label", count.alias("many")).join(low, "sid").withColumn("block", F.pmod(F.xxhash64("sid", "node"), F.col("many")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-        dealt = dealt.select("node", "sid", "label", "sketch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        pairs = dealt.groupBy("node", "lo", "hi").applyInPandas(blocks(self.least()), "a long, b long, same int")
-        likely = self.scratch.keep(pairs.distinct())
-        self.scratch.drop(low)
-        for _ in range(MAX_LEVELS):
-            best = self.scratch.keep(self.promising(likely))
-            tried = best.count()
-            linked = self.test(best) if tried else 0
-            rest = self.labelled(self.labelled(likely.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b", "same")
-            rest = self.scratch.keep(rest)
-            self.scratch.drop(likely, best)
-            likely = rest
-            # Rounds pay while they link; what they leave is compared all the same.
-            if not tried or 8 * linked < tried:
-                break
-        self.test(likely)
-        self.scratch.drop(likely)
-
     def least(self) -> int:
         """Bytes in which the sketches of a pair at the threshold agree, less 5 standard deviations."""
         slack = 5 * math.sqrt(self.threshold * (1 - self.threshold) / SKETCH)
         return math.floor((self.threshold - slack) * SKETCH)
 
-    def sketches(self) -> DataFrame:
-        sketch = self.classes.select("sid", F.substring("sig", 1, 4 * SKETCH).alias("sig"))
-        return self.scratch.keep(sketch.mapInPandas(low_bytes, "sid long, sketch binary"))
-
-    def promising(self, likely: DataFrame) -> DataFrame:
-        """The most promising pair of each class: (a, b)."""
-        # In both directions; on ties the least partner, so that groups form stars.
-        ends = likely.select(F.col("a").alias("v"), F.col("b").alias("w"), "same").unionAll(likely.select(F.col("b").alias("v"), F.col("a").alias("w"), "same"))
+    def run(self) -> None:
+        scratch = self.scratch
+        depth = depth_of(self.classes, self.n)
+        trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
+        nodes = scratch.keep(self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long"))
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        sketches = self.classes.select("sid", "sig").mapInPandas(low_bytes, "sid long, sketch binary")
+        members = scratch.keep(nodes.join(sizes, "node").join(sketches, "sid"))
+        scratch.drop(nodes)
+        scratch.free_shuffles()
+        self.stars(members)
+        self.across(members)
+        scratch.drop(members)
+
+    def stars(self, members: DataFrame) -> None:
+        """Confirms the most promising pair of each class."""
+        block = F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("n") / SIDE)).cast("int")
+        dealt = members.select("node", block.alias("block"), "sid", "sketch").repartition("node", "block").sortWithinPartitions("node", "block")
         sure = math.floor((self.threshold + 0.06) * SKETCH)
-        top = ends.groupBy("v").agg(F.min(F.when(F.col("same") >= sure, F.col("w"))).alias("near"), F.max(F.struct("same", F.bitwise_not("w").alias("w"))).alias("top"))
-        return top.select("v", F.coalesce("near", F.bitwise_not(F.col("top.w"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+        best = dealt.mapInPandas(best_pairs(self.least(), sure), "v long, w long, same int")
+        top = best.groupBy("v").agg(F.min_by("w", F.struct(-F.col("same"), F.col("w"))).alias("w"))
+        best = self.scratch.keep(top.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
+        links = self.whole(best, self.texts(best.select("a").unionAll(best.select("b"))))
+        self.scratch.drop(best)
+        self.add(links)
 
-    def confirm(self, pairs: DataFrame, best: bool) -> None:
-        """Adds to links and labels what holds of candidate pairs (a, b); with ``best``, of the best pair of each class."""
+    def across(self, members: DataFrame) -> None:
+        """Compares what is left: pairs across the components of a node."""
         scratch = self.scratch
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        low = self.sketches()
-        both = pairs.join(low.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(low.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
-        likely = scratch.keep(both.mapInPandas(sketched(self.least()), "a long, b long, same int"))
-        scratch.drop(low)
+        own = self.labelled(members)
+        per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
+        left = per.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+        own = scratch.keep(own.join(left.select("node", "most", "k"), "node"))
+        # Blocks of members outside the largest component come first, and it has blocks of its own, unless one block holds all.
+        small = F.col("n") <= SIDE
+        odd = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("k")) / SIDE)).cast("int")
+        even = F.when(small, 0).otherwise(F.ceil(F.col("k") / SIDE)).cast("int")
+        salt = F.xxhash64("sid", "node")
+        inside = ~small & (F.col("label") == F.col("most"))
+        dealt = own.withColumns({"odd": odd, "even": even, "inside": inside}).withColumn("block", F.when(F.col("inside"), F.col("odd") + F.pmod(salt, F.col("even"))).otherwise(F.pmod(salt, F.col("odd"))).cast("int"))
+        others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("odd")).otherwise(F.col("odd") + F.col("even")) - 1)
+        dealt = dealt.select("node", "sid", "label", "sketch", "block", F.explode(others).alias("other"))
+        dealt = dealt.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "label", "sketch", "block")
+        key = ["node", "lo", "hi"]
+        found = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(open_pairs(self.least()), "a long, b long, node long, lo int, hi int, sid long")
+        found = scratch.keep(found)
+        scratch.drop(own)
         scratch.free_shuffles()
-        if not likely.limit(1).count():
-            return
-        if best:
-            likely = scratch.keep(self.promising(likely))
-        self.test(likely)
-        scratch.drop(likely)
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        dense = found.where("a is null").select("node", "lo", "hi", "sid")
+        texts = self.texts(pairs.select("a").unionAll(pairs.select("b")).unionAll(dense.select("sid")))
+        links = self.whole(pairs, texts)
+        sketches = self.classes.select("sid", "sig").mapInPandas(low_bytes, "sid long, sketch binary")
+        full = self.labelled(dense.join(sketches, "sid")).join(texts, "sid")
+        full = full.select(*key, "sid", "label", "sketch", "text").repartition(*key).sortWithinPartitions(*key)
+        more = full.mapInPandas(settled(round(100 * self.threshold), self.shingle, self.least()), "a long, b long")
+        more = scratch.keep(more.distinct())
+        scratch.drop(found, texts)
+        scratch.free_shuffles()
+        self.add(links.unionAll(more))
 
-    def test(self, likely: DataFrame) -> int:
-        """Adds to links and labels the pairs (a, b) whose whole sets hold; their number."""
-        scratch = self.scratch
-        ids = likely.select(F.col("a").alias("sid")).unionAll(likely.select(F.col("b").alias("sid"))).distinct()
-        wanted = self.classes.join(ids, "sid", "left_semi").select("sid", "doc", F.col("th").alias("own"))
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of each class, as ``label``."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("sid"))
+        return rows.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """The written texts of classes: (sid, text)."""
+        wanted = self.classes.join(ids.toDF("sid").distinct(), "sid", "left_semi").select("sid", "doc", F.col("th").alias("own"))
         rows = self.rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(b""))))
         rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("own"))).select("sid", "text")
-        texts = scratch.keep(rows.mapInPandas(own_text(self.shingle), "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
-        scratch.free_shuffles()
-        links = self.whole(likely, texts)
-        self.add(links)
-        scratch.drop(texts)
-        scratch.free_shuffles()
-        return links.count()
+        return self.scratch.keep(rows.mapInPandas(own_text(self.shingle), "sid long, text binary").groupBy("sid").agg(F.min("text").alias("text")))
 
     def whole(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Written links: the pairs whose whole sets hold."""
         both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
         return self.scratch.keep(both.mapInPandas(confirmed(round(100 * self.threshold), self.shingle), "a long, b long"))
 
     def add(self, links: DataFrame) -> None:
-        if not links.limit(1).count():
-            return
-        self.links = links if self.links is None else self.links.unionAll(links)
-        known = links if self.labels is None else links.unionAll(self.labels.select(F.col("sid").alias("a"), F.col("label").alias("b")))
-        self.labels = components(self.scratch, known)
-
-
-def low_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The lowest byte of each of the first ``SKETCH`` minwise tokens."""
-    for rows in batches:
-        x = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, SKETCH).astype(np.uint8)
-        yield pd.DataFrame({"sid": rows["sid"], "sketch": [r.tobytes() for r in x]})
+        """Components of the links so far and ``links``; a component is named by its least class."""
+        known = links if self.labels is None else links.unionAll(self.labels.select("sid", "label"))
+        self.labels = self.scratch.keep(components(known).select(F.col("node").alias("sid"), F.col("component").alias("label")))
+        self.scratch.free_shuffles()
 
 
 def own_text(size: int):
@@ -397,13 +480,9 @@ def judged(docs: DataFrame, threshold: float, recall: float, shingle: int) -> Da
     """doc_id, th, n_shingles, sid, label, component_id for each row; label names the component, null for an empty set."""
     join = Join(docs, threshold, recall, shingle)
     join.run()
-    classes = join.classes.select("sid", "doc")
-    if join.labels is not None:
-        named = classes.join(join.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-        classes = named.join(least, "label").select("sid", "label", "component_id")
-    else:
-        classes = classes.select("sid", F.col("sid").alias("label"), F.col("doc").alias("component_id"))
+    named = join.labelled(join.classes.select("sid", "doc"))
+    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = named.join(least, "label").select("sid", "label", "component_id")
     out = join.sets.select("doc_id", "th", "n_shingles", "sid").join(classes, "sid", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 

@@ -205,7 +205,8 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         cut = change[-1] + 1 if len(change) else 0
         done = [*rest, rows.iloc[:cut]]
         rest = [rows.iloc[cut:]]
-        yield numbered(pd.concat(done, ignore_index=True), keys)
+        if any(map(len, done)):
+            yield numbered(pd.concat(done, ignore_index=True), keys)
     if rest:
         yield numbered(pd.concat(rest, ignore_index=True), keys)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.bpe import stage_bpe
@@ -11,10 +13,10 @@ from strandline.llm.neardup import stage_neardup
 from strandline.llm.quality import stage_quality
 from strandline.llm.secrets import stage_secrets
 
-#: (name, function): each function takes (spark, docs, sf_dir) and returns a DataFrame.
+#: (name, function): each function takes (spark, docs, sf_dir) and returns a DataFrame. Near duplicates: five words, 0.8.
 STAGES = [
     ("quality", stage_quality),
-    ("neardup", stage_neardup),
+    ("neardup", partial(stage_neardup, shingle=5)),
     ("secrets", stage_secrets),
     ("mixing", stage_mixing),
     ("bpe", stage_bpe),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Chromosomes of the primary assembly in rank order.
 PRIMARY = [str(i) for i in range(1, 23)] + ["X", "Y"]
-#: What an orientation becomes when the two ends change places.
+#: What an orientation becomes when the two ends change places.
 FLIP = {"3to5": "5to3", "5to3": "3to5", "3to3": "3to3", "5to5": "5to5", "NtoN": "NtoN"}
+#: The orientation of the other junction of a balanced exchange.
 COMPLEMENT = {"3to5": "5to3", "5to3": "3to5", "3to3": "5to5", "5to5": "3to3"}
 
 
@@ -54,3 +55,21 @@ def contig_class(name: Column) -> Column:
         .when(name.startswith("chrUn_"), "unplaced")
         .otherwise("other")
     )
+
+
+def resolve(rows: DataFrame, column: str, contigs: DataFrame) -> DataFrame:
+    """``rows`` with name and length of the header's contig that ``column`` means: its own spelling, else with ``chr`` added
+    or taken away; null where the header has neither. Nothing is renamed by guess: a name that is there stays."""
+    known = contigs.select("name", "length", F.lit(0).alias("order")).distinct()
+    other = F.when(F.col("name").startswith("chr"), F.expr("substring(name, 4)")).otherwise(F.concat(F.lit("chr"), "name"))
+    spelled = known.withColumn("spelling", F.col("name")).unionByName(known.select("name", "length", F.lit(1).alias("order"), other.alias("spelling")))
+    best = spelled.groupBy("spelling").agg(F.min_by(F.struct("name", "length"), F.struct("order", "name")).alias("found"))
+    return rows.join(best, rows[column] == F.col("spelling"), "left").drop("spelling").select(*rows.columns, "found.name", "found.length")
+
+
+def genome_order(chrom1: Column, pos1: Column, chrom2: Column, pos2: Column, orientation: Column) -> Column:
+    """struct<ca,pa,cb,pb,orientation>: a junction with its lower end (rank, name, position) first; a swap flips the orientation."""
+    low, high = F.struct(rank(chrom1), plain(chrom1), pos1), F.struct(rank(chrom2), plain(chrom2), pos2)
+    swap = F.coalesce(low > high, F.lit(False))
+    pick = lambda a, b: F.when(swap, b).otherwise(a)
+    return F.struct(pick(chrom1, chrom2).alias("ca"), pick(pos1, pos2).alias("pa"), pick(chrom2, chrom1).alias("cb"), pick(pos2, pos1).alias("pb"), F.when(swap, flipped(orientation)).otherwise(orientation).alias("orientation"))

@@ -57,23 +57,23 @@ def guarded_pearson(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return ok.groupBy(group).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y)).alias("r"))
 
 
-def subset_sums(classes: DataFrame, name: str, parts: list[str], goals: list[int]) -> DataFrame:
-    """(subset, sums of ``parts``) of every non-empty subset of classes whose sums are within ``goals``: a search over bitmasks.
+def subset_sums(classes: DataFrame, name: str, parts: list[str], goals: list[int], most: int = 24) -> DataFrame:
+    """(subset, sums of ``parts``) of every non-empty subset of classes whose sums are within ``goals``.
 
-    For tables of a few classes only (at most 16), as the number of subsets is a power of two.
+    For tables of a few classes: the number of subsets is a power of two, so more than ``most`` rows raise ValueError. The
+    classes are one small row beside a distributed range of subsets.
     """
-    spark = classes.sparkSession
-    from pyspark.sql import Window as W
-
-    bits = classes.withColumn("bit", F.row_number().over(W.orderBy(name)) - 1)
-    k = min(16, classes.count())
-    masks = spark.range(1, 1 << k).withColumnRenamed("id", "mask")
-    member = masks.join(bits, F.col("mask").bitwiseAND(F.pow(F.lit(2.0), F.col("bit")).cast("long")) != 0)
-    sums = member.groupBy("mask").agg(F.array_join(F.array_sort(F.collect_list(name)), "+").alias("subset"), *[F.sum(p).cast("long").alias(p) for p in parts])
-    ok = F.lit(True)
+    k = classes.count()
+    if k > most:
+        raise ValueError(f"{k} classes have 2**{k} subsets; at most {most} classes are searched")
+    row = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), *[F.col(p).cast("long").alias(p) for p in parts]))).alias("all"))
+    masks = classes.sparkSession.range(1, 1 << k).crossJoin(F.broadcast(row))
+    own = masks.select(F.filter("all", lambda c, i: F.get(F.split(F.lpad(F.bin("id"), max(k, 1), "0"), ""), k - 1 - i) == "1").alias("own"))
+    total = lambda p: F.aggregate("own", F.lit(0).cast("long"), lambda s, c: s + c[p])
+    sums = own.select(F.array_join(F.transform("own", lambda c: c["name"]), "+").alias("subset"), *[total(p).alias(p) for p in parts])
     for p, g in zip(parts, goals, strict=True):
-        ok = ok & (F.col(p) <= g)
-    return sums.where(ok).drop("mask")
+        sums = sums.where(F.col(p) <= g)
+    return sums
 
 
 def longest_run(s: Column) -> Column:
@@ -89,13 +89,19 @@ def longest_pair_run(s: Column) -> Column:
 
 
 def pair_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_pairs, entropy): Shannon entropy in bits of a text's overlapping character pairs."""
+    """(key, n_pairs, entropy): Shannon entropy in bits of a text's overlapping character pairs, for each row of two
+    characters or more. A row counts its own pairs as runs of its sorted array, so nothing is exploded or shuffled.
+    """
     chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
     own = df.select(key, chars.alias("c")).where(F.size("c") >= 2)
-    pairs = own.select(key, F.explode(F.filter(F.zip_with("c", F.slice("c", 2, 1_000_000_000), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())).alias("pair"))
-    g = pairs.groupBy(key, "pair").agg(F.count("*").alias("n"))
-    t = g.groupBy(key).agg(F.sum("n").cast("long").alias("n_pairs"), F.sum(F.col("n") * F.log2(F.col("n"))).alias("s"))
-    return t.select(key, "n_pairs", (F.log2("n_pairs") - F.col("s") / F.col("n_pairs")).alias("entropy"))
+    pairs = F.sort_array(F.filter(F.zip_with("c", F.slice(F.col("c"), F.lit(2), F.size("c")), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull()))
+    x = own.select(key, pairs.alias("p"))
+    # Places where a run of one pair ends; the lengths of the runs are their differences.
+    stops = F.filter(F.transform("p", lambda v, i: F.when(v.eqNullSafe(F.get("p", i + 1)), F.lit(0)).otherwise(i + 1)), lambda i: i > 0)
+    x = x.select(key, F.size("p").cast("long").alias("n_pairs"), stops.alias("e"))
+    runs = F.transform("e", lambda v, i: (v - F.when(i == 0, 0).otherwise(F.get("e", i - 1))).cast("double"))
+    x = x.select(key, "n_pairs", F.aggregate(runs, F.lit(0.0), lambda s, n: s + n * F.log2(n)).alias("s"))
+    return x.select(key, "n_pairs", (F.log2("n_pairs") - F.col("s") / F.col("n_pairs")).alias("entropy"))
 
 
 def even_thinning(df: DataFrame, group: str, order: list[Column], priority: Column, cap: int) -> DataFrame:

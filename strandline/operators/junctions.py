@@ -8,9 +8,11 @@ failed; supplementary ones count. A piece of a read shows its 3' side at a break
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import alignments as A
+from ..functions.contigs import plain, primary
 from ..joins import interval_join
 
 
@@ -25,45 +27,137 @@ def pair_sides(reverse: Column) -> Column:
 
 def ends(junctions: DataFrame) -> DataFrame:
     """Two rows for each junction: own end (e_*) and partner (p_*)."""
-    one = junctions.select("id", F.lit("A").alias("end"), F.col("ca").alias("e_c"), (F.col("pa") - 1).alias("e_p"), F.col("cb").alias("p_c"), (F.col("pb") - 1).alias("p_p"))
-    two = junctions.select("id", F.lit("B").alias("end"), F.col("cb").alias("e_c"), (F.col("pb") - 1).alias("e_p"), F.col("ca").alias("p_c"), (F.col("pa") - 1).alias("p_p"))
+    near = "array<struct<c:string,p:bigint>>"
+    other = F.col("related").cast(near) if "related" in junctions.columns else F.lit(None).cast(near)
+    junctions = junctions.withColumn("related", other)
+    one = junctions.select("id", "related", F.lit("A").alias("end"), F.col("ca").alias("e_c"), (F.col("pa") - 1).alias("e_p"), F.col("cb").alias("p_c"), (F.col("pb") - 1).alias("p_p"))
+    two = junctions.select("id", "related", F.lit("B").alias("end"), F.col("cb").alias("e_c"), (F.col("pb") - 1).alias("e_p"), F.col("ca").alias("p_c"), (F.col("pa") - 1).alias("p_p"))
     return one.unionByName(two)
 
 
-def scan(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int = 20) -> DataFrame:
-    """(id, end, kind, side, partner_side, qname) of every record near an end; the first kind that fits counts.
+#: Kinds of abnormal reads at an end; a read is drawn by its first one.
+KINDS = (
+    "split_partner", "split_other", "mate_unmapped", "pair_partner", "pair_related", "pair_other_chrom", "pair_alt_contig",
+    "pair_orientation", "pair_insert_size", "clipped", "ambiguous",
+)
+
+
+def _nearer(here: Column, other: Column) -> Column:
+    """Within one chromosome: ``here`` belongs to the own end rather than to the partner, compared with ``other``."""
+    lean = lambda p: F.abs(p - F.col("e_p")) - F.abs(p - F.col("p_p"))
+    return lean(here) < lean(other)
+
 
-    Kinds, in order: low_mapq, split (an SA segment near the partner), pair (the mate near the partner), elsewhere (the mate
-    on another contig), clip (ten or more clipped bases), proper, other.
+def _piece_side(start: Column, last: Column, at: Column) -> Column:
+    return F.when(F.abs(last - at) <= F.abs(start - at), "3").otherwise("5")
+
+
+def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int = 20, clip: int = 10) -> DataFrame:
+    """Every record near an end: id, end, qname, kind, kinds, low, is_pair, pair_o, is_split, split_o, joins_o, clip, pos0,
+    end0, e_p, file_ord, flag.
+
+    kinds lists what is abnormal (``KINDS``), empty for a normal record, and kind is its first. A segment near the partner
+    comes before a mate there, and a mate there before a segment elsewhere. Within one chromosome proper pairs never join
+    the ends, and where both reads of a pair (or both pieces of one) lie in both windows, each end counts the one nearer to
+    itself. is_pair and is_split say what counts as support: good mapping quality on both sides, at the end's own read.
+    Orientations are seen from this end. ``junctions`` may have related (array of struct c, p, 1-based): other ends of the
+    same rearrangement.
     """
     ops = A.operations(F.col("cigar"))
     own = in_scope(reads).withColumns({"sa": A.segments(F.element_at("tags", F.lit("SA"))), "clip": A.clips(ops, "SH"), "rev": A.has(F.col("flag"), A.REVERSE), "mrev": A.has(F.col("flag"), A.MATE_REVERSE)})
-    e = ends(junctions)
-    x = interval_join(own, e, [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256))
-    here = lambda chrom, pos: (chrom == F.col("p_c")) & (F.abs(pos - F.col("p_p")) <= window)
-    near = F.get(F.filter("sa", lambda s: here(s["chrom"], s["pos"] - 1) | here(s["chrom"], s["pos"] - 1 + A.reference_length(A.operations(s["cigar"])))), F.lit(0))
-    x = x.withColumn("near", near)
+    x = interval_join(own, ends(junctions), [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256))
+    near = lambda pos, at: F.abs(pos - at) <= window
+    there = lambda chrom: plain(chrom) == plain(F.col("p_c"))
+    length = lambda s: A.reference_length(A.operations(s["cigar"]))
+    hit = F.filter("sa", lambda s: there(s["chrom"]) & (near(s["pos"] - 1, F.col("p_p")) | near(s["pos"] + length(s) - 2, F.col("p_p"))))
+    x = x.withColumns({"hit": F.get(hit, F.lit(0)), "intra": plain(F.col("e_c")) == plain(F.col("p_c")), "low": F.col("mapq") < mapq, "last": F.col("end0") - 1})
+    x = x.withColumns({"h_start": F.col("hit.pos") - 1, "h_last": F.col("hit.pos") + length(F.col("hit")) - 2})
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    primary_read = A.lacks(F.col("flag"), A.SUPPLEMENTARY) & A.has(F.col("flag"), A.PAIRED)
+    mate, proper = F.col("mate_contig"), A.has(F.col("flag"), A.PROPER)
+    at_partner = there(mate) & near(F.col("mate_pos0"), F.col("p_p")) & ~(F.col("intra") & proper)
+    at_related = F.coalesce(F.exists("related", lambda r: (plain(r["c"]) == plain(mate)) & near(F.col("mate_pos0"), r["p"] - 1)), F.lit(False)) & (plain(mate) != plain(F.col("e_c")))
+    left_read = F.col("pos0") <= F.col("mate_pos0")
+    outward = F.when(left_read, F.col("rev")).otherwise(~F.col("rev"))
+    of_pair = (
+        F.when(A.has(F.col("flag"), A.MATE_UNMAPPED), "mate_unmapped")
+        .when(mate.isNull(), None)
+        .when(at_partner, "pair_partner")
+        .when(at_related, "pair_related")
+        .when((primary(mate) != primary(F.col("contig"))) & (plain(mate) != plain(F.col("e_c"))), "pair_other_chrom")
+        .when(mate != F.col("contig"), "pair_alt_contig")
+        .when(proper, None)
+        .when((F.col("rev") == F.col("mrev")) | outward, "pair_orientation")
+        .otherwise("pair_insert_size")
+    )
+    of_split = F.when(F.col("hit").isNotNull(), "split_partner").when(F.size("sa") > 0, "split_other")
+    x = x.withColumns({"k_pair": F.when(primary_read, of_pair), "k_split": of_split})
+    pair_first = (F.col("k_split") == "split_other") & F.col("k_pair").isin("pair_partner", "pair_related")
+    both = F.filter(F.when(pair_first, F.array("k_pair", "k_split")).otherwise(F.array("k_split", "k_pair")), lambda k: k.isNotNull())
+    alone = F.when((F.col("clip.left") >= clip) | (F.col("clip.right") >= clip), F.array(F.lit("clipped"))).when(F.col("low"), F.array(F.lit("ambiguous"))).otherwise(F.array().cast("array<string>"))
+    x = x.withColumn("kinds", F.when(F.size(both) > 0, both).otherwise(alone))
+    split_mine = ~F.col("intra") | _nearer(middle("pos0", "last"), middle("h_start", "h_last"))
+    pair_mine = ~F.col("intra") | _nearer(F.col("pos0"), F.col("mate_pos0"))
+    seen = lambda s, e: F.concat(s, F.lit("to"), e)
+    mine_o = seen(_piece_side(F.col("pos0"), F.col("last"), F.col("e_p")), _piece_side(F.col("h_start"), F.col("h_last"), F.col("p_p")))
+    their_o = seen(_piece_side(F.col("h_start"), F.col("h_last"), F.col("e_p")), _piece_side(F.col("pos0"), F.col("last"), F.col("p_p")))
+    here_s, mate_s = pair_sides(F.col("rev")), pair_sides(F.col("mrev"))
+    is_split, is_pair = F.col("k_split") == "split_partner", F.col("k_pair").isin("pair_partner", "pair_related")
+    x = x.withColumns(
+        {
+            "is_split": F.coalesce(is_split & split_mine & ~F.col("low") & (F.col("hit.mapq") >= mapq), F.lit(False)),
+            "is_pair": F.coalesce((F.col("k_pair") == "pair_partner") & pair_mine & ~F.col("low"), F.lit(False)),
+            "split_o": F.when(is_split, F.when(split_mine, mine_o).otherwise(their_o)),
+            "pair_o": F.when(is_pair, F.when(pair_mine, seen(here_s, mate_s)).otherwise(seen(mate_s, here_s))),
+        }
+    )
+    return x.select("id", "end", "qname", F.get("kinds", F.lit(0)).alias("kind"), "kinds", "low", "is_pair", "pair_o", "is_split", "split_o", F.coalesce("split_o", "pair_o").alias("joins_o"), "clip", "pos0", "end0", "e_p", "file_ord", "flag", "mapq", "mate_contig", "contig")
+
+
+def scan(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int = 20) -> DataFrame:
+    """``review`` with a coarser kind: low_mapq, split, pair (as far as they count), elsewhere (the mate on another contig),
+    clip (ten or more clipped bases), proper, other."""
+    x = review(reads, junctions, window, mapq)
     mated = A.has(F.col("flag"), A.PAIRED) & A.lacks(F.col("flag"), A.MATE_UNMAPPED)
-    kind = F.coalesce(
-        F.when(F.col("mapq") < mapq, "low_mapq"),
-        F.when(F.col("near").isNotNull() & (F.col("near.mapq") >= mapq), "split"),
-        F.when(mated & A.lacks(F.col("flag"), A.SUPPLEMENTARY) & here(F.col("mate_contig"), F.col("mate_pos0")), "pair"),
-        F.when(mated & (F.col("mate_contig") != F.col("contig")), "elsewhere"),
-        F.when((F.col("clip.left") >= 10) | (F.col("clip.right") >= 10), "clip"),
-        F.when(A.has(F.col("flag"), A.PROPER), "proper"),
-        F.lit("other"),
+    kind = (
+        F.when(F.col("low"), "low_mapq")
+        .when(F.col("is_split"), "split")
+        .when(F.col("is_pair"), "pair")
+        .when(mated & (F.col("mate_contig") != F.col("contig")), "elsewhere")
+        .when((F.col("clip.left") >= 10) | (F.col("clip.right") >= 10), "clip")
+        .when(A.has(F.col("flag"), A.PROPER), "proper")
+        .otherwise("other")
     )
-    s_left = F.coalesce(F.get(A.operations(F.col("near.cigar")), F.lit(0))["op"].isin("S", "H"), F.lit(False))
-    side = F.when(kind == "split", F.when(F.col("clip.right") >= F.col("clip.left"), "3").otherwise("5")).when(kind == "pair", pair_sides(F.col("rev")))
-    other = F.when(kind == "split", F.when(s_left, "5").otherwise("3")).when(kind == "pair", pair_sides(F.col("mrev")))
-    return x.select("id", "end", kind.alias("kind"), side.alias("side"), other.alias("partner_side"), "qname", "file_ord", "pos0", "end0", "clip", "e_p")
+    return x.withColumn("kind", kind)
+
+
+def end_counts(reviewed: DataFrame) -> DataFrame:
+    """(id, end, primary_reads, low_mapq_reads, normal_reads, by_kind): by_kind has a count for each of ``KINDS``."""
+    first = A.lacks(F.col("flag"), A.SUPPLEMENTARY)
+    by = F.create_map(*[v for k in KINDS for v in (F.lit(k), F.count_if(F.col("kind") == k))])
+    return reviewed.groupBy("id", "end").agg(F.count_if(first).alias("primary_reads"), F.count_if(first & F.col("low")).alias("low_mapq_reads"), F.count_if(F.col("kind").isNull()).alias("normal_reads"), by.alias("by_kind"))
+
+
+def view(reviewed: DataFrame, most: int = 300) -> DataFrame:
+    """The abnormal records to draw of each end, at most ``most``: those that join the ends first, by file order, and the rest
+    evenly over the window. A drawing's limit, not a cut of evidence: counts are ``end_counts``."""
+    joins = F.col("kind").isin("split_partner", "pair_partner", "pair_related")
+    x = reviewed.where("kind is not null")
+    per = W.partitionBy("id", "end")
+    x = x.withColumns({"_joins": joins, "_n": F.count_if(~joins).over(per), "_j": F.count_if(joins).over(per), "_i": F.row_number().over(W.partitionBy("id", "end", joins).orderBy("file_ord", "pos0", "qname")) - 1})
+    room = F.greatest(F.lit(0), F.lit(most) - F.col("_j"))
+    share = lambda i: F.floor(i * room / F.col("_n"))
+    rest = (room > 0) & ((F.col("_n") <= room) | (F.col("_i") == 0) | (share(F.col("_i")) > share(F.col("_i") - 1)))
+    return x.where(F.when(F.col("_joins"), F.col("_i") < most).otherwise(rest)).drop("_joins", "_n", "_j", "_i")
 
 
 def support(scanned: DataFrame) -> DataFrame:
     """(id, orientation, pairs, splits, fragments): pairs are names seen from both ends, splits names seen from either,
     the first end's view preferred; fragments are distinct names of both."""
-    as_seen = F.when(F.col("end") == "A", F.concat("side", F.lit("to"), "partner_side")).otherwise(F.concat("partner_side", F.lit("to"), "side"))
-    x = scanned.where("kind in ('pair', 'split')").withColumn("o", as_seen)
+    ways = F.array(F.when(F.col("is_pair"), F.struct(F.lit("pair").alias("kind"), F.col("pair_o").alias("o"))), F.when(F.col("is_split"), F.struct(F.lit("split").alias("kind"), F.col("split_o").alias("o"))))
+    x = scanned.where("is_pair or is_split").select("id", "end", "qname", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w"))
+    turned = F.concat(F.substring("w.o", 4, 1), F.lit("to"), F.substring("w.o", 1, 1))
+    x = x.select("id", "end", "qname", F.col("w.kind").alias("kind"), F.when(F.col("end") == "A", F.col("w.o")).otherwise(turned).alias("o"))
     named = x.groupBy("id", "kind", "qname").agg(F.min(F.struct("end", "o")).alias("m"), F.count_if(F.col("end") == "A").alias("a"), F.count_if(F.col("end") == "B").alias("b"))
     named = named.where("kind = 'split' or (a > 0 and b > 0)").select("id", F.col("m.o").alias("orientation"), "kind", "qname")
     return named.groupBy("id", "orientation").agg(F.count_if(F.col("kind") == "pair").alias("pairs"), F.count_if(F.col("kind") == "split").alias("splits"), F.countDistinct("qname").alias("fragments"))
@@ -71,7 +165,7 @@ def support(scanned: DataFrame) -> DataFrame:
 
 def one_sided(scanned: DataFrame) -> DataFrame:
     """(id, n): names of pairs that only one end shows."""
-    g = scanned.where("kind = 'pair'").groupBy("id", "qname").agg(F.countDistinct("end").alias("ends"))
+    g = scanned.where("is_pair").groupBy("id", "qname").agg(F.countDistinct("end").alias("ends"))
     return g.groupBy("id").agg(F.count_if(F.col("ends") == 1).alias("n"))
 
 

@@ -6,7 +6,7 @@ the order in a file where results depend on it; they rise with the file order bu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignments import breakend, operations, reference_length
@@ -21,10 +21,21 @@ def _f(k: int) -> Column:
     return F.get(F.col("f"), F.lit(k))
 
 
+def first_entries(entries: Column) -> Column:
+    """Map of (key, value) entries; of a key that repeats, the first value counts."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+
+
+def _rest(f: Column, first: int) -> Column:
+    """The elements of an array from a place (counted from 1) to its end."""
+    return F.slice(f, F.lit(first), F.greatest(F.size(f) - (first - 1), F.lit(0)))
+
+
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Aligned records of a SAM text: positions 0-based, end0 exclusive by the CIGAR, tags as a map of name to value."""
     rows = lines(spark, path).where(~F.col("value").startswith("@")).withColumn("f", F.split("value", "\t")).where(F.size("f") >= 11)
-    tags = F.map_from_entries(F.transform(F.slice("f", 12, 1000), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1_000_000))))
+    tags = first_entries(F.transform(_rest(F.col("f"), 12), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.char_length(t)).alias("value"))))
     pos0 = _f(3).cast("long") - 1
     out = rows.select(
         F.col("ord").alias("file_ord"),
@@ -52,10 +63,12 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a VCF text: ord, chrom, pos, id, ref, alt, filter, info (map; flags have the value ``true``)."""
+    """Records of a VCF text: ord, chrom, pos, id, ref, alt, filter, info (map; flags have the value ``true``; a value
+    begins after the first ``=``, and of keys that repeat the first counts)."""
     rows = lines(spark, path).where(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).where(F.size("f") >= 8)
-    entries = F.transform(F.filter(F.split(_f(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.get(F.split(x, "="), F.lit(0)), F.when(F.contains(x, F.lit("=")), F.substring_index(x, "=", -1)).otherwise("true")))
-    return rows.select("ord", _f(0).alias("chrom"), _f(1).cast("long").alias("pos"), F.when(_f(2) != ".", _f(2)).alias("id"), _f(3).alias("ref"), _f(4).alias("alt"), _f(6).alias("filter"), F.map_from_entries(entries).alias("info"))
+    halves = F.transform(F.filter(F.split(_f(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.split(x, "=", 2))
+    entries = F.transform(halves, lambda h: F.struct(h[0].alias("key"), F.coalesce(F.get(h, F.lit(1)), F.lit("true")).alias("value")))
+    return rows.select("ord", _f(0).alias("chrom"), _f(1).cast("long").alias("pos"), F.when(_f(2) != ".", _f(2)).alias("id"), _f(3).alias("ref"), _f(4).alias("alt"), _f(6).alias("filter"), first_entries(entries).alias("info"))
 
 
 def declared_info(spark: SparkSession, path: str) -> DataFrame:
@@ -146,16 +159,90 @@ def gtf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual): records of four lines, read whole by a record separator at each ``@`` line start."""
-    raw = spark.read.option("lineSep", "\n@").text(path).withColumn("v", F.regexp_replace("value", "^@", ""))
-    f = raw.withColumn("f", F.split("v", "\n")).where(F.size("f") >= 4)
-    return f.select(F.regexp_replace(F.get(F.split(_f(0), " "), F.lit(0)), r"/[12]$", "").alias("name"), _f(1).alias("seq"), _f(3).alias("qual"))
+    """(name, seq, qual): records of four lines, whatever their lines begin with; a last record that is cut short is left out.
+
+    Lines are numbered within their file without one task reading all: a line's place in its split, plus the lines of the
+    file's earlier splits, of which there is one row each.
+    """
+    rows = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
+    splits = rows.groupBy("file_path", "block").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).select("file_path", "block", "skip")
+    line = F.col("ord") + F.col("skip")
+    placed = rows.join(splits, ["file_path", "block"]).select("file_path", F.floor(line / 4).alias("record"), (line % 4).alias("k"), "value")
+    part = lambda k: F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"l{k}")
+    whole = placed.groupBy("file_path", "record").agg(*[part(k) for k in range(4)]).where("l3 is not null")
+    name = F.get(F.split(F.substring(F.col("l0"), F.lit(2), F.char_length("l0")), r"\s"), F.lit(0))
+    return whole.select(F.regexp_replace(name, r"/[12]$", "").alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+
+
+def fasta(spark: SparkSession, path: str, tile: int = 65_536) -> DataFrame:
+    """(contig, tile, seq): a FASTA as tiles of fixed size, so that a region is a look-up in one or two tiles.
+
+    Lines keep their place by the bases before them, counted as for FASTQ; a line is cut where a tile ends.
+    """
+    rows = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
+    heads = rows.where(F.col("value").startswith(">")).select("file_path", "ord", F.get(F.split(F.substring(F.col("value"), F.lit(2), F.char_length("value")), r"\s"), F.lit(0)).alias("contig"))
+    # A header's contig holds up to the next header of the file: few rows, so the interval is made beside the lines.
+    nxt = F.lead("ord").over(Window.partitionBy("file_path").orderBy("ord"))
+    spans = heads.withColumn("next", F.coalesce(nxt, F.lit(2**62)))
+    bases = rows.where(~F.col("value").startswith(">") & (F.trim("value") != ""))
+    own = bases.join(F.broadcast(spans.select(F.col("file_path").alias("h"), F.col("ord").alias("lo"), "next", "contig")), (F.col("file_path") == F.col("h")) & (F.col("ord") > F.col("lo")) & (F.col("ord") < F.col("next")))
+    own = own.select("contig", "file_path", "block", "ord", F.trim("value").alias("v"))
+    sums = own.groupBy("contig", "block").agg(F.sum(F.char_length("v")).alias("bases"))
+    before = Window.partitionBy("contig").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("skip", F.coalesce(F.sum("bases").over(before), F.lit(0)))
+    inside = Window.partitionBy("contig", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.join(sums.select("contig", "block", "skip"), ["contig", "block"]).withColumn("at", F.col("skip") + F.coalesce(F.sum(F.char_length("v")).over(inside), F.lit(0)))
+    last = F.col("at") + F.char_length("v") - 1
+    pieces = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("at") / tile), F.floor(last / tile))))
+    start = F.greatest(F.lit(0), F.col("tile") * tile - F.col("at"))
+    stop = F.least(F.char_length("v").cast("long"), (F.col("tile") + 1) * tile - F.col("at"))
+    cut = pieces.select("contig", "tile", (F.col("at") + start).alias("at"), F.substring(F.col("v"), (start + 1).cast("int"), (stop - start).cast("int")).alias("v"))
+    return cut.groupBy("contig", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), "").alias("seq"))
+
+
+def sequences(tiles: DataFrame, regions: DataFrame, tile: int = 65_536) -> DataFrame:
+    """``regions`` (contig, start, end; half-open, 0-based) with their bases, seq; null where the contig is unknown."""
+    x = regions.withColumn("__id", F.monotonically_increasing_id())
+    parts = x.select("__id", F.col("contig").alias("c"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("t"))
+    hit = parts.join(tiles.select(F.col("contig").alias("c"), F.col("tile").alias("t"), "seq"), ["c", "t"])
+    first = F.greatest(F.lit(0), F.col("start") - F.col("t") * tile)
+    stop = F.least(F.lit(tile).cast("long"), F.col("end") - F.col("t") * tile)
+    cut = hit.select("__id", "t", F.substring(F.col("seq"), (first + 1).cast("int"), (stop - first).cast("int")).alias("v"))
+    joined = cut.groupBy("__id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]), "").alias("seq"))
+    return x.join(joined, "__id", "left").drop("__id")
 
 
 def phases(spark: SparkSession, path: str) -> DataFrame:
     """(ord, at, phase) of a log whose lines begin with [YYYY-Mon-DD HH:MM:SS]."""
     rows = lines(spark, path).where(F.col("value").rlike(r"^\[\d{4}-[A-Z][a-z]{2}-\d{2} \d{2}:\d{2}:\d{2}\]"))
-    return rows.select("ord", F.to_timestamp(F.substring("value", 2, 20), "yyyy-MMM-dd HH:mm:ss").alias("at"), F.trim(F.substring("value", 24, 1000)).alias("phase"))
+    return rows.select("ord", F.to_timestamp(F.substring("value", 2, 20), "yyyy-MMM-dd HH:mm:ss").alias("at"), F.trim(F.substring(F.col("value"), F.lit(24), F.char_length("value"))).alias("phase"))
+
+
+def log_figures(spark: SparkSession, path: str) -> DataFrame:
+    """(phase, began, seconds) of a log's phases, each as long as until the next one, within a file; the last has null."""
+    rows = phases(spark, path)
+    own = rows.withColumn("file", F.input_file_name()) if "file" not in rows.columns else rows
+    nxt = F.lead("at").over(Window.partitionBy("file").orderBy("ord"))
+    return own.select("phase", F.col("at").alias("began"), (F.unix_timestamp(nxt) - F.unix_timestamp("at")).alias("seconds"))
+
+
+def resource_use(spark: SparkSession, path: str) -> DataFrame:
+    """(file, wall_seconds, max_rss_kb) that the time program adds to a log: ``Elapsed ...: [h:]m:s`` and the resident set."""
+    rows = lines(spark, path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    clock = F.regexp_extract("v", r"^Elapsed \(wall clock\) time.*: ([0-9:.]+)$", 1)
+    fields = F.reverse(F.split(clock, ":"))
+    seconds = F.when(clock != "", F.aggregate(F.transform(fields, lambda x, i: x.try_cast("double") * F.pow(F.lit(60.0), i)), F.lit(0.0), lambda s, x: s + x))
+    rss = F.regexp_extract("v", r"^Maximum resident set size \(kbytes\): (\d+)$", 1).try_cast("long")
+    return rows.groupBy("file").agg(F.max(seconds).alias("wall_seconds"), F.max(rss).alias("max_rss_kb")).where("wall_seconds is not null or max_rss_kb is not null")
+
+
+def header_records(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, ord, fields) of a SAM header's lines: SQ, RG, PG, HD with their fields as a map (a tag's first value counts)."""
+    head = lines(spark, path).where(F.col("value").rlike(r"^@(HD|SQ|RG|PG)\t")).withColumn("f", F.split("value", "\t"))
+    entries = F.transform(F.filter(_rest(F.col("f"), 2), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:")), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(4), F.char_length(t)).alias("value")))
+    return head.select(F.substring("value", 2, 2).alias("kind"), "ord", first_entries(entries).alias("fields"))
 
 
 def json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

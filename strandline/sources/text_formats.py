@@ -230,7 +230,7 @@ def log_figures(spark: SparkSession, path: str) -> DataFrame:
 
 def resource_use(spark: SparkSession, path: str) -> DataFrame:
     """(file, wall_seconds, max_rss_kb) that the time program adds to a log: ``Elapsed ...: [h:]m:s`` and the resident set."""
-    rows = lines(spark, path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    rows = lines(spark, path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("v"))
     clock = F.regexp_extract("v", r"^Elapsed \(wall clock\) time.*: ([0-9:.]+)$", 1)
     fields = F.reverse(F.split(clock, ":"))
     seconds = F.when(clock != "", F.aggregate(F.transform(fields, lambda x, i: x.try_cast("double") * F.pow(F.lit(60.0), i)), F.lit(0.0), lambda s, x: s + x))

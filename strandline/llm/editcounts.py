@@ -1,19 +1,26 @@
 """Token counts that follow edits without encoding a document again.
 
 A document is cut into segments (see ``bpe``): runs of whole pre-tokens that begin at a place where the pattern cuts
-whatever surrounds it, namely a U+0020 followed by anything but white space. Slots of ``SLOT`` segments are the leaves of a
-segment tree whose nodes hold characters and tokens below them. An edit descends by characters to the segments it touches,
-takes one character of context on either side (a cut depends on itself and the next character), encodes that stretch
-again, and adds the differences along the paths to the root.
+whatever surrounds it, namely a U+0020 followed by anything but white space; long ones, as in texts without blanks, are
+cut further where letters, digits, marks and white space meet. A pre-token itself is never cut. Slots of ``SLOT`` segments
+are the leaves of a segment tree whose nodes hold characters and tokens below them. An edit descends by characters to the
+segments it touches, takes two characters of context before and one after (a cut depends on the characters on its two
+sides, or on itself and the next one), encodes that stretch again, and adds the differences along the paths to the root.
+A slot that has grown to ``GROWN`` times its size is dealt out again, so many edits at one place stay cheap.
+
+Trees can be kept in a table: ``kept_tree`` gives the leaves' sizes and counts, from which ``edited_counts`` builds the tree
+again without encoding anything.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +28,51 @@ from .bpe import Tokenizer, public_vocabulary, tokenizer
 from .common import small_batches, table
 
 SLOT = 32
+GROWN = 4
+#: Characters of a segment from which it is cut further.
+LONG = 64
+#: Where the pattern cuts whatever surrounds the two characters. An apostrophe may belong to the letters behind it.
+_MEET = regex.compile(r"(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})|(?<=\S)(?=\s)")
+
+
+def cut(text: str, t: Tokenizer) -> list[str]:
+    """Segments of a text, long ones cut into parts of about ``LONG`` characters."""
+    out = []
+    for s in t.segments(text):
+        if len(s) <= LONG:
+            out.append(s)
+            continue
+        at = 0
+        for m in _MEET.finditer(s):
+            if m.start() - at >= LONG:
+                out.append(s[at : m.start()])
+                at = m.start()
+        out.append(s[at:])
+    return out
 
 
 class EditTree:
-    """Segment tree over one text. ``total`` is its number of tokens, ``encoded`` how many segments edits have encoded."""
+    """Segment tree over one text. ``total`` is its number of tokens, ``encoded`` how many segments edits have encoded.
 
-    def __init__(self, text: str, t: Tokenizer) -> None:
-        self.t = t
-        segments = t.segments(text)
-        counts = [len(x) >> 2 for x in t.encoded(segments)]
+    ``kept``: lengths and token counts of the segments, as an earlier tree gave them; else the text is cut and encoded.
+    """
+
+    def __init__(self, text: str, t: Tokenizer, kept: tuple[list[int], list[int]] | None = None) -> None:
+        self.t, self.encoded = t, 0
+        if kept is None:
+            segments = cut(text, t)
+            counts = self.count(segments)
+        else:
+            stops = list(accumulate(kept[0]))
+            if (stops[-1] if stops else 0) != len(text):
+                raise ValueError("the kept tree is not one of this text")
+            segments, counts = [text[b - n : b] for b, n in zip(stops, kept[0], strict=True)], list(kept[1])
+        self.build(segments, counts)
+
+    def count(self, segments: list[str]) -> list[int]:
+        return [len(x) >> 2 for x in self.t.encoded(segments)]
+
+    def build(self, segments: list[str], counts: list[int]) -> None:
         self.slots = [(segments[i : i + SLOT], counts[i : i + SLOT]) for i in range(0, len(segments), SLOT)]
         n = 1
         while n < len(self.slots):
@@ -41,7 +84,10 @@ class EditTree:
         for i in range(n - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.encoded = 0
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Lengths and token counts of all segments, in order."""
+        return [len(s) for own, _ in self.slots for s in own], [c for _, own in self.slots for c in own]
 
     @property
     def total(self) -> int:
@@ -70,18 +116,21 @@ class EditTree:
         counts = [c for k in range(first, last + 1) for c in self.slots[k][1]]
         begins = [offset, *accumulate(map(len, segments), initial=offset)][1:]
         i = max(0, bisect_right(begins, max(offset, start - 2), 0, len(segments)) - 1)
-        j = bisect_left(begins, stop, 0, len(segments))
-        if j <= i:
-            j = i + 1
+        # The first segment that begins behind the character after the edit: its cut has seen nothing of the edit.
+        j = max(i + 1, bisect_right(begins, stop, 0, len(segments)))
         old = "".join(segments[i:j])
         at = begins[i]
-        new = self.t.segments(old[: start - at] + text + old[stop - at :])
+        new = cut(old[: start - at] + text + old[stop - at :], self.t)
         self.encoded += len(new)
         segments[i:j] = new
-        counts[i:j] = [len(x) >> 2 for x in self.t.encoded(new)]
-        # The stretch goes to its first slot; the others of it become empty. Later edits cut it down as they go.
+        counts[i:j] = self.count(new)
+        # The stretch goes to its slots, evenly. What makes slots grow too large is paid for by the edits that did so.
+        share = max(SLOT, -(-len(segments) // (last + 1 - first)))
         for k in range(first, last + 1):
-            self.put(k, segments if k == first else [], counts if k == first else [])
+            part = slice((k - first) * share, (k - first + 1) * share)
+            self.put(k, segments[part], counts[part])
+        if share > GROWN * SLOT:
+            self.build([s for own, _ in self.slots for s in own], [c for _, own in self.slots for c in own])
 
     def put(self, k: int, segments: list[str], counts: list[int]) -> None:
         self.slots[k] = segments, counts
@@ -96,29 +145,47 @@ class EditTree:
         return "".join(s for segments, _ in self.slots for s in segments)
 
 
-def edited_counts(text: Column, edits: Column, rank_file: str, pattern: str) -> Column:
-    """Struct (n_tokens, edited_tokens, n_segments, n_encoded): tokens of a text before and after its edits, its segments,
-    and those that the edits encoded.
+def kept_tree(text: Column, rank_file: str, pattern: str) -> Column:
+    """Struct (chars, tokens): lengths in code points and token counts of a text's segments, the leaves of its tree. A null or
+    empty text has one empty segment."""
+
+    @F.pandas_udf("chars array<int>, tokens array<int>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t = tokenizer(rank_file, pattern)
+        for texts in batches:
+            own = [EditTree(x or "", t).leaves() for x in texts]
+            yield pd.DataFrame({"chars": [np.array(c, dtype=np.int32) for c, _ in own], "tokens": [np.array(n, dtype=np.int32) for _, n in own]})
+
+    return of(text)
+
+
+def edited_counts(text: Column, edits: Column, rank_file: str, pattern: str, kept: Column | None = None) -> Column:
+    """Struct (n_tokens, edited_tokens, n_segments, n_encoded, chars, tokens): tokens of a text before and after its edits, its
+    segments, those that the edits encoded, and the leaves of the tree after the edits, to be kept.
 
     ``edits``: array of struct (start, stop, text), each over the text as the ones before left it, in code points; parts
-    outside the text are held to it, and nulls count as 0, 0 and empty. A null text is empty; null edits are none.
+    outside the text are held to it, and nulls count as 0, 0 and empty. A null text is empty; null edits are none. ``kept``:
+    what ``kept_tree``, or an earlier call, gave for the text; without it, or where it is null, the text is encoded once.
     """
 
-    @F.pandas_udf("n_tokens long, edited_tokens long, n_segments long, n_encoded long")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, edited_tokens long, n_segments long, n_encoded long, chars array<int>, tokens array<int>")
+    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         t = tokenizer(rank_file, pattern)
-        for texts, lists in batches:
+        for texts, lists, *trees in batches:
             out = []
-            for x, own in zip(texts, lists, strict=True):
-                tree = EditTree(x or "", t)
+            old = trees[0].to_dict("records") if trees else [None] * len(texts)
+            for x, own, leaves in zip(texts, lists, old, strict=True):
+                known = leaves is not None and leaves["chars"] is not None
+                tree = EditTree(x or "", t, (list(leaves["chars"]), list(leaves["tokens"])) if known else None)
                 before, segments = tree.total, sum(len(s) for s, _ in tree.slots)
                 for e in own if own is not None else ():
                     if e is not None:
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                out.append((before, tree.total, segments, tree.encoded))
-            yield pd.DataFrame(out, columns=["n_tokens", "edited_tokens", "n_segments", "n_encoded"])
+                chars, tokens = (np.array(v, dtype=np.int32) for v in tree.leaves())
+                out.append((before, tree.total, segments, tree.encoded, chars, tokens))
+            yield pd.DataFrame(out, columns=["n_tokens", "edited_tokens", "n_segments", "n_encoded", "chars", "tokens"])
 
-    return of(text, edits)
+    return of(text, edits) if kept is None else of(text, edits, kept)
 
 
 def sample_edits(n: Column) -> Column:

@@ -24,6 +24,8 @@ BINS_LOG2 = 5
 KEEP = 2
 LOW = (1 << 24) - 1
 BUCKET = 256
+#: Most ranges of ids.
+RANGES = 512
 #: More elements than any array has; slice adds the start to it, so it stays clear of the largest int.
 _FAR = 1_000_000_000
 
@@ -132,31 +134,50 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs`` (doc_id and ``carried`` columns) with next_<column>: of the next row in descending doc_id, after the last
-    the first. Rows of equal id follow each other by a hash of the carried columns.
+    the first. Null ids come last; rows of equal id follow each other by a hash of the carried columns.
 
-    Rows are dealt to buckets of neighbouring ids, about ``BUCKET`` rows each if ids are even; each bucket's first row is
-    also sent to the bucket above, whose last row it follows. Only one row for each bucket is handled as a whole, in runs
-    of buckets, so no task sees all rows.
+    Rows are dealt to ranges of ids between quantiles over all ids, so that gaps and outliers leave ranges even; ranges hold
+    about ``BUCKET`` rows, or more once there are ``RANGES`` of them. Null ids have ranges of their hashes. Each range's
+    first row is also sent to the range above, whose last row it follows. Only one row for each range is handled as a
+    whole, so no task sees all rows.
     """
     docs = docs.select("doc_id", *carried)
-    facts = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = facts["lo"] or 0, facts["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // max(1, -(-facts["n"] // BUCKET))))
-    place = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    rows = docs.withColumn("bucket", place)
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).withColumn("run", F.floor(F.col("bucket") / 1024))
-    first = tops.groupBy("run").agg(F.min("bucket").alias("first"))
-    everything = W.orderBy("run")
-    first = first.withColumn("after", F.coalesce(F.lead("first").over(everything), F.min("first").over(W.partitionBy()))).select(F.col("run").alias("r"), "after")
-    tops = tops.join(first, F.col("run") == F.col("r")).withColumn("to", F.coalesce(F.lead("bucket").over(W.partitionBy("run").orderBy("bucket")), F.col("after")))
-    # Written, so that its size is known: below Spark's broadcast limit the texts are not shuffled for this join.
-    tops = Scratch(docs.sparkSession, "next").keep(tops.select(F.col("bucket").alias("b"), "top", "to"))
-    sent = rows.join(tops, F.col("bucket") == F.col("b"))
+    n = docs.count()
+    ranges = max(1, min(RANGES, -(-n // BUCKET)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * RANGES).alias("q")).first()["q"] if n else None
+    bounds = sorted({int(c) for c in cuts or []})
+    tie = F.xxhash64(*carried)
+    # The number of bounds at or below an id, by halving; ranges of null ids are negative, the least hash highest.
+    place = _rank(F.col("doc_id"), bounds)
+    rows = docs.withColumns({"tie": tie, "bucket": F.coalesce(place, -1 - F.pmod(F.shiftrightunsigned(tie, 56) + 128, F.lit(256)))})
+    order_of = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.bitwise_not("tie").alias("later"))
+    tops = rows.groupBy("bucket").agg(F.max(order_of).alias("top"))
+    everything = W.orderBy(F.col("bucket").asc())
+    tops = tops.withColumn("to", F.coalesce(F.lead("bucket").over(everything), F.min("bucket").over(W.partitionBy())))
+    # Written, so that its size is known: at most RANGES + 257 rows, so the texts are not shuffled for this join.
+    tops = Scratch(docs.sparkSession, "next").keep(tops.select(F.col("bucket").alias("b"), F.col("top.doc_id").alias("top"), F.bitwise_not("top.later").alias("top_tie"), "to"))
+    sent = rows.join(F.broadcast(tops), F.col("bucket") == F.col("b"))
     copies = F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))
-    is_top = F.col("doc_id").eqNullSafe(F.col("top"))
-    sent = sent.withColumn("copy", F.explode(F.when(is_top, copies).otherwise(F.slice(copies, 1, 1)))).select("doc_id", *carried, "copy.at", "copy.ghost")
-    order = W.partitionBy("at").orderBy("ghost", F.col("doc_id").desc(), F.xxhash64(*carried))
-    return sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("not ghost").drop("at", "ghost")
+    is_top = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("tie") == F.col("top_tie"))
+    sent = sent.withColumn("copy", F.explode(F.when(is_top, copies).otherwise(F.slice(copies, 1, 1)))).select("doc_id", *carried, "tie", "copy.at", "copy.ghost")
+    order = W.partitionBy("at").orderBy("ghost", F.col("doc_id").desc(), "tie")
+    return sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("not ghost").drop("at", "ghost", "tie")
+
+
+def _rank(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at or below a value, by halving; null for null."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0).cast("long"))
+    known = F.array(*[F.lit(b).cast("long") for b in bounds])
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (value >= F.get(known, mid))
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    begin = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.when(value.isNotNull(), F.aggregate(steps, begin, step, lambda s: s["lo"].cast("long")))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

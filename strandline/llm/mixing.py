@@ -105,17 +105,15 @@ def schedule(goal: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     return every.select("slot", "i", "rank", (F.col("rank") % F.col("blocks")).cast("long").alias("block"), words.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mixing plan: a row for each row of ``docs``, without its text, with size, source_size, target, taken and tie.
+def laid_out(docs: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, goal, slots): each row of ``docs`` with its place (offset) in its source's shuffled stream of words.
 
-    ``docs`` needs doc_id, text and source; its other columns stay, but for those named like new ones. Sizes count words;
-    null and empty texts have none and take none. taken: words that the mix takes of the row, repeats counted. tie: a
-    hash of the text, which tells rows of one doc_id apart. Rows equal in doc_id and text are dealt one after the other.
-    Sizes and targets are written once to the shared folder, so texts are read once.
+    rows: i, offset, size, tie, source_size, target and __row, a struct of the columns of ``docs`` without its text, so that
+    none of them can clash with a column of the plan. Sizes and targets are written, so texts are read once.
     """
-    new = ["size", "source_size", "target", "taken", "tie"]
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.keep(docs.withColumns({"size": word_count(F.col("text")), "tie": F.xxhash64("text")}).select(*[c for c in docs.columns if c not in [*new, "text"]], "size", "tie"))
+    own = [c for c in docs.columns if c != "text"]
+    sized = docs.select("doc_id", "source", F.struct(*own).alias("__row"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    sized = scratch.keep(sized)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     facts = sizes.agg(F.sum("source_size").alias("words"), F.sum("n").alias("n")).first()
     words, n = int(facts["words"] or 0), int(facts["n"] or 0)
@@ -126,19 +124,57 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = max(1, -(-n // CELL))
     rows = rows.withColumns({"__key": key, "cell": F.pmod(F.shiftrightunsigned(key, 1), F.lit(cells))})
     laid = running(rows, ["i"], "cell", [F.col("__key"), F.col("doc_id"), F.col("tie")], F.col("size"), "offset").drop("cell", "__key")
-    slots = -(-words * 3 // 2 // block) + 1
+    return laid, goal, -(-words * 3 // 2 // block) + 1
+
+
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mixing plan: a row for each row of ``docs``, without its text, with size, source_size, target, taken and tie.
+
+    ``docs`` needs doc_id, text and source; its other columns stay, but for those named like new ones. Sizes count words;
+    null and empty texts have none and take none. taken: words that the mix takes of the row, repeats counted. tie: a
+    hash of the text, which tells rows of one doc_id apart. Rows equal in doc_id and text are dealt one after the other.
+    """
+    new = ["size", "source_size", "target", "taken", "tie"]
+    laid, goal, slots = laid_out(docs, Scratch(docs.sparkSession, "mix"), block)
     taking = schedule(goal, slots, block).groupBy("i", "block").agg(F.collect_list("words").alias("takes"))
-    first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)
-    parts = laid.where("size > 0").select("i", "offset", "size", F.explode(F.sequence(first, last)).alias("block"))
-    begin = F.greatest(F.col("offset"), F.col("block") * block)
-    end = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block)
+    parts = in_blocks(laid.where("size > 0").select("i", "offset", "size"), block)
     none = F.lit(0).cast("long")
-    overlap = F.aggregate("takes", none, lambda s, t: s + F.greatest(none, F.least(end, F.col("block") * block + t) - begin))
+    overlap = F.aggregate("takes", none, lambda s, t: s + F.greatest(none, F.least(F.col("end"), F.col("block") * block + t) - F.col("begin")))
     taken = parts.join(taking, ["i", "block"]).select("i", "offset", overlap.alias("o")).groupBy("i", "offset").agg(F.sum("o").alias("taken"))
     taken = taken.select(F.col("i").alias("__i"), F.col("offset").alias("__o"), "taken")
     same = (F.col("i") == F.col("__i")) & (F.col("offset") == F.col("__o")) & (F.col("size") > 0)
     out = laid.join(taken, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in [*new, "text"]], *new)
+    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in [*new, "text"]], *new)
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (offset, size) for each block that they have words in, with block, begin and end in the source's stream."""
+    last = F.floor((F.col("offset") + F.col("size") - 1) / block)
+    parts = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last)))
+    return parts.withColumns({"begin": F.greatest(F.col("offset"), F.col("block") * block), "end": F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block)})
+
+
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix itself: slot, source, rank and text, a row for each scheduled block, whose words are joined by one blank.
+
+    Read in the order of (slot, source, rank) it is the mixed stream; all blocks but a source's last have ``block`` words.
+    A block is made of the words of the documents that meet in it, in the order of the source's shuffled stream, and is
+    taken as often as the schedule says, so each source's words are its target, rounded down.
+    """
+    laid, goal, slots = laid_out(docs, Scratch(docs.sparkSession, "mixed"), block)
+    copies = W.partitionBy("doc_id", "tie").orderBy("offset")
+    places = laid.where("size > 0").select(F.col("__row.doc_id").alias("doc_id"), "tie", "i", "offset", "size")
+    places = places.withColumn("copy", F.row_number().over(copies))
+    words = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), words.alias("w")).where(F.size("w") > 0)
+    texts = texts.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "tie").orderBy("tie")))
+    named = [F.col(c).alias(f"p_{c}") for c in ("doc_id", "tie", "copy")]
+    own = texts.join(places.select(*named, "i", "offset", "size"), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("tie") == F.col("p_tie")) & (F.col("copy") == F.col("p_copy")))
+    parts = in_blocks(own.select("i", "offset", "size", "w"), block)
+    cut = F.slice("w", (F.col("begin") - F.col("offset") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    whole = parts.groupBy("i", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("begin", cut.alias("w")))), lambda p: p["w"])).alias("w"))
+    slots_ = schedule(goal, slots, block).join(whole, ["i", "block"]).join(goal.select("i", "source"), "i")
+    return slots_.select("slot", "source", "rank", F.array_join(F.slice("w", F.lit(1), F.col("words").cast("int")), " ").alias("text"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

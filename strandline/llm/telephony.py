@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, small_batches, table
 
 RATE = 8000
 TARGET_RATE = 16000
@@ -93,8 +93,14 @@ def wave(data: bytes, form: int, rate: int = RATE, block: int = 1) -> bytes:
 
 def parse(media: bytes) -> tuple[int, int, int, bytes] | None:
     """(format, rate, block, data) of a RIFF/WAVE file; None for what is none. A cut data chunk gives what there is."""
+    form, data = described(media)
+    return None if form is None or data is None else (form[0], form[2], form[4], data)
+
+
+def described(media: bytes) -> tuple[tuple[int, ...] | None, bytes | None]:
+    """(format, channels, rate, bytes a second, block, bits) and data of a RIFF/WAVE file; None for what is not there."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        return None
+        return None, None
     at, form, data = 12, None, None
     while at + 8 <= len(media) and data is None:
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
@@ -103,7 +109,27 @@ def parse(media: bytes) -> tuple[int, int, int, bytes] | None:
         elif name == b"data":
             data = media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    return None if form is None or data is None else (form[0], form[2], form[4], data)
+    return form, data
+
+
+def decoded(media: bytes | None) -> tuple[int, np.ndarray] | None:
+    """Rate and int16 samples of a telephony file: mono mu-law or A-law of 8 bits, PCM of 8 (unsigned) or 16 bits, or IMA
+    ADPCM in blocks of at least 5 bytes. None for null, other formats, more channels, and a rate of 0."""
+    form, data = described(media) if media is not None else (None, None)
+    if form is None or data is None:
+        return None
+    kind, channels, rate, _, block, bits = form
+    if channels != 1 or rate == 0 or (kind, bits) not in {(PCM, 8), (PCM, 16), (ULAW, 8), (ALAW, 8), (IMA, 4)} or (kind == IMA and block < 5):
+        return None
+    if (kind, bits) == (PCM, 8):
+        return rate, ((np.frombuffer(data, dtype=np.uint8).astype(np.int32) - 128) << 8).astype(np.int16)
+    return rate, samples(kind, block, data)
+
+
+def pcm_file(media: bytes | None, target_rate: int) -> bytes | None:
+    """A 16-bit RIFF/WAVE file of what ``decoded`` gives, resampled."""
+    x = decoded(media)
+    return None if x is None else wave(resample(x[1], x[0], target_rate).astype("<i2").tobytes(), PCM, target_rate, 2)
 
 
 def samples(form: int, block: int, data: bytes) -> np.ndarray:
@@ -155,51 +181,49 @@ def store(text: Column) -> Column:
 
 
 def to_pcm(media: Column, target_rate: int = TARGET_RATE) -> Column:
-    """Column of PCM (binary, a 16-bit RIFF/WAVE file at ``target_rate``); null for null and for what is no such file."""
+    """Column of PCM (binary, a 16-bit RIFF/WAVE file at ``target_rate``); null for what ``decoded`` has no samples of."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            out = []
-            for m in rows:
-                p = parse(m) if m is not None else None
-                out.append(None if p is None else wave(resample(samples(p[0], max(1, p[2]), p[3]), p[1], target_rate).astype("<i2").tobytes(), PCM, target_rate, 2))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([pcm_file(m, target_rate) for m in rows], dtype=object)
 
     return of(media)
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Of each payload, read as mu-law and A-law at 8 kHz and as ADPCM blocks of 64 bytes: summaries of the PCM that
-    resampling to 16 kHz gives (for ADPCM, of its samples). Payloads are multiples of 64 bytes."""
+def features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Of each payload: the summary of its stored PCM (mu-law at 8 kHz resampled to 16 kHz), of its bytes taken as A-law in the
+    same way, and of its bytes taken as ADPCM blocks of 64 bytes. Payloads are multiples of 64 bytes."""
     flat = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, BLOCK)
-    decoded = ima_blocks(flat)
+    blocks = ima_blocks(flat)
     out, at = [], 0
-    for p in payloads:
-        raw = np.frombuffer(p, dtype=np.uint8)
+    for p, m in zip(payloads, pcm, strict=True):
         n = len(p) // BLOCK
-        both = [summary(resample(TABLES[f][raw], RATE, TARGET_RATE)) for f in (ULAW, ALAW)]
-        out.append(f"ulaw:{both[0]};alaw:{both[1]};ima:{summary(decoded[at : at + n].ravel())}")
+        alaw = resample(TABLES[ALAW][np.frombuffer(p, dtype=np.uint8)], RATE, TARGET_RATE)
+        out.append(f"ulaw:{summary(decoded(m)[1])};alaw:{summary(alaw)};ima:{summary(blocks[at : at + n].ravel())}")
         at += n
     return out
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (as ``store``), payload (read back from the media) and feature of each row of ``docs``."""
+    """doc_id, n_bytes, media (as ``store``), payload (read back from the media), pcm (as ``to_pcm``) and feature of each row of
+    ``docs`` (doc_id, text; others are left out). A null text is stored as an empty one; equal texts have equal media."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = [t if t is not None else b"" for t in rows["text"]]
-            media = [wave(padded(t), ULAW) for t in texts]
-            payloads = [parse(m)[3] for m in media]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": [len(t) for t in texts], "media": media, "payload": payloads, "feature": features(payloads) if payloads else []})
+            for ids, texts in slices(rows["doc_id"], rows["text"]):
+                media = [wave(padded(t), ULAW) for t in texts]
+                payloads = [parse(m)[3] for m in media]
+                pcm = [pcm_file(m, TARGET_RATE) for m in media]
+                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=rows["doc_id"].dtype), "n_bytes": [len(t) for t in texts], "media": media, "payload": payloads, "pcm": pcm, "feature": features(payloads, pcm)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(work, f"doc_id {kind}, n_bytes long, media binary, payload binary, feature string")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(work, f"doc_id {kind}, n_bytes long, media binary, payload binary, pcm binary, feature string")
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every whole text."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_sha256 of
+    every whole text."""
     small_batches(spark)
     out = stored_and_read(table(spark, sf_dir, "documents"))
     tail = F.substring("payload", -BLOCK, BLOCK)
@@ -212,4 +236,6 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )

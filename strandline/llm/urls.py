@@ -74,7 +74,8 @@ def suffix(host_: str) -> str:
 
 
 def lexical(url: str | None, suffixes: dict[str, tuple[float, int]]) -> list[float]:
-    """Features of one URL, in the order of ``NAMES``. ``suffixes``: block rate and count of host suffixes in training."""
+    """Features of one URL, in the order of ``NAMES``; null counts as empty, and a text without a scheme is all query.
+    ``suffixes``: block rate and count of host suffixes in training."""
     u = url or ""
     scheme, h, p, q = parts(u)
     n = max(1, len(u))
@@ -169,13 +170,18 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
 
 
 def fit(labelled: DataFrame, max_rows: int = 20_000) -> Trees:
-    """Trees from rows (url, block) with block 0 or 1: at most ``max_rows`` of them, chosen by a hash of the URL.
+    """Trees from rows (url, block) with block 0 or 1: at most ``max_rows`` of them, those of the least hashes of the URL.
+
+    A bound on the hash, set from the count so that about twice as many pass, comes before the sort: what partitions sort
+    and send does not grow with the table.
 
     Suffix statistics come from one half of the sample and the trees from the other, so that a rate never holds the label
     it helps to predict. Without rows, every URL has an even chance.
     """
     known = labelled.where("block in (0, 1)").groupBy("url").agg(F.max("block").alias("block"))
-    rows = known.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
+    part = min(1.0, 2.0 * max_rows / max(1, known.count()))
+    known = known.withColumn("h", F.xxhash64("url")).where(F.col("h") <= F.lit(round(part * 2**64) - 2**63 - 1 if part < 1 else 2**63 - 1))
+    rows = known.orderBy("h", "url").limit(max_rows).collect()
     half: dict[str, list[int]] = {}
     for r in rows[::2]:
         half.setdefault(suffix(parts(r["url"])[1]), []).append(r["block"])

@@ -116,11 +116,10 @@ def clip() -> Column:
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """All layers of a locus in one aggregate over one join, with scores, total and words."""
     good = F.col("mapq") >= 20
-    a = at(spark, d).groupBy("locus").agg(
-        F.count("*").alias("n"), F.count_if(good).alias("total"), F.count_if(good & other()).alias("discordant"), F.count_if(good & supp()).alias("split"), F.count_if(F.col("mapq") < 20).alias("low")
-    )
-    c = at(spark, d).where(clip()).groupBy("locus", "pos0").agg(F.count("*").alias("k")).groupBy("locus").agg(F.max("k").alias("clip_max"))
-    x = a.join(c, "locus", "left").withColumn("clip_max", F.coalesce("clip_max", F.lit(0)))
+    parts = {"n": F.count("*"), "total": F.count_if(good), "discordant": F.count_if(good & other()), "split": F.count_if(good & supp()), "low": F.count_if(F.col("mapq") < 20)}
+    # Counts by position first, so that the highest pile of clips comes out of the same join as the sums.
+    piles = at(spark, d).groupBy("locus", "pos0").agg(*[v.alias(k) for k, v in parts.items()], F.count_if(clip()).alias("k"))
+    x = piles.groupBy("locus").agg(*[F.sum(k).cast("long").alias(k) for k in parts], F.max("k").alias("clip_max"))
     need = R.minimum_support(F.lit(H))
     x = x.withColumns(
         {

@@ -78,3 +78,21 @@ def derivative(chrom_kept: Column, pos_kept: Column, chrom_moved: Column, pos_mo
 def iscn(ca: Column, band_a: Column, cb: Column, band_b: Column) -> Column:
     """t(A;B)(bandA;bandB); null where a band is unknown."""
     return F.when(band_a.isNotNull() & band_b.isNotNull(), F.format_string("t(%s;%s)(%s;%s)", ca, cb, band_a, band_b))
+
+
+def summary_row(rank: Column, name: Column, breakpoints: Column, pattern: Column, pairs: Column, splits: Column, fragments: Column, genes: Column, cautions: Column) -> Column:
+    """One line for an event: rank, name, breakpoints (array of struct chromosome, start, end), pattern, support in words,
+    genes that it breaks (null: not looked up; empty: none) and cautions (null or empty: none)."""
+    whole = lambda x: F.format_number(x, 0)
+    place = lambda b: F.concat(b["chromosome"], F.lit(":"), whole(b["start"]), F.when(b["end"] != b["start"], F.concat(F.lit("–"), whole(b["end"]))).otherwise(""))
+    count = lambda n, one: F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s"))
+    broken = (
+        F.when(genes.isNull(), "genes not looked up (no local gene table)")
+        .when(F.size(genes) == 0, "no gene at the breakpoints")
+        .otherwise(F.concat(F.lit("breaks "), F.array_join(genes, ", ")))
+    )
+    warned = F.when(F.coalesce(F.size(cautions), F.lit(0)) > 0, F.concat(F.lit("; cautions: "), F.array_join(cautions, "; "))).otherwise("")
+    return F.concat(
+        rank.cast("string"), F.lit(". "), name, F.lit(" "), F.array_join(F.transform(breakpoints, place), " ↔ "), F.lit(" - "), pattern, F.lit("; "),
+        count(pairs, "read pair"), F.lit(", "), count(splits, "split read"), F.lit(" ("), count(fragments, "read"), F.lit("); "), broken, warned,
+    )

@@ -218,6 +218,15 @@ def flag_statistics(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def contig_statistics(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(name, length, mapped, unmapped) of every contig of a header (name, length, ord) and of ``*`` for records placed
+    nowhere; unmapped counts unmapped records placed at their mate's contig."""
+    un = A.has(F.col("flag"), A.UNMAPPED)
+    n = reads.groupBy(F.coalesce("contig", F.lit("*")).alias("name")).agg(F.count_if(~un).alias("mapped"), F.count_if(un).alias("unmapped"))
+    every = contigs.select("name", "length").unionByName(contigs.sparkSession.range(1).select(F.lit("*").alias("name"), F.lit(0).cast("long").alias("length")))
+    return every.join(n, "name", "left").na.fill(0, ["mapped", "unmapped"])
+
+
 def far_pairs(reads: DataFrame, mapq: int = 20) -> DataFrame:
     """One row: far (names whose two primary mates lie on different contigs) and good (both of them at ``mapq`` or more)."""
     own = reads.where(A.lacks(F.col("flag"), A.SECONDARY | A.SUPPLEMENTARY))

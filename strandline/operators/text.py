@@ -90,3 +90,35 @@ def scrubbed(text: Column, home: str = "/home/") -> Column:
 def call_shape(text: Column) -> Column:
     """A tool call written as text: a JSON object with a name and arguments, a tag, or name(argument=...)."""
     return text.rlike(r'\{\s*"(?:name|tool)"\s*:\s*"\w+"\s*,\s*"(?:arguments|parameters|params)"\s*:') | text.rlike(r"<tool_call>|<function=") | text.rlike(r"^\s*\w+\(\w+\s*=")
+
+
+#: Fixed value: what a claim about a gene's function or disease looks like.
+FUNCTION_CLAIM = r"\bgene\b.{0,40}\bfunction\b|\bencodes\b|\bassociated with\b.{0,40}\bdisease\b"
+
+
+def unlooked_claims(report: Column, tools: Column, phrases: list[str]) -> Column:
+    """Array of flags of a report: ``provenance`` where it has one of the phrases, ``gene function`` where it speaks of one
+    though no call of the run (array of tool names) looked genes up."""
+    low = F.lower(F.coalesce(report, F.lit("")))
+    said = F.lit(False)
+    for p in phrases:
+        said = said | F.contains(low, F.lit(p.lower()))
+    looked = F.coalesce(F.array_contains(tools, "gene_at_locus"), F.lit(False))
+    return F.filter(F.array(F.when(said, "provenance"), F.when(low.rlike(FUNCTION_CLAIM) & ~looked, "gene function")), lambda f: f.isNotNull())
+
+
+def unsupported_sizes(report: Column, positions: Column) -> Column:
+    """Array of the sizes (``1,200 bp``, ``3.5 kb``) in a report that no two of the positions (array of numbers) lie apart,
+    give or take 2 % or 2 bases."""
+    pattern = r"(?i)([\d,]*\d(?:\.\d+)?)\s*(bp|base pairs?|kb|kilobases?)\b"
+    sizes = F.arrays_zip(F.regexp_extract_all(report, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(report, F.lit(pattern), F.lit(2)).alias("u"))
+    bases = lambda s: F.replace(s["n"], F.lit(","), F.lit("")).try_cast("double") * F.when(F.lower(s["u"]).startswith("k"), 1000).otherwise(1)
+    apart = lambda x: F.exists(positions, lambda a: F.exists(positions, lambda b: (a != b) & (F.abs(F.abs(a - b) - x) <= F.greatest(F.lit(2.0), 0.02 * x))))
+    return F.transform(F.filter(sizes, lambda s: ~F.coalesce(apart(bases(s)), F.lit(False))), lambda s: s["n"])
+
+
+def without_paths(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """``df`` whose struct ``column`` has, in place of fields that hold paths, a handle: the first 12 digits of their sha256."""
+    handle = F.struct(*[F.substring(F.sha2(F.col(f"{column}.{f}").cast("binary"), 256), 1, 12).alias(f"{f}_handle") for f in fields])
+    rest = [f for f in df.schema[column].dataType.fieldNames() if f not in fields]
+    return df.withColumn(column, F.struct(*[F.col(f"{column}.{f}").alias(f) for f in rest], *[handle[f"{f}_handle"].alias(f"{f}_handle") for f in fields]))

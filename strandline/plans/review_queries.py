@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contigs as C
-from ..operators import junctions, reads
+from ..operators import events, junctions, reads
+from ..operators import text as T
 from ..sources import sinks
 from . import views as V
 from .views import table as t
@@ -247,7 +248,61 @@ SQL_ORDER = V.with_(
 ) + "SELECT id, CASE WHEN swap THEN c2 ELSE c1 END AS ca, CASE WHEN swap THEN pos2 ELSE pos1 END AS pa, CASE WHEN swap THEN c1 ELSE c2 END AS cb, CASE WHEN swap THEN pos1 ELSE pos2 END AS pb, CASE WHEN swap THEN CASE o WHEN '3to5' THEN '5to3' WHEN '5to3' THEN '3to5' ELSE o END ELSE o END AS orientation FROM m"
 
 
+def q_contig_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every 9th line counts as unmapped at its mate's place, every 27th as placed nowhere."""
+    k = F.col("file_ord") % 27
+    own = records(spark, d).withColumns({"flag": F.when(k % 9 == 0, F.col("flag") + 4).otherwise(F.col("flag")), "contig": F.when(k != 0, F.col("contig"))})
+    return reads.contig_statistics(own, contigs(spark))
+
+
+SQL_CONTIGS = V.with_(RECORDS, "n AS (SELECT CASE WHEN file_ord % 27 = 0 THEN '*' ELSE contig END AS name, count(*) FILTER (file_ord % 9 <> 0) AS mapped, count(*) FILTER (file_ord % 9 = 0) AS unmapped FROM r GROUP BY 1)") + (
+    "SELECT c.name, c.length, coalesce(mapped, 0) AS mapped, coalesce(unmapped, 0) AS unmapped FROM (VALUES ('chr1', 500000::BIGINT), ('chr2', 400000), ('chr3', 300000), ('*', 0)) c(name, length) LEFT JOIN n USING (name)"
+)
+
+
+def q_summary_rows(spark: SparkSession, d: str) -> DataFrame:
+    j = V.junctions(spark, d)
+    place = lambda c, p, w: F.struct(F.col(c).alias("chromosome"), F.col(p).alias("start"), (F.col(p) + w).alias("end"))
+    genes = F.when(F.col("id") % 3 == 0, F.array(F.lit("G1"), F.lit("G2"))).when(F.col("id") % 3 == 1, F.array().cast("array<string>"))
+    cautions = F.when(F.col("id") % 4 == 0, F.array(F.lit("low"), F.lit("far")))
+    x = events.summary_row(F.col("id"), F.col("orientation"), F.array(place("chrom1", "pos1", 0), place("chrom2", "pos2", F.col("id") % 2)), F.col("callset"), F.coalesce("pe", F.lit(0)), F.coalesce("sr", F.lit(0)), F.coalesce("pe", F.lit(0)) + F.coalesce("sr", F.lit(0)), genes, cautions)
+    return j.select("id", x.alias("line"))
+
+
+_N = "format('{{:,}}', {0})"
+_WORDS = "CASE WHEN coalesce({0}, 0) = 1 THEN '1 {1}' ELSE coalesce({0}, 0) || ' {1}s' END"
+SQL_ROWS = V.with_(V.JUNCTIONS) + (
+    f"SELECT id, id || '. ' || orientation || ' ' || chrom1 || ':' || {_N.format('pos1')} || ' ↔ ' || chrom2 || ':' || {_N.format('pos2')} || CASE WHEN id % 2 = 1 THEN '–' || {_N.format('pos2 + 1')} ELSE '' END || ' - ' || callset || '; ' || "
+    f"{_WORDS.format('pe', 'read pair')} || ', ' || {_WORDS.format('sr', 'split read')} || ' (' || {_WORDS.format('(pe + sr)', 'read')} || '); ' || CASE id % 3 WHEN 0 THEN 'breaks G1, G2' WHEN 1 THEN 'no gene at the breakpoints' ELSE 'genes not looked up (no local gene table)' END || CASE WHEN id % 4 = 0 THEN '; cautions: low; far' ELSE '' END AS line FROM junctions"
+)
+
+
+def q_report_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written from orders: phrases, claims of a gene's function, and sizes that positions support or not."""
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    a, b = k * 100, k * 100 + F.floor(F.col("o_totalprice") % 5000).cast("long")
+    said = F.concat(F.lit("It spans "), F.format_number(F.when(k % 2 == 0, b - a).otherwise(b - a + 4000), 0), F.lit(" bp"), F.when(k % 3 == 0, ", and the gene has a known function").when(k % 5 == 0, ", as the Ground Truth has it").otherwise(""))
+    flags = T.unlooked_claims(said, F.when(k % 6 == 0, F.array(F.lit("gene_at_locus"))).otherwise(F.array(F.lit("depth"))), ["ground truth"])
+    return o.select("o_orderkey", F.array_join(flags, ",").alias("flags"), F.size(T.unsupported_sizes(said, F.array(a, b))).cast("long").alias("sizes"))
+
+
+SQL_FLAGGED = """WITH x AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice % 5000) AS BIGINT) AS w FROM orders), y AS (SELECT k, w, CAST(CASE WHEN k % 2 = 0 THEN w ELSE w + 4000 END AS DOUBLE) AS s FROM x)
+SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 6 = 0 THEN '' ELSE 'gene function' END WHEN k % 5 = 0 THEN 'provenance' ELSE '' END AS flags, CAST(CASE WHEN w > 0 AND abs(w - s) <= greatest(2.0, 0.02 * s) THEN 0 ELSE 1 END AS BIGINT) AS sizes FROM y"""
+
+
+def q_handles(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", F.struct(F.concat(F.lit("/data/"), "c_name").alias("path"), F.col("c_nationkey").alias("n")).alias("r"))
+    return T.without_paths(c, "r", ["path"]).select("c_custkey", "r.n", "r.path_handle")
+
+
+SQL_HANDLES = "SELECT c_custkey, c_nationkey AS n, substr(sha256('/data/' || c_name), 1, 12) AS path_handle FROM customer"
+
+
 QUERIES = {
+    "q_contig_statistics": (q_contig_statistics, SQL_CONTIGS),
+    "q_summary_rows": (q_summary_rows, SQL_ROWS),
+    "q_report_flags": (q_report_flags, SQL_FLAGGED),
+    "q_handles": (q_handles, SQL_HANDLES),
     "q_flag_statistics": (q_flag_statistics, SQL_FLAGS),
     "q_far_pairs": (q_far_pairs, SQL_FAR),
     "q_realigned": (q_realigned, SQL_REALIGNED),

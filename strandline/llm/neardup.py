@@ -373,10 +373,11 @@ class Join:
         depth = depth_of(self.classes, self.n)
         trees = max(1, math.ceil(math.log(1 - self.recall) / math.log(misses(depth, self.threshold))))
         nodes = scratch.keep(self.classes.select("sid", "sig").mapInPandas(grown(trees, depth, EXTRA), "node long, sid long"))
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # Written, as other small sides of joins at keys that may be hot: AQE splits a join only between plain exchanges.
+        sizes = scratch.keep(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         sketches = self.classes.select("sid", "sig").mapInPandas(low_bytes, "sid long, sketch binary")
         members = scratch.keep(nodes.join(sizes, "node").join(sketches, "sid"))
-        scratch.drop(nodes)
+        scratch.drop(nodes, sizes)
         scratch.free_shuffles()
         self.stars(members)
         self.across(members)
@@ -400,7 +401,9 @@ class Join:
         own = self.labelled(members)
         per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
         left = per.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
-        own = scratch.keep(own.join(left.select("node", "most", "k"), "node"))
+        left = scratch.keep(left.select("node", "most", "k"))
+        own = scratch.keep(own.join(left, "node"))
+        scratch.drop(left)
         # Blocks of members outside the largest component come first, and it has blocks of its own, unless one block holds all.
         small = F.col("n") <= SIDE
         odd = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("k")) / SIDE)).cast("int")
@@ -481,9 +484,13 @@ def judged(docs: DataFrame, threshold: float, recall: float, shingle: int) -> Da
     """doc_id, th, n_shingles, sid, label, component_id for each row; label names the component, null for an empty set."""
     join = Join(docs, threshold, recall, shingle)
     join.run()
-    named = join.labelled(join.classes.select("sid", "doc"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    classes = named.join(least, "label").select("sid", "label", "component_id")
+    keep = join.scratch.keep
+    # A class without links is its own component, so only linked ones meet at a label; a set or component may have many rows.
+    linked = join.classes.select("sid", "doc").join(join.labels, "sid")
+    least = keep(linked.groupBy("label").agg(F.min("doc").alias("least")))
+    known = keep(join.labels.join(least, "label"))
+    classes = join.classes.select("sid", "doc").join(known, "sid", "left")
+    classes = keep(classes.select("sid", F.coalesce("label", "sid").alias("label"), F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id")))
     out = join.sets.select("doc_id", "th", "n_shingles", "sid").join(classes, "sid", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 

@@ -87,7 +87,8 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def container_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``texts`` of the files of a folder, each read whole by one task, as such containers must be."""
+    """``texts`` of the files of a folder, each read whole by one task, as such containers must be. Spark gives no row for
+    an empty file."""
     return texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 

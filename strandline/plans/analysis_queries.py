@@ -11,6 +11,7 @@ from ..functions.contigs import contig_class, flipped, primary
 from ..operators import analysis as A
 from ..operators import text as T
 from ..operators import trace as R
+from ..session import spread
 from ..streaming import windows as X
 from . import views as V
 
@@ -142,7 +143,7 @@ SQL_THINNING_WHOLE = SQL_THINNING.replace(" WHERE supp < 8", "")
 
 
 def q_entropy_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return A.pair_entropy(t(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_pairs", F.round("entropy", 6).alias("entropy"))
+    return A.pair_entropy(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "n_pairs", F.round("entropy", 6).alias("entropy"))
 
 
 _CHARS = "c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0)"
@@ -169,7 +170,7 @@ TERMS = [("the", "T1"), ("of the", "T2"), ("que", "Q"), ("nicht", "N")]
 
 
 def q_redact_terms(spark: SparkSession, d: str) -> DataFrame:
-    x = t(spark, d, "documents").select("doc_id", "text", T.redacted(F.col("text"), TERMS).alias("r"))
+    x = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", T.redacted(F.col("text"), TERMS).alias("r"))
     return x.select("doc_id", (F.regexp_count("r", F.lit(r"\[T1\]"))).cast("long").alias("t1"), F.regexp_count("r", F.lit(r"\[T2\]")).cast("long").alias("t2"), F.md5(F.col("r").cast("binary")).alias("digest"))
 
 
@@ -183,7 +184,7 @@ SQL_REDACT = f"WITH r AS (SELECT doc_id, {_R} AS r FROM documents) SELECT doc_id
 
 
 def q_secret_findings(spark: SparkSession, d: str) -> DataFrame:
-    return T.findings(t(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("found").alias("first"))
+    return T.findings(spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("found").alias("first"))
 
 
 SQL_FINDINGS = " UNION ALL ".join(

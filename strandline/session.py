@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "strandline", **settings: str) -> SparkSession:
@@ -18,3 +18,9 @@ def session(name: str = "strandline", **settings: str) -> SparkSession:
     for k, v in (base | {k.replace("__", "."): v for k, v in settings.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if a small input came in fewer; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

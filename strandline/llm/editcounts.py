@@ -37,8 +37,11 @@ _MEET = regex.compile(r"(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^
 
 def cut(text: str, t: Tokenizer) -> list[str]:
     """Segments of a text, long ones cut into parts of about ``LONG`` characters."""
+    whole = t.segments(text)
+    if max(map(len, whole)) <= LONG:
+        return whole
     out = []
-    for s in t.segments(text):
+    for s in whole:
         if len(s) <= LONG:
             out.append(s)
             continue
@@ -160,15 +163,17 @@ def kept_tree(text: Column, rank_file: str, pattern: str) -> Column:
 
 
 def edited_counts(text: Column, edits: Column, rank_file: str, pattern: str, kept: Column | None = None) -> Column:
-    """Struct (n_tokens, edited_tokens, n_segments, n_encoded, chars, tokens): tokens of a text before and after its edits, its
-    segments, those that the edits encoded, and the leaves of the tree after the edits, to be kept.
+    """Struct (n_tokens, edited_tokens, n_segments, n_encoded): tokens of a text before and after its edits, its segments, and
+    those that the edits encoded; with ``kept`` also chars and tokens, the leaves of the tree after the edits, to be kept.
 
     ``edits``: array of struct (start, stop, text), each over the text as the ones before left it, in code points; parts
     outside the text are held to it, and nulls count as 0, 0 and empty. A null text is empty; null edits are none. ``kept``:
     what ``kept_tree``, or an earlier call, gave for the text; without it, or where it is null, the text is encoded once.
     """
 
-    @F.pandas_udf("n_tokens long, edited_tokens long, n_segments long, n_encoded long, chars array<int>, tokens array<int>")
+    columns = ["n_tokens", "edited_tokens", "n_segments", "n_encoded", *(["chars", "tokens"] if kept is not None else [])]
+
+    @F.pandas_udf(", ".join(f"{c} {'long' if k < 4 else 'array<int>'}" for k, c in enumerate(columns)))
     def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         t = tokenizer(rank_file, pattern)
         for texts, lists, *trees in batches:
@@ -181,9 +186,9 @@ def edited_counts(text: Column, edits: Column, rank_file: str, pattern: str, kep
                 for e in own if own is not None else ():
                     if e is not None:
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                chars, tokens = (np.array(v, dtype=np.int32) for v in tree.leaves())
-                out.append((before, tree.total, segments, tree.encoded, chars, tokens))
-            yield pd.DataFrame(out, columns=["n_tokens", "edited_tokens", "n_segments", "n_encoded", "chars", "tokens"])
+                after = [np.array(v, dtype=np.int32) for v in tree.leaves()] if trees else []
+                out.append((before, tree.total, segments, tree.encoded, *after))
+            yield pd.DataFrame(out, columns=columns)
 
     return of(text, edits) if kept is None else of(text, edits, kept)
 

@@ -134,7 +134,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``docs`` (doc_id and ``carried`` columns) with next_<column>: of the next row in descending doc_id, after the last
-    the first. Null ids come last; rows of equal id follow each other by a hash of the carried columns.
+    the first. Null ids come last; rows of equal id follow each other by a hash of the first carried
+    column.
 
     Rows are dealt to ranges of ids between quantiles over all ids, so that gaps and outliers leave ranges even; ranges hold
     about ``BUCKET`` rows, or more once there are ``RANGES`` of them. Null ids have ranges of their hashes. Each range's
@@ -146,7 +147,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     ranges = max(1, min(RANGES, -(-n // BUCKET)))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * RANGES).alias("q")).first()["q"] if n else None
     bounds = sorted({int(c) for c in cuts or []})
-    tie = F.xxhash64(*carried)
+    # Of the first column alone: the others may cost as much as a signature, and are not needed to find each range's top.
+    tie = F.xxhash64(carried[0])
     # The number of bounds at or below an id, by halving; ranges of null ids are negative, the least hash highest.
     place = _rank(F.col("doc_id"), bounds)
     rows = docs.withColumns({"tie": tie, "bucket": F.coalesce(place, -1 - F.pmod(F.shiftrightunsigned(tie, 56) + 128, F.lit(256)))})

@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .editcounts import op2_token_counts
 from .fingerprint import op6_fingerprint
+from .linededup import op13_lines
 from .mixing import op8_mixing
 from .neardup import op3_neardup
 from .quality import op1_quality
+from .runs import op12_runs
 from .secrets import op7_secrets
 from .substrings import op4_substrings
 from .telephony import op10_telephony
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_urls": op9_urls,
     "op10_telephony": op10_telephony,
+    "op12_runs": op12_runs,
+    "op13_lines": op13_lines,
 }
 
 #: Words, windows of 50 words by their hash, the least document of each, and the words that repeats cover.
@@ -35,4 +39,11 @@ SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array
  kept AS (SELECT t.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS kept FROM tok t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY 1)
  SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_substrings": SUBSTRINGS_SQL}
+#: Lines and their keys, keys of 40 characters in 5 documents, and all lines but those that go.
+LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+ k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ rep AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT doc_id, i, line, largest IS NOT NULL AND doc_id <> largest AS gone FROM k LEFT JOIN rep USING (key))
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+ORACLE_SQL: dict[str, str] = {"op4_substrings": SUBSTRINGS_SQL, "op13_lines": LINES_SQL}

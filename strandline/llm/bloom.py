@@ -52,8 +52,8 @@ def sent(shape: Shape, once: np.ndarray, more: np.ndarray) -> pd.DataFrame:
         at = shape.slice_of(h)
         order = np.argsort(at, kind="stable")
         own, first = np.unique(at[order], return_index=True)
-        for s, part in zip(own, np.split(h[order], first[1:]), strict=True):
-            rows.setdefault(int(s), [b"", b""])[k] = part.tobytes()
+        for s, a, b in zip(own, first, [*first[1:], len(h)], strict=False):
+            rows.setdefault(int(s), [b"", b""])[k] = h[order[a:b]].tobytes()
     return pd.DataFrame([(s, a, b) for s, (a, b) in rows.items()], columns=["slice", "once", "more"])
 
 

@@ -42,8 +42,10 @@ FILTER_BYTES = 32 << 20
 #: Ranks on each side of a tile, and the part of a tile's cells that a task's phrases must number for it to be dense.
 TILE = 1024
 DENSE = 8
-#: Words that a task holds before it counts.
-HELD = 4_000_000
+#: Words that a task holds before it counts them as phrases, distinct words that it holds, and rows that it sends at once.
+HELD = 1_000_000
+HELD_WORDS = 300_000
+SENT_ROWS = 100_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Lower case; piece ends as full stops, which no word holds; tabs as blanks.
 _TABLE = bytes(ord(".") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -67,7 +69,7 @@ def counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for lang, words in by_lang(rows):
             held.setdefault(lang, Counter()).update(words)
-        if sum(map(len, held.values())) >= 1_000_000:
+        if sum(map(len, held.values())) >= HELD_WORDS:
             yield from word_rows(held)
             held = {}
     yield from word_rows(held)
@@ -76,7 +78,10 @@ def counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def word_rows(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
     for lang, c in held.items():
         c.pop(b".", None)
-        yield pd.DataFrame({"lang": lang, "word": [None, *c], "n": [c.total(), *c.values()]})
+        yield pd.DataFrame({"lang": lang, "word": [None], "n": [c.total()]})
+        words, n = list(c), list(c.values())
+        for i in range(0, len(words), SENT_ROWS):
+            yield pd.DataFrame({"lang": lang, "word": words[i : i + SENT_ROWS], "n": n[i : i + SENT_ROWS]})
 
 
 @dataclass
@@ -154,9 +159,13 @@ class Counts:
             left, right = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
             if len(left):
                 a, b, n = cells(left, right, self.width)
-                yield pd.DataFrame({"lang": lang, "left": a, "right": b, "phrase": None, "n": n})
+                for i in range(0, len(n), SENT_ROWS):
+                    own = slice(i, i + SENT_ROWS)
+                    yield pd.DataFrame({"lang": lang, "left": a[own], "right": b[own], "phrase": None, "n": n[own]})
         for lang, c in self.phrases.items():
-            yield pd.DataFrame({"lang": lang, "left": None, "right": None, "phrase": list(c), "n": list(c.values())})
+            phrases, n = list(c), list(c.values())
+            for i in range(0, len(n), SENT_ROWS):
+                yield pd.DataFrame({"lang": lang, "left": None, "right": None, "phrase": phrases[i : i + SENT_ROWS], "n": n[i : i + SENT_ROWS]})
         self.ranks, self.phrases, self.n = {}, {}, 0
 
 
@@ -260,8 +269,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, head: int = HEAD, head_pa
     words = scratch.keep(words.where(F.col("word").isNull() | (F.col("n") >= least)))
     known = words.where("word is not null")
     bound = frequent_head(known, head)
-    first = pd.DataFrame([(r["lang"], bytes(r["word"]), r["n"]) for r in known.where(F.col("n") >= bound).toLocalIterator()], columns=["lang", "word", "n"])
-    first = first.sort_values(["n", "word"], ascending=[False, True])
+    first = known.where(F.col("n") >= bound).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True])
     vocabulary = {lang: list(own["word"]) for lang, own in first.groupby("lang")}
     ranks = {lang: {w: i for i, w in enumerate(own)} for lang, own in vocabulary.items()}
     shared = spark.sparkContext.broadcast(Head(ranks, rest_filter(known.where(F.col("n") < bound), word_hashes, filter_bytes)))
@@ -272,7 +280,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, head: int = HEAD, head_pa
     scratch.free_shuffles()
     bound = frequent_head(pairs, head_pairs)
     direct = (F.col("n") >= bound) & F.col("left").isNotNull()
-    top = pairs.where(direct).select("lang", "left", "right", "n").toPandas().sort_values(["n", "left", "right"], ascending=[False, True, True])
+    top = pairs.where(direct).select("lang", "left", "right", "n").toArrow().to_pandas().sort_values(["n", "left", "right"], ascending=[False, True, True])
     ranks, by_rank = {}, {}
     for lang, own in top.groupby("lang"):
         key = own["left"].to_numpy(dtype=np.int64) << 32 | own["right"].to_numpy(dtype=np.int64)

@@ -9,10 +9,11 @@
    pair of the threshold's similarity at just that depth.
 4. In each node every member is compared, by sketches, with the members of its block (the whole node, unless it has more
    than ``SIDE`` members); the most promising pair of each class is confirmed. That makes components of most groups.
-5. Nodes that still hold several components are compared exhaustively across components. A large node is cut into blocks:
-   the members outside its largest component meet all blocks, those inside it only them. A pair of blocks with few pairs
-   that pass the sketch gives these pairs; one with many is settled in place on whole sets and gives a spanning forest of
-   the links, so no more rows than members.
+5. Small nodes that still hold several components are compared exhaustively across components. Large nodes, and small ones in
+   which more pairs pass the sketch than there are members, hold texts that share a large part whether they are linked or
+   not. Their members leave the trees and are joined exactly, all of them at once, by their rarest shingles: two sets of the
+   threshold's similarity share one of the rarest fifth of the larger and of the rarest ninth of the smaller. Texts made
+   from one template share what is frequent, so that as long as they are no near copies they meet nowhere, however many.
 6. A pair must pass a sketch of ``SKETCH`` bytes (5 standard deviations of slack), then the whole sets decide.
 
 No step collects ids, links or components; the driver sees counts only.
@@ -35,10 +36,12 @@ from .common import Scratch, hash_words, mix64, slices, small_batches, table
 COORDINATES = 128
 SKETCH = 128
 EXTRA = 0.1
-#: Pairs that a block may give for each of its members; above, it is settled in place.
+#: Pairs that a small node may give for each of its members; above, they are joined by their rarest shingles.
 CROSS = 1
-#: Members of a block.
+#: Members of a block, and of a small node.
 SIDE = 256
+#: Counters of shingles by hash, which order them from rare to frequent. Any order gives the same links.
+SLOTS = 1 << 20
 #: Nodes above this size are large when the depth is measured, and SHARE is the part of the classes that may stay in them.
 NODE = 64
 SHARE = 0.01
@@ -258,16 +261,16 @@ def best_pairs(least: int, sure: int):
 
 
 def open_pairs(least: int):
-    """Pairs of a group across components that pass the sketch: (a, b), both null in the rows of a group with over ``CROSS``
-    for each member, of which there is one for each member that has any (node, lo, hi, sid)."""
+    """Pairs of a node across components that pass the sketch: (a, b). A node with over ``CROSS`` for each member gives its
+    members instead: (sid)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, group in whole_groups(batches, ["node", "lo", "hi"]):
-            node, lo, hi, sid, label, block = (rows[c].to_numpy(dtype=np.int64) for c in ("node", "lo", "hi", "sid", "label", "block"))
+        for rows, group in whole_groups(batches, ["node"]):
+            sid, label = (rows[c].to_numpy(dtype=np.int64) for c in ("sid", "label"))
             sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
             left, right = [], []
             for i, j in within(group):
-                other = (label[i] != label[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+                other = label[i] != label[j]
                 i, j = i[other], j[other]
                 keep = alike(sketch, i, j) >= least
                 left.append(i[keep])
@@ -277,49 +280,90 @@ def open_pairs(least: int):
             dense = np.bincount(group[i], minlength=n) > CROSS * np.bincount(group, minlength=n)
             few = ~dense[group[i]] if len(i) else np.zeros(0, dtype=bool)
             a, b = sid[i[few]], sid[j[few]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(node=None, lo=None, hi=None, sid=None)
-            live = np.unique(np.concatenate([i[~few], j[~few]]))
-            yield pd.DataFrame({"a": None, "b": None, "node": node[live], "lo": lo[live], "hi": hi[live], "sid": sid[live]})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(sid=None)
+            yield pd.DataFrame({"a": None, "b": None, "sid": np.unique(sid[np.concatenate([i[~few], j[~few]])])})
 
     return work
 
 
-def settled(percent: int, size: int, least: int):
-    """A spanning forest of the links of each group on whole sets: (a, b)."""
+def slots_of(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(SLOTS)).astype(np.int64)
+
+
+def slot_counts(size: int):
+    """How many sets of a task hold a shingle of each slot: (slot, n)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, group in whole_groups(batches, ["node", "lo", "hi"]):
+        count = np.zeros(SLOTS, dtype=np.int64)
+        for rows in batches:
+            for t in rows["text"]:
+                np.add.at(count, slots_of(text_shingles(t, size)), 1)
+        slot = np.flatnonzero(count)
+        yield pd.DataFrame({"slot": slot, "n": count[slot]})
+
+    return work
+
+
+def ceiling(a: int, b: int) -> int:
+    return -(-a // b)
+
+
+def rarest(shared, percent: int, size: int):
+    """The rarest shingles of each set, as far as two linked sets must share one: (token, sid, label, n, place, head). ``n`` is the
+    set's size, ``place`` the token's from rare to frequent, and ``head`` says whether the set, as the smaller of a pair, may
+    meet the other there."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = shared.value
+        for rows in batches:
             out = []
-            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(group)) + 1):
-                own = rows.iloc[at]
-                sid, label = own["sid"].to_numpy(dtype=np.int64), own["label"].to_numpy(dtype=np.int64)
-                sketch = np.frombuffer(b"".join(own["sketch"]), dtype=np.uint8).reshape(-1, SKETCH)
-                out += [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in forest([text_shingles(t, size) for t in own["text"]], label, sketch, percent, least)]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for sid, label, t in zip(rows["sid"], rows["label"], rows["text"], strict=True):
+                s = text_shingles(t, size)
+                n = len(s)
+                s = s[np.lexsort((s, frequent[slots_of(s)]))][: n - ceiling(percent * n, 100) + 1].view(np.int64)
+                place, same = np.arange(len(s)), np.ones(len(s), dtype=np.int64)
+                out.append((s, sid * same, label * same, n * same, place, place <= n - ceiling(2 * percent * n, 100 + percent)))
+            if out:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "sid", "label", "n", "place", "head"), zip(*out, strict=True), strict=True)})
 
     return work
 
 
-def forest(sets: list[np.ndarray], label: np.ndarray, sketch: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
-    """Links that join the components of ``label`` as far as whole sets do: each member is marked in turn, and the tokens of
-    all members of other components that pass the sketch are looked up in its marks."""
-    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    start = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(len(tokens), dtype=np.int32)
-    label, links = label.copy(), []
-    for i in range(len(sets) - 1):
-        mark[place[start[i] : start[i + 1]]] = 1
-        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        j = j[alike(sketch, np.full(len(j), i), j) >= least]
-        for k in j:
-            if label[k] != label[i]:
-                common = int(mark[place[start[k] : start[k + 1]]].sum())
-                if 100 * common >= percent * (size[i] + size[k] - common):
-                    links.append((i, int(k)))
-                    label[label == label[k]] = label[i]
-        mark[place[start[i] : start[i + 1]]] = 0
-    return links
+def meeting(percent: int):
+    """Pairs of a token (or of two blocks of its sets) across components that may be linked by their sizes and the token's
+    places: (a, b), each once a batch."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in whole_groups(batches, ["token", "lo", "hi"]):
+            sid, label, n, place, lo, hi, block = (rows[c].to_numpy(dtype=np.int64) for c in ("sid", "label", "n", "place", "lo", "hi", "block"))
+            head = rows["head"].to_numpy(dtype=bool)
+            found = []
+            for i, j in within(group):
+                own = (label[i] != label[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+                i, j = i[own], j[own]
+                first = (n[i] < n[j]) | ((n[i] == n[j]) & (sid[i] < sid[j]))
+                small, large = np.where(first, i, j), np.where(first, j, i)
+                common = np.minimum(n[i] - place[i], n[j] - place[j])
+                own = head[small] & (100 * n[small] >= percent * n[large]) & ((100 + percent) * common >= percent * (n[i] + n[j]))
+                found.append(np.sort(np.stack([sid[i[own]], sid[j[own]]], 1), 1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return work
+
+
+def sketched(least: int):
+    """Pairs whose sketches x and y pass: (a, b, same)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(rows[c]), dtype=np.uint8).reshape(-1, SKETCH) for c in ("x", "y"))
+            i = np.arange(len(rows))
+            same = alike(np.concatenate([x, y]), i, i + len(rows))
+            keep = same >= least
+            yield rows.loc[keep, ["a", "b"]].assign(same=same[keep])
+
+    return work
 
 
 def confirmed(percent: int, size: int):
@@ -399,38 +443,63 @@ class Join:
         """Compares what is left: pairs across the components of a node."""
         scratch = self.scratch
         own = self.labelled(members)
-        per = own.groupBy("node", "label").agg(F.count("*").alias("k"))
-        left = per.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
-        left = scratch.keep(left.select("node", "most", "k"))
+        parts = own.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        left = scratch.keep(parts.select("node"))
         own = scratch.keep(own.join(left, "node"))
         scratch.drop(left)
+        small = own.where(F.col("n") <= SIDE).select("node", "sid", "label", "sketch").repartition("node").sortWithinPartitions("node")
+        found = scratch.keep(small.mapInPandas(open_pairs(self.least()), "a long, b long, sid long"))
+        pairs = scratch.keep(found.where("a is not null").select("a", "b").distinct())
+        close = scratch.keep(own.where(F.col("n") > SIDE).select("sid").unionAll(found.where("a is null").select("sid")).distinct())
+        scratch.drop(own, found)
+        scratch.free_shuffles()
+        texts = self.texts(pairs.select("a").unionAll(pairs.select("b")).unionAll(close))
+        self.add(self.whole(pairs, texts))
+        scratch.drop(pairs)
+        self.closest(close, texts)
+        scratch.drop(close, texts)
+
+    def closest(self, close: DataFrame, texts: DataFrame) -> None:
+        """Joins classes exactly by their rarest shingles: first the most promising pair of each, then what is left."""
+        if close.isEmpty():
+            return
+        scratch, percent = self.scratch, round(100 * self.threshold)
+        own = close.join(texts, "sid")
+        counts = own.select("text").mapInPandas(slot_counts(self.shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        frequent = np.zeros(SLOTS, dtype=np.int64)
+        counts = counts.toArrow()
+        frequent[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+        shared = self.spark.sparkContext.broadcast(frequent)
+        rows = self.labelled(own).mapInPandas(rarest(shared, percent, self.shingle), "token long, sid long, label long, n long, place long, head boolean")
+        rows = scratch.keep(rows)
+        per = rows.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("head").alias("head"))
+        left = per.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"), F.count("*").alias("parts"), F.max("head").alias("head"))
+        left = scratch.keep(left.where((F.col("parts") > 1) & F.col("head")).drop("parts", "head"))
         # Blocks of members outside the largest component come first, and it has blocks of its own, unless one block holds all.
-        small = F.col("n") <= SIDE
-        odd = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("k")) / SIDE)).cast("int")
-        even = F.when(small, 0).otherwise(F.ceil(F.col("k") / SIDE)).cast("int")
-        salt = F.xxhash64("sid", "node")
-        inside = ~small & (F.col("label") == F.col("most"))
-        dealt = own.withColumns({"odd": odd, "even": even, "inside": inside}).withColumn("block", F.when(F.col("inside"), F.col("odd") + F.pmod(salt, F.col("even"))).otherwise(F.pmod(salt, F.col("odd"))).cast("int"))
+        few = F.col("all") <= SIDE
+        odd = F.when(few, 1).otherwise(F.ceil((F.col("all") - F.col("k")) / SIDE)).cast("int")
+        even = F.when(few, 0).otherwise(F.ceil(F.col("k") / SIDE)).cast("int")
+        salt = F.xxhash64("sid", "token")
+        dealt = rows.join(left, "token").withColumns({"odd": odd, "even": even, "inside": ~few & (F.col("label") == F.col("most"))})
+        dealt = dealt.withColumn("block", F.when(F.col("inside"), F.col("odd") + F.pmod(salt, F.col("even"))).otherwise(F.pmod(salt, F.col("odd"))).cast("int"))
         others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("odd")).otherwise(F.col("odd") + F.col("even")) - 1)
-        dealt = dealt.select("node", "sid", "label", "sketch", "block", F.explode(others).alias("other"))
-        dealt = dealt.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "label", "sketch", "block")
-        key = ["node", "lo", "hi"]
-        found = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(open_pairs(self.least()), "a long, b long, node long, lo int, hi int, sid long")
-        found = scratch.keep(found)
-        scratch.drop(own)
+        dealt = dealt.withColumn("other", F.explode(others)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        key = ["token", "lo", "hi"]
+        dealt = dealt.select(*key, "sid", "label", "n", "place", "head", "block").repartition(*key).sortWithinPartitions(*key)
+        met = scratch.keep(dealt.mapInPandas(meeting(percent), "a long, b long").distinct())
+        scratch.drop(rows, left)
+        sketches = self.classes.select("sid", "sig").join(close, "sid", "left_semi").mapInPandas(low_bytes, "sid long, sketch binary")
+        side = lambda v, c: sketches.select(F.col("sid").alias(v), F.col("sketch").alias(c))
+        passed = scratch.keep(met.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(sketched(self.least()), "a long, b long, same int"))
+        scratch.drop(met)
         scratch.free_shuffles()
-        pairs = found.where("a is not null").select("a", "b").distinct()
-        dense = found.where("a is null").select("node", "lo", "hi", "sid")
-        texts = self.texts(pairs.select("a").unionAll(pairs.select("b")).unionAll(dense.select("sid")))
-        links = self.whole(pairs, texts)
-        sketches = self.classes.select("sid", "sig").mapInPandas(low_bytes, "sid long, sketch binary")
-        full = self.labelled(dense.join(sketches, "sid")).join(texts, "sid")
-        full = full.select(*key, "sid", "label", "sketch", "text").repartition(*key).sortWithinPartitions(*key)
-        more = full.mapInPandas(settled(round(100 * self.threshold), self.shingle, self.least()), "a long, b long")
-        more = scratch.keep(more.distinct())
-        scratch.drop(found, texts)
-        scratch.free_shuffles()
-        self.add(links.unionAll(more))
+        either = passed.select(F.col("a").alias("v"), "a", "b", "same").unionAll(passed.select(F.col("b").alias("v"), "a", "b", "same"))
+        best = either.groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        self.add(self.whole(best, texts))
+        ends = self.labelled(passed.withColumnRenamed("a", "sid")).select(F.col("sid").alias("a"), "b", F.col("label").alias("la"))
+        ends = self.labelled(ends.withColumnRenamed("b", "sid")).where("label <> la").select("a", F.col("sid").alias("b"))
+        self.add(self.whole(ends, texts))
+        scratch.drop(passed)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component of each class, as ``label``."""
@@ -452,6 +521,8 @@ class Join:
 
     def add(self, links: DataFrame) -> None:
         """Components of the links so far and ``links``; a component is named by its least class."""
+        if self.labels is not None and links.isEmpty():
+            return
         known = links if self.labels is None else links.unionAll(self.labels.select("sid", "label"))
         self.labels = self.scratch.keep(components(known).select(F.col("node").alias("sid"), F.col("component").alias("label")))
         self.scratch.free_shuffles()

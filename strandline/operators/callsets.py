@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..graph import components
-from ..joins import band_join
+from ..joins import band_join, interval_join
 
 Steps = list[tuple[str, Column]]
 
@@ -48,6 +48,29 @@ def removed_by(steps: Steps) -> Column:
     return F.filter(F.array(*[F.when(~holds(p), F.lit(n)) for n, p in steps]), lambda x: x.isNotNull())
 
 
+def masked(calls: DataFrame, mask: DataFrame) -> DataFrame:
+    """``calls`` with masked1 and masked2: whether an end lies in a masked interval (start <= pos < end) or on a contig that is
+    masked whole, and masked: whether either does. ``mask`` as ``text_formats.mask`` gives it; ``calls`` needs a unique id.
+
+    The ends meet the mask by an interval join, so a mask may hold intervals of any length; whole contigs by equality. An end
+    without a contig or position is not masked.
+    """
+    ends = calls.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), F.col(f"chrom{k}").alias("m_chrom"), F.col(f"pos{k}").cast("long").alias("m_pos")) for k in (1, 2)])).alias("e")).select("id", "e.*")
+    spans = mask.where(~holds(F.col("is_whole"))).select(F.col("contig").alias("x_contig"), F.col("start").alias("x_start"), F.col("end").alias("x_end"))
+    whole = mask.where(holds(F.col("is_whole"))).select(F.col("contig").alias("m_chrom")).distinct()
+    inside = interval_join(ends, spans, [("m_chrom", "x_contig")], (F.col("m_pos"), F.col("m_pos") + 1), (F.col("x_start"), F.col("x_end")), 256, "left_semi", (1, None))
+    hit = inside.select("id", "turn").unionAll(ends.join(whole, "m_chrom", "left_semi").select("id", "turn"))
+    found = hit.groupBy("id").agg(F.bool_or(F.col("turn") == 1).alias("masked1"), F.bool_or(F.col("turn") == 2).alias("masked2"))
+    out = calls.drop("masked1", "masked2", "masked").join(found, "id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("masked1", "masked2")})
+    return out.withColumn("masked", F.col("masked1") | F.col("masked2"))
+
+
+def mask_step(name: str = "exclude_masked") -> tuple[str, Column]:
+    """The funnel's step on ``masked`` calls: neither end is masked."""
+    return name, ~F.col("masked")
+
+
 def first_loss(steps: Steps) -> Column:
     """The first step that a row fails; null for survivors."""
     return F.coalesce(*[F.when(~holds(p), F.lit(n)) for n, p in steps])

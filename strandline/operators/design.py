@@ -55,7 +55,7 @@ def genome_positions(offsets: DataFrame, contigs: DataFrame) -> DataFrame:
     """
     run = W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     starts = contigs.withColumn("first", F.coalesce(F.sum("length").over(run), F.lit(0))).select("contig", "first", (F.col("first") + F.col("length")).alias("stop"))
-    x = interval_join(offsets, starts.withColumn("_g", F.lit(0)), [], (F.col("offset"), F.col("offset") + 1), (F.col("first"), F.col("stop")), 1 << 26)
+    x = interval_join(offsets, starts.withColumn("_g", F.lit(0)), [], (F.col("offset"), F.col("offset") + 1), (F.col("first"), F.col("stop")), 1 << 26, longest=(1, None))
     return x.withColumn("pos", F.col("offset") - F.col("first")).drop("first", "stop", "_g")
 
 

@@ -11,7 +11,7 @@ from ..joins import interval_join, nearest
 def at(points: DataFrame, genes: DataFrame, margin: int = 0) -> DataFrame:
     """Points (point, contig, pos; 1-based) with the genes that hold them, protein-coding first, then by start."""
     g = genes.withColumnRenamed("chrom", "g_chrom")
-    x = interval_join(points, g, [("contig", "g_chrom")], (F.col("pos") - margin, F.col("pos") + margin + 1), (F.col("start"), F.col("end") + 1), 1_000_000)
+    x = interval_join(points, g, [("contig", "g_chrom")], (F.col("pos") - margin, F.col("pos") + margin + 1), (F.col("start"), F.col("end") + 1), 4096, longest=(2 * margin + 1, None))
     return x.withColumn("where", where(F.col("pos"), F.col("exons"), F.col("strand")))
 
 
@@ -46,7 +46,7 @@ def marks(named: DataFrame, mim: DataFrame, disorders: DataFrame, most: int = 12
 def segment_counts(segments: DataFrame, genes: DataFrame, disorders: DataFrame, most: int = 200) -> DataFrame:
     """(segment, total, coding, with_disorder, names): genes in [start, end] of segments (segment, contig, s_start, s_end)."""
     g = genes.withColumnRenamed("chrom", "g_chrom").join(disorders.select(F.col("symbol").alias("name"), F.lit(True).alias("marked")), "name", "left")
-    x = interval_join(segments, g, [("contig", "g_chrom")], (F.col("s_start"), F.col("s_end") + 1), (F.col("start"), F.col("end") + 1), 1_000_000)
+    x = interval_join(segments, g, [("contig", "g_chrom")], (F.col("s_start"), F.col("s_end") + 1), (F.col("start"), F.col("end") + 1), 4096, longest=(None, None))
     coding = F.col("type") == "protein_coding"
     names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((~coding).alias("x"), "start", "name"))), 1, most), lambda s: s["name"])
     return x.groupBy("segment").agg(F.count("*").alias("total"), F.count_if(coding).alias("coding"), F.count_if("marked").alias("with_disorder"), names.alias("names"))
@@ -55,7 +55,7 @@ def segment_counts(segments: DataFrame, genes: DataFrame, disorders: DataFrame,
 def band(points: DataFrame, bands: DataFrame) -> DataFrame:
     """Points with the band that holds them: start0 < pos <= end."""
     b = bands.withColumnRenamed("contig", "b_contig")
-    return interval_join(points, b, [("contig", "b_contig")], (F.col("pos") - 1, F.col("pos")), (F.col("start0"), F.col("end")), 5_000_000)
+    return interval_join(points, b, [("contig", "b_contig")], (F.col("pos") - 1, F.col("pos")), (F.col("start0"), F.col("end")), 65_536, longest=(1, None))
 
 
 def canonical(transcripts: DataFrame) -> DataFrame:

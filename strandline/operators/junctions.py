@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignments as A
 from ..functions.contigs import plain, primary
-from ..joins import interval_join
+from ..joins import ANY_LENGTH, interval_join
 
 
 def in_scope(reads: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int
     """
     ops = A.operations(F.col("cigar"))
     own = in_scope(reads).withColumns({"sa": A.segments(F.element_at("tags", F.lit("SA"))), "clip": A.clips(ops, "SH"), "rev": A.has(F.col("flag"), A.REVERSE), "mrev": A.has(F.col("flag"), A.MATE_REVERSE)})
-    x = interval_join(own, ends(junctions), [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256))
+    x = interval_join(own, ends(junctions), [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256), longest=(ANY_LENGTH, 2 * window))
     near = lambda pos, at: F.abs(pos - at) <= window
     there = lambda chrom: plain(chrom) == plain(F.col("p_c"))
     length = lambda s: A.reference_length(A.operations(s["cigar"]))

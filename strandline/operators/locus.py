@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..joins import interval_join
+from ..joins import ANY_LENGTH, interval_join
 
 
 def reads_at(reads: DataFrame, loci: DataFrame, contig: tuple[str, str], half: int, width: int | None = None) -> DataFrame:
     """Reads [pos0, end0) that overlap [centre - half, centre + half) on the locus' contig, a row for each pair."""
-    return interval_join(reads, loci, [contig], (F.col("pos0"), F.col("end0")), (F.col("centre") - half, F.col("centre") + half), width or max(2 * half, 64))
+    return interval_join(reads, loci, [contig], (F.col("pos0"), F.col("end0")), (F.col("centre") - half, F.col("centre") + half), width or max(2 * half, 64), longest=(ANY_LENGTH, 2 * half))
 
 
 def fraction(part: Column, total: Column, below: Column) -> Column:
@@ -73,7 +73,7 @@ def depth_bins(reads: DataFrame, loci: DataFrame, contig: tuple[str, str], half:
     """
     n = -(-2 * half // width)
     bins = loci.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"bin_start": (F.col("centre") - half + F.col("bin") * width).cast("long"), "bin_end": F.least(F.col("centre") - half + (F.col("bin") + 1) * width, F.col("centre") + half).cast("long")})
-    pairs = interval_join(reads, bins, [contig], (F.col("pos0"), F.col("end0")), (F.col("bin_start"), F.col("bin_end")), max(width, 64))
+    pairs = interval_join(reads, bins, [contig], (F.col("pos0"), F.col("end0")), (F.col("bin_start"), F.col("bin_end")), max(width, 256), longest=(ANY_LENGTH, width))
     inside = F.least("end0", "bin_end") - F.greatest("pos0", "bin_start")
     got = pairs.groupBy("locus", "bin").agg(F.sum(inside).cast("long").alias("covered"))
     return bins.join(got, ["locus", "bin"], "left").select("locus", "centre", F.col("bin").cast("long").alias("bin"), "bin_start", "bin_end", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import alignments as A
 from ..functions.contigs import contig_class, primary, resolve
-from ..joins import interval_join
+from ..joins import ANY_LENGTH, interval_join
 from . import locus as L
 
 
@@ -34,7 +34,7 @@ def prepared(reads: DataFrame) -> DataFrame:
 
 
 def at(reads: DataFrame, loci: DataFrame, half: int) -> DataFrame:
-    return interval_join(reads, loci, [("contig", "l_contig")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("centre") - half), F.col("centre") + half), max(2 * half, 256))
+    return interval_join(reads, loci, [("contig", "l_contig")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("centre") - half), F.col("centre") + half), max(2 * half, 256), longest=(ANY_LENGTH, 2 * half))
 
 
 def statistics(reads: DataFrame, loci: DataFrame, half: int, low: int = 20) -> DataFrame:
@@ -194,7 +194,7 @@ def non_duplicate_depth(reads: DataFrame, sites: DataFrame) -> DataFrame:
     an aligned base, from records with blk (``prepared``)."""
     own = reads.where(F.col("is_primary") & A.lacks(F.col("flag"), A.DUPLICATE | A.QC_FAIL)).select("contig", "pos0", "end0", "blk")
     wanted = sites.select(F.col("contig").alias("s_contig"), F.col("pos0").alias("site")).distinct()
-    x = interval_join(own, wanted, [("contig", "s_contig")], (F.col("pos0"), F.col("end0")), (F.col("site"), F.col("site") + 1), 1024)
+    x = interval_join(own, wanted, [("contig", "s_contig")], (F.col("pos0"), F.col("end0")), (F.col("site"), F.col("site") + 1), 1024, longest=(ANY_LENGTH, 1))
     n = x.where(F.exists("blk", lambda b: (b["s"] <= F.col("site")) & (F.col("site") < b["e"]))).groupBy(F.col("s_contig").alias("contig"), F.col("site").alias("pos0")).agg(F.count("*").alias("depth"))
     return sites.join(n, ["contig", "pos0"], "left").na.fill(0, ["depth"])
 
@@ -290,7 +290,7 @@ def pileup(reads: DataFrame, sites: DataFrame, mapq: int = 20, baseq: int = 13)
         lambda s: s["out"],
     )
     own = reads.where(A.lacks(F.col("flag"), A.NOT_JUNCTION | A.SUPPLEMENTARY) & (F.col("mapq") >= mapq)).select("contig", "pos0", "end0", "seq", "qual", steps.alias("runs"))
-    x = interval_join(own, sites.select(F.col("contig").alias("s_contig"), F.col("pos0").alias("site")), [("contig", "s_contig")], (F.col("pos0"), F.col("end0")), (F.col("site"), F.col("site") + 1), 1024)
+    x = interval_join(own, sites.select(F.col("contig").alias("s_contig"), F.col("pos0").alias("site")), [("contig", "s_contig")], (F.col("pos0"), F.col("end0")), (F.col("site"), F.col("site") + 1), 1024, longest=(ANY_LENGTH, 1))
     run = F.get(F.filter("runs", lambda r: (r["s"] <= F.col("site")) & (F.col("site") < r["e"])), F.lit(0))
     x = x.withColumn("run", run).where("run is not null").withColumn("k", (F.col("run.q") + F.col("site") - F.col("run.s") + 1).cast("int"))
     x = x.withColumns({"base": F.substring(F.col("seq"), F.col("k"), F.lit(1)), "bq": F.ascii(F.substring(F.col("qual"), F.col("k"), F.lit(1))) - 33})

@@ -40,6 +40,30 @@ SQL_FUNNEL = V.with_(V.JUNCTIONS) + " UNION ALL ".join(
 )
 
 
+def exclude_template(spark: SparkSession, d: str) -> DataFrame:
+    """A mask in the form of ``text_formats.mask``: intervals from 3 to 25,000 long on six contigs, and two whole contigs."""
+    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "F", "O")])
+    g, size = F.col("gene"), F.col("g_size")
+    contig = F.when(g == 1, "5-LOW").when(g == 2, "P").otherwise(F.get(names, (g % 6).cast("int")))
+    return V.intervals(spark, d).select(contig.alias("contig"), (g * 700).alias("start"), (g * 700 + F.floor(size * size * size / 5) + 3).alias("end"), (g <= 2).alias("is_whole"))
+
+
+def q_mask_both_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The funnel whose last step is the mask, at either end, over intervals and whole contigs."""
+    calls = C.masked(V.junctions(spark, d), exclude_template(spark, d))
+    return C.funnel(calls, [*steps()[:2], C.mask_step()])
+
+
+_TEMPLATE = """template AS (SELECT CASE gene WHEN 1 THEN '5-LOW' WHEN 2 THEN 'P' ELSE ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', 'F', 'O'][gene % 6 + 1] END AS contig, gene * 700 AS s, gene * 700 + g_size * g_size * g_size // 5 + 3 AS e, gene <= 2 AS whole FROM intervals)"""
+_FREE = "NOT EXISTS (SELECT 1 FROM template WHERE (contig = chrom1 AND (whole OR (s <= pos1 AND pos1 < e))) OR (contig = chrom2 AND (whole OR (s <= pos2 AND pos2 < e))))"
+_M = [*_P[:2], "free"]
+SQL_MASK_BOTH = V.with_(V.JUNCTIONS, V.INTERVALS, _TEMPLATE, f"own AS (SELECT *, {_FREE} AS free FROM junctions)") + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS ord, '{n}' AS step, count(*) FILTER ({' AND '.join(_M[: i + 1])}) AS survivors, count(*) FILTER (NOT ({_M[i]})) AS removed_alone, "
+    f"count(*) FILTER ({' AND '.join([*_M[:i], f'NOT ({_M[i]})'])}) AS removed_here FROM own"
+    for i, n in enumerate(["PASS", "PE", "exclude_masked"])
+)
+
+
 def q_page_candidates(spark: SparkSession, d: str) -> DataFrame:
     p = C.page(V.junctions(spark, d), [F.col("id")], 20, 50, F.col("pass") & (F.coalesce("pe", F.lit(0)) >= NEED_PE))
     return p.select("id", "chrom1", "pos1", "pe", "total_in_set", "total_matching", "truncated")
@@ -268,6 +292,7 @@ SQL_CAUTIONS = (
 
 QUERIES = {
     "q_filter_funnel": (q_filter_funnel, SQL_FUNNEL),
+    "q_mask_both_ends": (q_mask_both_ends, SQL_MASK_BOTH),
     "q_page_candidates": (q_page_candidates, SQL_PAGE),
     "q_band_match_all_pairs": (q_band_match_all_pairs, SQL_PAIRS),
     "q_recurrent_vs_unique": (q_recurrent_vs_unique, SQL_RECURRENT),

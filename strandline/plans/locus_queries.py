@@ -203,7 +203,7 @@ def q_mask_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """Reads whose start lies in no interval of a size above 40 (the mask), counted by contig."""
     mask = V.intervals(spark, d).where("g_size > 40")
     r = V.reads(spark, d).select("rid", "contig", "pos0")
-    kept = interval_join(r, mask.withColumn("one", F.lit(1)), [], (F.col("pos0"), F.col("pos0") + 1), (F.col("g_start"), F.col("g_end")), 256, "left_anti")
+    kept = interval_join(r, mask.withColumn("one", F.lit(1)), [], (F.col("pos0"), F.col("pos0") + 1), (F.col("g_start"), F.col("g_end")), 256, "left_anti", (1, None))
     return kept.groupBy("contig").agg(F.count("*").alias("n"), F.sum("pos0").cast("long").alias("checksum"))
 
 
@@ -212,7 +212,7 @@ SQL_MASK = V.with_(V.READS, V.INTERVALS) + "SELECT contig, count(*) AS n, CAST(s
 
 def q_interval_stab(spark: SparkSession, d: str) -> DataFrame:
     lo = V.loci(spark, d)
-    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre"), F.col("centre") + 1), (F.col("g_start"), F.col("g_end") + 1), 256)
+    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre"), F.col("centre") + 1), (F.col("g_start"), F.col("g_end") + 1), 256, longest=(1, None))
     return x.select("locus", "gene", (F.col("centre") - F.col("g_start")).alias("offset"))
 
 
@@ -221,7 +221,7 @@ SQL_STAB = V.with_(V.LOCI, V.INTERVALS) + "SELECT locus, gene, centre - g_start
 
 def q_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     lo = V.loci(spark, d)
-    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre") - 200, F.col("centre") + 200), (F.col("g_start"), F.col("g_end")), 512)
+    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre") - 200, F.col("centre") + 200), (F.col("g_start"), F.col("g_end")), 512, longest=(600, None))
     return x.groupBy("locus").agg(F.count("*").alias("genes"), F.sum("g_size").cast("long").alias("bases"), F.min("gene").alias("first"))
 
 
@@ -258,7 +258,7 @@ def q_band_of_position(spark: SparkSession, d: str) -> DataFrame:
     """Band of a position: start < position <= end; the bands are the parts' gaps of width 10 in their order."""
     bands = V.intervals(spark, d).select(F.col("g_start").alias("s"), (F.col("g_start") + 10).alias("e"), F.concat(F.lit("q"), F.col("gene").cast("string")).alias("band"), F.substring("g_type", 1, 5).alias("stain"))
     lo = V.loci(spark, d)
-    x = interval_join(lo, bands, [], (F.col("centre") - 1, F.col("centre")), (F.col("s"), F.col("e")), 256)
+    x = interval_join(lo, bands, [], (F.col("centre") - 1, F.col("centre")), (F.col("s"), F.col("e")), 256, longest=(1, None))
     return x.select("locus", "band", "stain")
 
 
@@ -276,7 +276,7 @@ SQL_CANONICAL = "SELECT p_brand, CAST(first(p_partkey ORDER BY p_size DESC, p_re
 
 def q_segment_counts(spark: SparkSession, d: str) -> DataFrame:
     lo = V.loci(spark, d)
-    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre") - 300, F.col("centre") + 300), (F.col("g_start"), F.col("g_end")), 512)
+    x = interval_join(lo, V.intervals(spark, d), [], (F.col("centre") - 300, F.col("centre") + 300), (F.col("g_start"), F.col("g_end")), 512, longest=(600, None))
     coding = F.col("g_type").startswith("PROMO")
     first = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((~coding).alias("x"), "g_start", "gene"))), 1, 5), lambda s: s["gene"].cast("string")), ",")
     return x.groupBy("locus").agg(F.count("*").alias("total"), F.count_if(coding).alias("coding"), F.count_if(F.col("g_size") > 25).alias("large"), first.alias("first_five"))

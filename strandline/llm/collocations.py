@@ -258,6 +258,12 @@ def rest_filter(rest: DataFrame, hashes, filter_bytes: int) -> bloom.Filter | No
     return bloom.gathered(shape, sent.groupBy("slice").applyInPandas(bloom.twice_seen(shape), "slice long, bits binary"))
 
 
+def summed(counted: DataFrame, least: int) -> DataFrame:
+    """Sums over tasks. Tasks have summed their own, so rows are dealt out before Spark aggregates, not after."""
+    key = ["lang", "left", "right", "phrase"]
+    return counted.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, head: int = HEAD, head_pairs: int = HEAD_PAIRS, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables of frequent words (lang, word, n; a null word has the number of all words of a language), pairs (lang, w1,
     w2, n) and triples (lang, w1, w2, w3, n); words are binary. ``docs``: text and lang; other columns are left out."""
@@ -275,7 +281,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, head: int = HEAD, head_pa
     shared = spark.sparkContext.broadcast(Head(ranks, rest_filter(known.where(F.col("n") < bound), word_hashes, filter_bytes)))
     spelled = spark.sparkContext.broadcast(vocabulary)
 
-    found = rows.mapInPandas(counted_pairs(shared), COUNTED).groupBy("lang", "left", "right", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = summed(rows.mapInPandas(counted_pairs(shared), COUNTED), least)
     pairs = scratch.keep(found.mapInPandas(pair_words(spelled), "lang string, left long, right long, w1 binary, w2 binary, n long"))
     scratch.free_shuffles()
     bound = frequent_head(pairs, head_pairs)
@@ -288,7 +294,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, head: int = HEAD, head_pa
         ranks[lang], by_rank[lang] = (key[order], order.astype(np.int64)), key
     shared_pairs = spark.sparkContext.broadcast(Head(ranks, rest_filter(pairs.where(~direct), pair_hashes, filter_bytes)))
     spelled_pairs = spark.sparkContext.broadcast(by_rank)
-    found = rows.mapInPandas(counted_triples(shared, shared_pairs), COUNTED).groupBy("lang", "left", "right", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = summed(rows.mapInPandas(counted_triples(shared, shared_pairs), COUNTED), least)
     triples = scratch.keep(found.mapInPandas(triple_words(spelled, spelled_pairs), "lang string, w1 binary, w2 binary, w3 binary, n long"))
     scratch.free_shuffles()
     return words, pairs.select("lang", "w1", "w2", "n"), triples

@@ -198,15 +198,37 @@ def q_background_reads(spark: SparkSession, d: str) -> DataFrame:
 SQL_BACKGROUND = V.with_(RECORDS) + "SELECT contig, count(*) AS n, CAST(sum(pos0) AS BIGINT) AS positions FROM r WHERE NOT supp AND NOT dup AND mapq >= 20 GROUP BY 1"
 
 
+#: Values that look like JSON inside: colons, quotes, braces, brackets and backslashes.
+_AWKWARD = [":b", 'say "9": {', "[1, 2]", "a\\b", "}{", ""]
+
+
 def q_json_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Strings and numbers at any depth of a JSON made of an order."""
+    """Strings and numbers at any depth of a JSON made of an order, among values with colons, quotes and braces."""
     o = t(spark, d, "orders")
-    body = F.to_json(F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("s1"), F.array(F.struct(F.floor("o_totalprice").cast("long").alias("p2"), F.lit('say "9"').alias("t")), F.struct(F.col("o_orderkey").alias("p2"), F.lit("x").alias("t"))).alias("list")).alias("in3"), F.lit(True).alias("flag")))
+    odd = F.get(F.array(*[F.lit(x) for x in _AWKWARD]), (F.col("o_orderkey") % len(_AWKWARD)).cast("int"))
+    body = F.to_json(F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("s1"), F.array(F.struct(F.floor("o_totalprice").cast("long").alias("p2"), odd.alias("t")), F.struct(F.col("o_orderkey").alias("p2"), F.lit("x").alias("t"))).alias("list")).alias("in3"), F.lit(True).alias("flag")))
     x = o.select("o_orderkey", values.json_strings(body).alias("s"), values.json_numbers(body).alias("n"))
     return x.select("o_orderkey", F.array_join("s", "|").alias("strings"), F.size("n").cast("long").alias("n"), F.aggregate("n", F.lit(0.0), lambda a, b: a + b).cast("long").alias("total"))
 
 
-SQL_WALK = """SELECT o_orderkey, o_orderstatus || '|say "9"|x' AS strings, CAST(CASE WHEN floor(o_totalprice) = o_orderkey THEN 1 ELSE 2 END AS BIGINT) AS n, CAST(CASE WHEN floor(o_totalprice) = o_orderkey THEN o_orderkey ELSE o_orderkey + floor(o_totalprice) END AS BIGINT) AS total FROM orders"""
+_ODD_SQL = "[" + ", ".join("'" + x + "'" for x in _AWKWARD) + f"][o_orderkey % {len(_AWKWARD)} + 1]"
+SQL_WALK = f"""SELECT o_orderkey, o_orderstatus || '|' || {_ODD_SQL} || '|x' AS strings, CAST(CASE WHEN floor(o_totalprice) = o_orderkey THEN 1 ELSE 2 END AS BIGINT) AS n, CAST(CASE WHEN floor(o_totalprice) = o_orderkey THEN o_orderkey ELSE o_orderkey + floor(o_totalprice) END AS BIGINT) AS total FROM orders"""
+
+
+def q_json_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaf of the JSON of an order and its lines, with its path, by walking variants."""
+    o = t(spark, d, "orders")
+    odd = F.get(F.array(*[F.lit(x) for x in _AWKWARD]), (F.col("o_orderkey") % len(_AWKWARD)).cast("int"))
+    li = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("line"), F.struct(F.col("l_returnflag").alias("flag"), F.col("l_partkey").cast("long").alias("part")).alias("of")))).alias("lines"))
+    body = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), odd.alias("note"), F.struct((F.col("o_custkey") % 2 == 0).alias("even"), "lines").alias("inner")))
+    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", body.alias("j"))
+    return values.json_leaves(rows, "j").select("o_orderkey", "path", "name", "kind", "value")
+
+
+SQL_LEAVES = f"""WITH li AS (SELECT l_orderkey, list({{'line': CAST(l_linenumber AS BIGINT), 'of': {{'flag': l_returnflag, 'part': CAST(l_partkey AS BIGINT)}}}} ORDER BY l_linenumber, l_returnflag, l_partkey) AS lines FROM lineitem GROUP BY 1),
+ j AS (SELECT o_orderkey, CAST(to_json({{'status': o_orderstatus, 'note': {_ODD_SQL}, 'inner': {{'even': o_custkey % 2 = 0, 'lines': lines}}}}) AS JSON) AS j FROM orders JOIN li ON l_orderkey = o_orderkey)
+SELECT o_orderkey, w.fullkey AS path, CASE WHEN w.key ~ '^[0-9]+$' THEN 'lines' ELSE w.key END AS name, CASE w.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, w.atom ->> '$' AS value
+ FROM j, json_tree(j.j) w WHERE w.type NOT IN ('OBJECT', 'ARRAY')"""
 
 
 def q_shrunk(spark: SparkSession, d: str) -> DataFrame:
@@ -395,6 +417,7 @@ QUERIES = {
     "q_visible_rows": (q_visible_rows, SQL_VISIBLE),
     "q_background_reads": (q_background_reads, SQL_BACKGROUND),
     "q_json_walk": (q_json_walk, SQL_WALK),
+    "q_json_leaves": (q_json_leaves, SQL_LEAVES),
     "q_shrunk": (q_shrunk, SQL_SHRUNK),
     "q_number_source": (q_number_source, SQL_SOURCE),
     "q_tiles": (q_tiles, SQL_TILES),

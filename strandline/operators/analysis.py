@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def histogram(df: DataFrame, group: list[str], value: Column, width: int) -> DataFrame:
     """(group, bucket, n): counts by ``floor(value / width)``."""
@@ -12,25 +14,20 @@ def histogram(df: DataFrame, group: list[str], value: Column, width: int) -> Dat
 
 
 def spread(df: DataFrame, group: str, value: str, cap: float) -> DataFrame:
-    """n, mean, population deviation, median, median absolute deviation and share above a cap, by group."""
-    one = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.median(value).alias("median"), (F.count_if(F.col(value) > cap) / F.count("*")).alias("above"))
-    two = df.join(one.select(group, "median"), group).groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return one.join(two, group)
+    """n, mean, population deviation, median, median absolute deviation and share above a cap, by group. Medians are exact and
+    found by ``selection.at_ranks``, so a group with a large part of all rows is never gathered."""
+    x = df.select(group, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    one = x.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), (F.count_if(F.col(value) > cap) / F.count("*")).alias("above"))
+    middle = selection.medians(x, group, value)
+    off = x.join(middle, group).select(group, F.abs(F.col(value) - F.col("median")).alias(value))
+    return one.join(middle, group).join(selection.medians(off, group, value).withColumnRenamed("median", "mad"), group).select(group, "n", "mean", "sd", "median", "above", "mad")
 
 
 def index_quantiles(df: DataFrame, group: str, value: str, at: list[float]) -> DataFrame:
-    """(group, q, value) with the value at index int(q * (n - 1)) of the sorted values: lower, never interpolated.
-
-    Counts of distinct values stand for the sorted list, so no group is gathered; ranks are running sums of the counts.
-    """
-    from pyspark.sql import Window as W
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    run = W.partitionBy(group).orderBy(value)
-    ranked = counts.withColumns({"hi": F.sum("c").over(run), "n": F.sum("c").over(W.partitionBy(group))})
-    wanted = ranked.select(group, value, "hi", F.col("hi").alias("top"), (F.col("hi") - F.col("c")).alias("lo"), "n", F.explode(F.array(*[F.lit(q) for q in at])).alias("q"))
-    index = F.floor(F.col("q") * (F.col("n") - 1))
-    return wanted.where((F.col("lo") <= index) & (index < F.col("top"))).select(group, "q", F.col(value).alias("value"))
+    """(group, q, value) with the value at index int(q * (n - 1)) of the sorted values: lower, never interpolated."""
+    found = selection.at_ranks(df, group, value, [F.floor(F.lit(q) * (F.col("n") - 1)) for q in at])
+    names = F.array(*[F.lit(float(q)) for q in at])
+    return found.select(group, F.get(names, F.col("turn")).alias("q"), "value")
 
 
 def vote(df: DataFrame, key: list[str], choice: str) -> DataFrame:
@@ -108,18 +105,22 @@ def pair_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def even_thinning(df: DataFrame, group: str, order: list[Column], priority: Column, cap: int) -> DataFrame:
-    """At most ``cap`` rows of each group: all priority rows first, the rest evenly spread over the order; with n_before."""
-    from pyspark.sql import Window as W
+    """At most ``cap`` rows of each group: all priority rows first, the rest evenly spread over the order; with n_before.
 
-    all_ = W.partitionBy(group)
-    x = df.withColumns({"__p": priority, "n_before": F.count("*").over(all_)})
-    x = x.withColumns({"__i": F.row_number().over(W.partitionBy(group, "__p").orderBy(*order)) - 1, "__n": F.count("*").over(W.partitionBy(group, "__p"))})
-    room = F.greatest(F.lit(0), F.lit(cap) - F.sum(F.when(F.col("__p"), 1).otherwise(0)).over(all_))
+    Places in the order come from ``selection.ranked``, in cells of even size whatever the groups' sizes. Rows that tie in
+    the whole order are in one cell. A null priority counts as false.
+    """
+    x = df.withColumn("__p", F.coalesce(priority, F.lit(False)))
+    x = selection.ranked(x, [group, "__p"], order)
+    sizes = x.groupBy(group, "__p").agg(F.count("*").alias("k")).groupBy(group).agg(F.sum("k").alias("n_before"), F.coalesce(F.sum(F.when(F.col("__p"), F.col("k"))), F.lit(0)).alias("__first"))
+    x = x.join(sizes.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    rest = F.col("n_before") - F.col("__first")
+    room = F.greatest(F.lit(0), F.lit(cap) - F.col("__first"))
     # The i-th of n is kept if it is the first of its share: floor(i * room / n) moves past floor((i - 1) * room / n).
-    slot = lambda i: F.floor(i * room / F.col("__n"))
-    spread_ = (room > 0) & ((F.col("__n") <= room) | (slot(F.col("__i")) > F.coalesce(F.when(F.col("__i") > 0, slot(F.col("__i") - 1)), F.lit(-1))))
-    keep = F.when(F.col("__p"), F.col("__i") < cap).otherwise(spread_)
-    return x.withColumn("__k", keep).where("__k").drop("__p", "__i", "__n", "__k")
+    slot = lambda i: F.floor(i * room / rest)
+    spread_ = (room > 0) & ((rest <= room) | (F.col("rank") == 0) | (slot(F.col("rank")) > slot(F.col("rank") - 1)))
+    keep = F.when(F.col("__p"), F.col("rank") < cap).otherwise(spread_)
+    return x.where(keep).drop("__p", "rank", "__first")
 
 
 def spanning(reads: DataFrame, at: Column) -> DataFrame:

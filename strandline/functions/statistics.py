@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
@@ -47,6 +47,63 @@ def local_alignment(x: str, y: str, match: int = 2, mismatch: int = -3, opening:
     return best
 
 
+class SuffixAutomaton:
+    """All substrings of a text in a number of states that its length bounds twice over."""
+
+    def __init__(self, text: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, last = [-1], [0], 0
+        for ch in text:
+            new = self._state(self.length[last] + 1, {}, 0)
+            at = last
+            while at != -1 and ch not in self.next[at]:
+                self.next[at][ch] = new
+                at = self.link[at]
+            if at != -1:
+                old = self.next[at][ch]
+                if self.length[old] == self.length[at] + 1:
+                    self.link[new] = old
+                else:
+                    # A state that stands for longer texts too is split: its shorter ones get a state of their own.
+                    short = self._state(self.length[at] + 1, dict(self.next[old]), self.link[old])
+                    while at != -1 and self.next[at].get(ch) == old:
+                        self.next[at][ch] = short
+                        at = self.link[at]
+                    self.link[old] = self.link[new] = short
+            last = new
+
+    def _state(self, length: int, onward: dict[str, int], link: int) -> int:
+        self.next.append(onward)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.length) - 1
+
+    def longest_in(self, other: str) -> tuple[int, int]:
+        """(length, end) of the first of the longest substrings of ``other`` that are in the text."""
+        at = n = best = end = 0
+        for i, ch in enumerate(other):
+            while at and ch not in self.next[at]:
+                at = self.link[at]
+                n = self.length[at]
+            if ch in self.next[at]:
+                at, n = self.next[at][ch], n + 1
+            if n > best:
+                best, end = n, i + 1
+        return best, end
+
+
+def common_substring(x: str, y: str) -> str:
+    """The longest text that stands in both; of several the one that ends first in y."""
+    n, end = SuffixAutomaton(x).longest_in(y)
+    return y[end - n : end]
+
+
+@F.pandas_udf(StringType())
+def longest_common(x: pd.Series, y: pd.Series) -> pd.Series:
+    """A null text counts as empty."""
+    return pd.Series([common_substring(a or "", b or "") for a, b in zip(x, y, strict=True)], dtype=object)
+
+
 @F.pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype=float)
@@ -70,5 +127,5 @@ def py_round(x: pd.Series, digits: pd.Series) -> pd.Series:
 
 def register(spark: SparkSession) -> None:
     """Names for SQL users."""
-    for name, f in (("fisher_exact", fisher), ("binomial_cdf", binomial), ("smith_waterman", smith_waterman), ("py_round", py_round)):
+    for name, f in (("fisher_exact", fisher), ("binomial_cdf", binomial), ("smith_waterman", smith_waterman), ("longest_common", longest_common), ("py_round", py_round)):
         spark.udf.register(name, f)

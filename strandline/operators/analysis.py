@@ -73,6 +73,33 @@ def subset_sums(classes: DataFrame, name: str, parts: list[str], goals: list[int
     return sums
 
 
+def subset_matches(classes: DataFrame, name: str, parts: list[str], goals: list[int], most: int = 48) -> DataFrame:
+    """(subset, sums of ``parts``) of every subset of classes, the empty one too, whose sums equal ``goals``.
+
+    Met in the middle: the classes are cut into two halves, whose subsets have their sums each, and the halves join where these
+    add up. So k classes take two tables of 2 ** (k / 2) rows and an equi-join. More than ``most`` rows raise ValueError.
+    Null parts count as 0.
+    """
+    spark = classes.sparkSession
+    rows = classes.select(F.col(name).cast("string").alias("name"), *[F.coalesce(F.col(p).cast("long"), F.lit(0)).alias(p) for p in parts]).orderBy("name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} classes")
+
+    def half(own: list, tag: str) -> DataFrame:
+        bit = lambda i: F.getbit(F.col("id"), F.lit(i))
+        total = lambda p: sum((F.when(bit(i) == 1, r[p]).otherwise(0) for i, r in enumerate(own)), F.lit(0)).cast("long")
+        names = F.array(*[F.when(bit(i) == 1, r["name"]) for i, r in enumerate(own)]).cast("array<string>")
+        return spark.range(1 << len(own)).select(F.array_compact(names).alias(f"names{tag}"), *[total(p).alias(f"{p}{tag}") for p in parts])
+
+    middle = len(rows) // 2
+    a, b = half(rows[:middle], "_a"), half(rows[middle:], "_b")
+    on = F.lit(True)
+    for p, g in zip(parts, goals, strict=True):
+        on = on & (F.col(f"{p}_b") == F.lit(g) - F.col(f"{p}_a"))
+    both = a.join(b, on)
+    return both.select(F.array_join(F.concat("names_a", "names_b"), "+").alias("subset"), *[(F.col(f"{p}_a") + F.col(f"{p}_b")).alias(p) for p in parts])
+
+
 def longest_run(s: Column) -> Column:
     """Length of the longest run of one character; 0 for empty and null texts."""
     runs = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"(?s)((.)\2*)"), F.lit(1))

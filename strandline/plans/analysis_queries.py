@@ -9,6 +9,7 @@ from ..functions import statistics as S
 from ..functions.alignments import blocks, breakend, clips, operations, overlap, reference_length, requantised, reverse_complement, segments
 from ..functions.contigs import contig_class, flipped, primary
 from ..operators import analysis as A
+from ..operators import terms as M
 from ..operators import text as T
 from ..operators import trace as R
 from ..session import spread
@@ -120,6 +121,47 @@ SQL_SUBSETS = V.with_(V.READS, "g AS (SELECT contig || mate_contig || strand AS
 )
 
 
+def q_subset_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Which of 36 classes (supplier and month, modulo 6) add up to the totals of the first and the third, counted and summed."""
+    r = V.reads(spark, d)
+    g = r.groupBy(F.concat(F.lit("c"), F.lpad((F.col("supp") % 6 * 6 + F.col("qname") % 6).cast("string"), 2, "0")).alias("c")).agg(F.count("*").alias("n"), F.sum("pos0").cast("long").alias("q"))
+    goal = g.where(F.col("c").isin("c00", "c02")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("q")).first()
+    found = A.subset_matches(g, "c", ["n", "q"], [goal["n"], goal["q"]])
+    return found.agg(F.count("*").alias("n_subsets"), F.max(F.col("subset") == "c00+c02").alias("has_own"), F.min("q").alias("least"), F.max("q").alias("most"))
+
+
+SQL_MATCHES = V.with_(V.READS, "g AS (SELECT 'c' || lpad(CAST(supp % 6 * 6 + qname % 6 AS VARCHAR), 2, '0') AS c, count(*) AS n, sum(pos0) AS q FROM reads GROUP BY 1)").rstrip() + """, r AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS k, count(*) OVER () // 2 AS h FROM g),
+ goal AS (SELECT sum(n) AS n, sum(q) AS q FROM g WHERE c IN ('c00', 'c02')),
+ a AS (SELECT id, coalesce(sum(n), 0) AS n, coalesce(sum(q), 0) AS q, string_agg(c, '+' ORDER BY c) AS s FROM range((SELECT CAST(pow(2, max(h)) AS BIGINT) FROM r)) m(id) LEFT JOIN r ON k < h AND (id >> CAST(k AS INT)) & 1 = 1 GROUP BY 1),
+ b AS (SELECT id, coalesce(sum(n), 0) AS n, coalesce(sum(q), 0) AS q, string_agg(c, '+' ORDER BY c) AS s FROM range((SELECT CAST(pow(2, max(k - h) + 1) AS BIGINT) FROM r)) m(id) LEFT JOIN r ON k >= h AND (id >> CAST(k - h AS INT)) & 1 = 1 GROUP BY 1)
+ SELECT count(*) AS n_subsets, bool_or(concat_ws('+', w.s, b.s) = 'c00+c02') AS has_own, CAST(min(w.q + b.q) AS BIGINT) AS least, CAST(max(w.q + b.q) AS BIGINT) AS most FROM (SELECT a.*, goal.n - a.n AS wn, goal.q - a.q AS wq FROM a, goal) w JOIN b ON b.n = w.wn AND b.q = w.wq"""
+
+
+def q_mask_word_list(spark: SparkSession, d: str) -> DataFrame:
+    """Documents masked by the 1,000 most frequent words of four letters or more, in one pass."""
+    x = spread(t(spark, d, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.md5(M.masked(F.col("text"), M.frequent_words(x, "text", 4, 1000)).cast("binary")).alias("digest"))
+
+
+SQL_MASK_WORDS = r"""WITH tok AS (SELECT doc_id, unnest(parts) AS w, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS parts FROM documents)),
+ top AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS k FROM tok WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY 1 ORDER BY k LIMIT 1000),
+ m AS (SELECT doc_id, string_agg(CASE WHEN k IS NULL THEN tok.w ELSE '[W' || (k % 10) || ']' END, '' ORDER BY i) AS r FROM tok LEFT JOIN top ON top.w = translate(tok.w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY 1)
+ SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(r, '')) END AS digest FROM documents d LEFT JOIN m USING (doc_id)"""
+
+
+def q_common_substring(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the longest text that the names of neighbouring parts share."""
+    p = t(spark, d, "part").select("p_partkey", "p_name", (F.col("p_partkey") + 1).alias("k"))
+    q = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
+    return p.join(q, "k").select("p_partkey", F.char_length(S.longest_common("p_name", "other")).cast("long").alias("n"))
+
+
+SQL_COMMON = """WITH x AS (SELECT a.p_partkey, a.p_name AS s, b.p_name AS o FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+ c AS (SELECT p_partkey, o, s, unnest(range(1, length(s) + 1)) AS i FROM x),
+ e AS (SELECT p_partkey, o, s, i, unnest(range(1, length(s) - i + 2)) AS n FROM c)
+ SELECT x.p_partkey, coalesce(m, 0) AS n FROM x LEFT JOIN (SELECT p_partkey, max(n) AS m FROM e WHERE contains(o, substr(s, i, n)) GROUP BY 1) USING (p_partkey)"""
+
+
 def q_even_thinning(spark: SparkSession, d: str) -> DataFrame:
     return _thinned(V.reads(spark, d).where("supp < 8"))
 
@@ -408,6 +450,9 @@ QUERIES = {
     "q_set_diff": (q_set_diff, SQL_SETDIFF),
     "q_pearson_guarded": (q_pearson_guarded, SQL_PEARSON),
     "q_subset_sums": (q_subset_sums, SQL_SUBSETS),
+    "q_subset_matches": (q_subset_matches, SQL_MATCHES),
+    "q_mask_word_list": (q_mask_word_list, SQL_MASK_WORDS),
+    "q_common_substring": (q_common_substring, SQL_COMMON),
     "q_even_thinning": (q_even_thinning, SQL_THINNING),
     "q_even_thinning_whole": (q_even_thinning_whole, SQL_THINNING_WHOLE),
     "q_entropy_bigrams": (q_entropy_bigrams, SQL_ENTROPY),

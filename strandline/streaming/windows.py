@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.text import redacted
+from ..operators.terms import masked
 
 
 def _marked(df: DataFrame, ts: str, late: str | None) -> DataFrame:
@@ -33,7 +33,7 @@ def redact_lines(lines: DataFrame, terms: list[tuple[str, str]], column: str = "
     """Stateless filter for a line stream. Without terms it refuses to start, so nothing leaves unmasked."""
     if not terms:
         raise ValueError("no terms to mask: refusing to pass lines through")
-    return lines.withColumn(column, redacted(F.col(column), terms))
+    return lines.withColumn(column, masked(F.col(column), terms))
 
 
 def counters(records: DataFrame, key: Column) -> DataFrame:

@@ -42,6 +42,9 @@ CROSS = 1
 SIDE = 256
 #: Counters of shingles by hash, which order them from rare to frequent. Any order gives the same links.
 SLOTS = 1 << 20
+#: Sets from which on a token is one of many, and how many of these a set names as met before.
+MANY = 16
+BEFORE = 32
 #: Nodes above this size are large when the depth is measured, and SHARE is the part of the classes that may stay in them.
 NODE = 64
 SHARE = 0.01
@@ -331,12 +334,13 @@ def rarest(shared, percent: int, size: int):
 
 def meeting(percent: int):
     """Pairs of a token (or of two blocks of its sets) across components that may be linked by their sizes and the token's
-    places: (a, b), each once a batch."""
+    places: (a, b), each once a batch. Pairs that have a rarer token in common, as far as ``before`` names them, have met there."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, group in whole_groups(batches, ["token", "lo", "hi"]):
             sid, label, n, place, lo, hi, block = (rows[c].to_numpy(dtype=np.int64) for c in ("sid", "label", "n", "place", "lo", "hi", "block"))
             head = rows["head"].to_numpy(dtype=bool)
+            before = [frozenset(x) for x in rows["before"]]
             found = []
             for i, j in within(group):
                 own = (label[i] != label[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
@@ -345,7 +349,9 @@ def meeting(percent: int):
                 small, large = np.where(first, i, j), np.where(first, j, i)
                 common = np.minimum(n[i] - place[i], n[j] - place[j])
                 own = head[small] & (100 * n[small] >= percent * n[large]) & ((100 + percent) * common >= percent * (n[i] + n[j]))
-                found.append(np.sort(np.stack([sid[i[own]], sid[j[own]]], 1), 1))
+                i, j = i[own], j[own]
+                new = np.array([before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                found.append(np.sort(np.stack([sid[i[new]], sid[j[new]]], 1), 1))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -472,22 +478,28 @@ class Join:
         shared = self.spark.sparkContext.broadcast(frequent)
         rows = self.labelled(own).mapInPandas(rarest(shared, percent, self.shingle), "token long, sid long, label long, n long, place long, head boolean")
         rows = scratch.keep(rows)
-        per = rows.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("head").alias("head"))
-        left = per.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"), F.count("*").alias("parts"), F.max("head").alias("head"))
-        left = scratch.keep(left.where((F.col("parts") > 1) & F.col("head")).drop("parts", "head"))
+        per = rows.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("head").alias("head"), F.sum("place").alias("place"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("own"))
+        left = per.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"), F.count("*").alias("parts"), F.max("head").alias("head"), F.sum("place").alias("place"), F.sum("own").alias("own"))
+        # Of tokens that the same sets hold, the rarest has the least places in all of them, and meets whatever the others do.
+        left = left.where((F.col("parts") > 1) & F.col("head")).groupBy("own", "all").agg(F.min_by(F.struct("token", "most", "k"), F.struct("place", "token")).alias("t"))
+        left = scratch.keep(left.select("t.token", "t.most", "t.k", "all"))
         # Blocks of members outside the largest component come first, and it has blocks of its own, unless one block holds all.
         few = F.col("all") <= SIDE
         odd = F.when(few, 1).otherwise(F.ceil((F.col("all") - F.col("k")) / SIDE)).cast("int")
         even = F.when(few, 0).otherwise(F.ceil(F.col("k") / SIDE)).cast("int")
         salt = F.xxhash64("sid", "token")
-        dealt = rows.join(left, "token").withColumns({"odd": odd, "even": even, "inside": ~few & (F.col("label") == F.col("most"))})
+        # The rarer tokens of a set that many sets hold, so that sets with much in common meet once, not at each token.
+        live = scratch.keep(rows.join(left, "token"))
+        many = live.where(F.col("all") > MANY).groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, BEFORE).alias("list"))
+        before = F.transform(F.filter("list", lambda x: x["place"] < F.col("place")), lambda x: x["token"])
+        dealt = live.join(many, "sid", "left").withColumn("before", F.coalesce(before, F.array().cast("array<long>"))).withColumns({"odd": odd, "even": even, "inside": ~few & (F.col("label") == F.col("most"))})
         dealt = dealt.withColumn("block", F.when(F.col("inside"), F.col("odd") + F.pmod(salt, F.col("even"))).otherwise(F.pmod(salt, F.col("odd"))).cast("int"))
         others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("odd")).otherwise(F.col("odd") + F.col("even")) - 1)
         dealt = dealt.withColumn("other", F.explode(others)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         key = ["token", "lo", "hi"]
-        dealt = dealt.select(*key, "sid", "label", "n", "place", "head", "block").repartition(*key).sortWithinPartitions(*key)
+        dealt = dealt.select(*key, "sid", "label", "n", "place", "head", "block", "before").repartition(*key).sortWithinPartitions(*key)
         met = scratch.keep(dealt.mapInPandas(meeting(percent), "a long, b long").distinct())
-        scratch.drop(rows, left)
+        scratch.drop(rows, left, live)
         sketches = self.classes.select("sid", "sig").join(close, "sid", "left_semi").mapInPandas(low_bytes, "sid long, sketch binary")
         side = lambda v, c: sketches.select(F.col("sid").alias(v), F.col("sketch").alias(c))
         passed = scratch.keep(met.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(sketched(self.least()), "a long, b long, same int"))

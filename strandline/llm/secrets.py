@@ -6,8 +6,8 @@ Positions come without a Python UDF: ``split`` by a pattern gives what stands be
 Entropy: a candidate is a run of 20 or more characters of ``CANDIDATE``. A window of 20 characters moves over it; as a
 character enters and one leaves, only those two counts change, and with them the sum of c*log2(c) that the entropy needs.
 A candidate is reported if its highest window reaches the bound of its character class and no allow-list entry fits it.
-Letters alone are no secret where they read like words: fewer than ``RARE_PAIRS`` pairs of letters that English, French,
-German and Spanish words seldom have. Entropy spans that base spans cover wholly are left out; others stay beside them.
+Letters alone are no secret where they read like words: no window has ``RARE_PAIRS`` pairs of letters that English, French,
+German and Spanish words seldom have. Joined words have one or two such pairs in a window, random letters eight. Entropy spans that base spans cover wholly are left out; others stay beside them.
 """
 
 from __future__ import annotations
@@ -37,9 +37,11 @@ CLASSES = (
     (r"^.+$", 3.64),
 )
 
-#: Letters and separators only; of these, what has fewer than ``RARE_PAIRS`` such pairs (overlapping ones count) is words.
+#: Letters and separators only; of these, what has fewer than ``RARE_PAIRS`` such pairs (overlapping ones count) in each window
+#: of ``WINDOW`` characters, looked at every ``STRIDE``, is words.
 LETTERS = r"^[A-Za-z/_=+-]+$"
-RARE_PAIRS = 2
+RARE_PAIRS = 4
+STRIDE = 4
 RARE = (
     "a[aq]|b[cdfgkmnpqtvwxz]|c[bdfgjmpvwxz]|d[cfkpqtxz]|f[bcdghjkmnpqvwxz]|g[bcdfjkmpqvwxz]|h[bcdfghjkpqvxz]|i[hjuwyi]|"
     "j[bcdfghjklmnpqrstvwxyz]|k[bcdfghjmpqvxz]|l[hjqrxz]|m[cdfghjkqrtvwxz]|n[rx]|o[q]|p[bcdgjkmnqvwxz]|q[^u/_=+-]|r[jqxz]|"
@@ -104,7 +106,9 @@ def is_random(candidate: Column) -> Column:
     bound = F.lit(99.0)
     for pattern, bits in reversed(CLASSES):
         bound = F.when(candidate.rlike(pattern), F.lit(bits)).otherwise(bound)
-    fine = candidate.rlike(LETTERS) & (F.regexp_count(candidate, F.lit(f"(?i)(?={RARE})[a-z]")) < RARE_PAIRS)
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(candidate) - WINDOW + 1), F.lit(STRIDE))
+    odd = F.exists(at, lambda i: F.regexp_count(F.substring(candidate, i, F.lit(WINDOW + STRIDE)), F.lit(f"(?i)(?={RARE})[a-z]")) >= RARE_PAIRS)
+    fine = candidate.rlike(LETTERS) & ~odd
     for pattern in ALLOWED:
         fine = fine | candidate.rlike(pattern)
     return F.when(fine, F.lit(False)).otherwise(peak_entropy(candidate) >= bound)

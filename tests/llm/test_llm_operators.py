@@ -413,6 +413,7 @@ def test_secrets_random_strings(spark):
     kinds |= {"lower digits": kinds["lower"] + kinds["digits"], "letters": string.ascii_letters, "all": string.ascii_letters + string.digits + "+/"}
     rows = [(k, "".join(rnd.choices(a, k=n))) for k, a in kinds.items() for n in (20, 24, 32) for _ in range(200)]
     words = "internationalizationprocess donaudampfschifffahrtsgesellschaft some/path/to/the/file/there responsabilidades_compartidas CONSTANT_NAMES_OF_MODULES"
+    words += " thequickbrownfoxjumpsoverthelazydog backgroundworkflowpublishing-checkpoint com/example/project/internal/FooBarBazQuxFactory"
     rows += [("words", w) for w in words.split()]
     d = spark.createDataFrame(rows, "kind string, s string").withColumn("found", secrets.is_random(F.col("s")).cast("int"))
     share = {r.kind: r.share for r in d.groupBy("kind").agg(F.avg("found").alias("share")).collect()}

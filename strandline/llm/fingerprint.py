@@ -11,6 +11,7 @@ upper 40 bits are the hash and the lower 24 the position. Positions from 2**24 w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,9 @@ BINS_LOG2 = 5
 KEEP = 2
 LOW = (1 << 24) - 1
 BUCKET = 256
-#: Most ranges of ids.
-RANGES = 512
+#: Bytes of text in a range of ids, about, and most ranges: their bounds and tops go to the driver and to every task.
+RANGE_BYTES = 32 << 20
+RANGES = 1 << 13
 #: More elements than any array has; slice adds the start to it, so it stays clear of the largest int.
 _FAR = 1_000_000_000
 
@@ -137,15 +139,17 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     the first. Null ids come last; rows of equal id follow each other by a hash of the first carried
     column.
 
-    Rows are dealt to ranges of ids between quantiles over all ids, so that gaps and outliers leave ranges even; ranges hold
-    about ``BUCKET`` rows, or more once there are ``RANGES`` of them. Null ids have ranges of their hashes. Each range's
+    Rows are dealt to ranges of ids between quantiles over all ids, so that gaps and outliers leave ranges even. Their number
+    follows the rows (``BUCKET`` each) up to 512, and from there on the bytes (``RANGE_BYTES`` each), so a task's part does not
+    grow with the table, up to ``RANGES`` of them; beyond 260 GB of text ranges grow again. Null ids have ranges of their hashes. Each range's
     first row is also sent to the range above, whose last row it follows. Only one row for each range is handled as a
     whole, so no task sees all rows.
     """
     docs = docs.select("doc_id", *carried)
-    n = docs.count()
-    ranges = max(1, min(RANGES, -(-n // BUCKET)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * RANGES).alias("q")).first()["q"] if n else None
+    # Of the first column alone, as below; the others are made of it.
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(carried[0])), F.lit(0))).first()
+    ranges = max(1, min(RANGES, max(min(512, -(-n // BUCKET)), size // RANGE_BYTES)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], max(51_200, 20 * ranges)).alias("q")).first()["q"] if n else None
     bounds = sorted({int(c) for c in cuts or []})
     # Of the first column alone: the others may cost as much as a signature, and are not needed to find each range's top.
     tie = F.xxhash64(carried[0])
@@ -156,7 +160,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     tops = rows.groupBy("bucket").agg(F.max(order_of).alias("top"))
     everything = W.orderBy(F.col("bucket").asc())
     tops = tops.withColumn("to", F.coalesce(F.lead("bucket").over(everything), F.min("bucket").over(W.partitionBy())))
-    # Written, so that its size is known: at most RANGES + 257 rows, so the texts are not shuffled for this join.
+    # Written, so that its size is known: at most RANGES + 257 short rows, so the texts are not shuffled for this join.
     tops = Scratch(docs.sparkSession, "next").keep(tops.select(F.col("bucket").alias("b"), F.col("top.doc_id").alias("top"), F.bitwise_not("top.later").alias("top_tie"), "to"))
     sent = rows.join(F.broadcast(tops), F.col("bucket") == F.col("b"))
     copies = F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))
@@ -170,7 +174,8 @@ def _rank(value: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at or below a value, by halving; null for null."""
     if not bounds:
         return F.when(value.isNotNull(), F.lit(0).cast("long"))
-    known = F.array(*[F.lit(b).cast("long") for b in bounds])
+    # One literal, whatever the number of bounds.
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")

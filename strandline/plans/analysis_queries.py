@@ -13,6 +13,7 @@ from ..operators import terms as M
 from ..operators import text as T
 from ..operators import trace as R
 from ..session import spread
+from ..streaming import sessions as Y
 from ..streaming import windows as X
 from . import views as V
 
@@ -356,6 +357,29 @@ def q_provenance_state(spark: SparkSession, d: str) -> DataFrame:
 SQL_PROVENANCE = "SELECT user_id % 10 AS session, substr(event_type, 1, 1) AS chrom, CAST(floor(value) AS BIGINT) AS pos, arg_min(event_type, (ts, event_id)) AS first_label, count(*) AS n FROM events GROUP BY 1, 2, 3"
 
 
+def q_provenance_range(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event asks where its position, or else the range around it, was recorded before by its user."""
+    e = t(spark, d, "events")
+    at, asks = F.floor("value").cast("long"), F.col("event_id") % 3 == 0
+    calls = e.select(
+        F.col("user_id").cast("string").alias("session"),
+        F.col("event_id").cast("long").alias("ord"),
+        F.substring("event_type", 1, 1).alias("chrom"),
+        F.when(F.col("event_id") % 6 != 0, at).alias("pos"),
+        F.when(asks, at - 4).alias("start"),
+        F.when(asks, at + 4).alias("end"),
+        F.when(~asks, F.concat(F.col("event_type"), F.lit("#"), F.col("event_id"))).alias("label"),
+    )
+    return Y.answered(calls)
+
+
+SQL_PROVENANCE_RANGE = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS ord, substr(event_type, 1, 1) AS chrom, CAST(floor(value) AS BIGINT) AS p, event_type || '#' || event_id AS label FROM events),
+ q AS (SELECT * FROM e WHERE ord % 3 = 0), r AS (SELECT * FROM e WHERE ord % 3 <> 0),
+ x AS (SELECT q.session, q.ord, r.p, min(r.ord) AS turn, arg_max(r.label, r.ord) AS label, any_value(q.p) AS own FROM q JOIN r ON r.session = q.session AND r.chrom = q.chrom AND r.ord < q.ord AND r.p BETWEEN q.p - 4 AND q.p + 4 GROUP BY 1, 2, 3),
+ b AS (SELECT session, ord, arg_min({'at': p, 'label': label}, CASE WHEN p = own AND ord % 6 <> 0 THEN -1 ELSE turn END) AS m FROM x GROUP BY 1, 2)
+ SELECT q.session, q.ord, CASE WHEN m IS NULL THEN 'caller_supplied' ELSE 'candidate_set' END AS source, m.at AS at, m.label AS label FROM q LEFT JOIN b USING (session, ord)"""
+
+
 def q_position_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mb and grouped mentions written from orders, found again, and matched to their own position by the interval."""
     o = t(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("p"))
@@ -473,6 +497,7 @@ QUERIES = {
     "q_session": (q_session, SQL_SESSION),
     "q_stream_counters": (q_stream_counters, SQL_COUNTERS),
     "q_provenance_state": (q_provenance_state, SQL_PROVENANCE),
+    "q_provenance_range": (q_provenance_range, SQL_PROVENANCE_RANGE),
     "q_position_mentions": (q_position_mentions, SQL_MENTIONS),
     "q_alignment_fields": (q_alignment_fields, SQL_ALIGN),
     "q_contig_names": (q_contig_names, SQL_NAMES),

@@ -56,6 +56,7 @@ def checksum_valid(code: Column) -> Column:
     """Eleven digits whose last is the weighted sum of the others modulo 11; on 10 a second set of weights, then 0."""
     digits = F.transform(F.filter(F.split(code, ""), lambda c: c != ""), lambda c: c.cast("int"))
 
+    # The two sets of weights of this kind of number.
     def weighted(weights: list[int]) -> Column:
         return F.aggregate(F.zip_with(F.slice(digits, 1, 10), F.array(*[F.lit(w) for w in weights]), lambda d, w: d * w), F.lit(0), lambda s, x: s + x) % 11
 
@@ -64,6 +65,15 @@ def checksum_valid(code: Column) -> Column:
     return F.when(code.rlike(r"^[0-9]{11}$"), F.get(digits, F.lit(10)) == check).otherwise(F.lit(False))
 
 
+def identifier_valid(code: Column) -> Column:
+    """``checksum_valid``, and the digits before it are a date: the first names the century (1 and 2 the 19th, up to 6 the 21st),
+    then come year, month and day; no year before 1870."""
+    part = lambda at, n: F.substring(code, at, n).cast("int")
+    year = 1800 + 100 * F.floor((part(1, 1) - 1) / 2) + part(2, 2)
+    dated = F.when(code.rlike(r"^[1-6][0-9]{10}$"), part(4, 2).between(1, 12) & part(6, 2).between(1, 31) & (year >= 1870)).otherwise(F.lit(False))
+    return F.when(dated, checksum_valid(code)).otherwise(F.lit(False))
+
+
 def mentions(text: Column) -> Column:
     """array<struct<raw,lo,hi>> of positions in prose: grouped whole numbers, and Mb or kb with their rounding interval."""
     grouped = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,3}(?:,\d{3})+)\b"), F.lit(1)), lambda r: F.struct(r.alias("raw"), F.replace(r, F.lit(","), F.lit("")).cast("double").alias("lo"), F.replace(r, F.lit(","), F.lit("")).cast("double").alias("hi")))

@@ -179,27 +179,34 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, tile: int = 65_536) -> DataFrame:
     """(contig, tile, seq): a FASTA as tiles of fixed size, so that a region is a look-up in one or two tiles.
 
-    Lines keep their place by the bases before them, counted as for FASTQ; a line is cut where a tile ends.
+    Lines keep their place by the bases before them, counted as for FASTQ; a line is cut where a tile ends. A line belongs to
+    the last header before it: that of its own split, or else the last of the splits before, of which there is a row each. A
+    name that stands in two files, or twice in one, is counted apart, so its tiles come twice.
     """
     rows = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
-    heads = rows.where(F.col("value").startswith(">")).select("file_path", "ord", F.get(F.split(F.substring(F.col("value"), F.lit(2), F.char_length("value")), r"\s"), F.lit(0)).alias("contig"))
-    # A header's contig holds up to the next header of the file: few rows, so the interval is made beside the lines.
-    nxt = F.lead("ord").over(Window.partitionBy("file_path").orderBy("ord"))
-    spans = heads.withColumn("next", F.coalesce(nxt, F.lit(2**62)))
-    bases = rows.where(~F.col("value").startswith(">") & (F.trim("value") != ""))
-    own = bases.join(F.broadcast(spans.select(F.col("file_path").alias("h"), F.col("ord").alias("lo"), "next", "contig")), (F.col("file_path") == F.col("h")) & (F.col("ord") > F.col("lo")) & (F.col("ord") < F.col("next")))
-    own = own.select("contig", "file_path", "block", "ord", F.trim("value").alias("v"))
-    sums = own.groupBy("contig", "block").agg(F.sum(F.char_length("v")).alias("bases"))
-    before = Window.partitionBy("contig").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    name = F.get(F.split(F.substring(F.col("value"), F.lit(2), F.char_length("value")), r"\s"), F.lit(0))
+    rows = rows.withColumn("head", F.when(F.col("value").startswith(">"), F.struct("ord", name.alias("contig"))))
+    # Splits of a file in order: what the earlier ones end with.
+    splits = rows.groupBy("file_path", "block").agg(F.max("head").alias("m"))
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file_path").alias("f"), F.col("block").alias("b"), F.last("m", True).over(earlier).alias("carried"))
+    so_far = Window.partitionBy("file_path", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("here", F.last("head", True).over(so_far)).where(F.col("head").isNull() & (F.trim("value") != ""))
+    own = own.join(splits, (F.col("file_path") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("h", F.coalesce("here", "carried")).where("h is not null")
+    own = own.select("file_path", F.col("h.ord").alias("entry"), F.col("h.contig").alias("contig"), "block", "ord", F.trim("value").alias("v"))
+    key = ["file_path", "entry"]
+    sums = own.groupBy(*key, "block").agg(F.sum(F.char_length("v")).alias("bases"))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("skip", F.coalesce(F.sum("bases").over(before), F.lit(0)))
-    inside = Window.partitionBy("contig", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.join(sums.select("contig", "block", "skip"), ["contig", "block"]).withColumn("at", F.col("skip") + F.coalesce(F.sum(F.char_length("v")).over(inside), F.lit(0)))
+    inside = Window.partitionBy(*key, "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.join(sums.select(*key, "block", "skip"), [*key, "block"]).withColumn("at", F.col("skip") + F.coalesce(F.sum(F.char_length("v")).over(inside), F.lit(0)))
     last = F.col("at") + F.char_length("v") - 1
     pieces = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("at") / tile), F.floor(last / tile))))
     start = F.greatest(F.lit(0), F.col("tile") * tile - F.col("at"))
     stop = F.least(F.char_length("v").cast("long"), (F.col("tile") + 1) * tile - F.col("at"))
-    cut = pieces.select("contig", "tile", (F.col("at") + start).alias("at"), F.substring(F.col("v"), (start + 1).cast("int"), (stop - start).cast("int")).alias("v"))
-    return cut.groupBy("contig", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), "").alias("seq"))
+    cut = pieces.select(*key, "contig", "tile", (F.col("at") + start).alias("at"), F.substring(F.col("v"), (start + 1).cast("int"), (stop - start).cast("int")).alias("v"))
+    tiles = cut.groupBy(*key, "contig", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), "").alias("seq"))
+    return tiles.select("contig", "tile", "seq")
 
 
 def sequences(tiles: DataFrame, regions: DataFrame, tile: int = 65_536) -> DataFrame:

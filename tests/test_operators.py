@@ -146,6 +146,17 @@ def test_text(spark):
     assert one(A.longest_pair_run(F.lit("xababab"))) == 3
     assert not one(T.checksum_valid(F.lit("123")))
 
+    def made(first, yy, mm, dd):
+        head = [int(c) for c in f"{first}{yy:02}{mm:02}{dd:02}123"]
+        tail = sum(d * w for d, w in zip(head, [1, 2, 3, 4, 5, 6, 7, 8, 9, 1], strict=True)) % 11
+        if tail == 10:
+            tail = sum(d * w for d, w in zip(head, [3, 4, 5, 6, 7, 8, 9, 1, 2, 3], strict=True)) % 11 % 10
+        return "".join(map(str, [*head, tail]))
+
+    for first, yy, mm, dd, fine in ((3, 85, 6, 15, True), (5, 1, 1, 1, True), (1, 69, 1, 1, False), (2, 70, 1, 1, True), (7, 1, 1, 1, False), (3, 85, 13, 1, False), (3, 85, 0, 1, False), (4, 85, 6, 32, False)):
+        assert one(T.identifier_valid(F.lit(made(first, yy, mm, dd)))) is fine
+    assert one(T.identifier_valid(F.lit("38506151230"))) is (made(3, 85, 6, 15) == "38506151230")
+
 
 def test_streams(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

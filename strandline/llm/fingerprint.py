@@ -188,7 +188,11 @@ def _rank(value: Column, bounds: list[int]) -> Column:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
+
+    A null text counts as empty; an empty one has an empty fingerprint, and two empty ones are alike (1). Nulls of doc_id come
+    last in the order; rows that repeat follow each other, and one row is its own next. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(with_signature(docs, "text", "sig"), ["text", "sig"])
     n = F.char_length("text")

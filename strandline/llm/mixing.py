@@ -178,7 +178,8 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken of every document. Null and empty texts have size 0 and nothing is taken of them;
+    null sources are one source, the last; rows that repeat are mixed each on its own; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

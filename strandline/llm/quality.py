@@ -136,14 +136,16 @@ def fit_tables(spark: SparkSession, sf_dir: str) -> QualityModel:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 where score >= 0.7) of every document."""
+    """doc_id, held_out, score, predicted (1 where score >= 0.7) of every document. Null texts count as empty, and empty ones have
+    the score of no difference; a null doc_id is not held out; rows that repeat score alike; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit_tables(spark, sf_dir))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of at least 0.7 stay; columns are those of ``docs``."""
+    """Pipeline stage: documents with a score of at least 0.7 stay; columns are those of ``docs``, in
+    their order, whatever their names. Null and empty texts are judged by the score of no difference."""
     scored = score(docs, fit_tables(spark, sf_dir), "__score")
     return scored.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 

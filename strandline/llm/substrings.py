@@ -298,5 +298,5 @@ def dedup(docs: DataFrame, digests: bool = False) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    """doc_id, n_words, n_removed, kept_sha256 of every document; nulls, empty texts and repeated rows as for ``dedup``."""
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)

@@ -28,7 +28,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NAMES = ("length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "upper_ratio", "punct_ratio", "entropy", "host_entropy", "parameters", "longest_label", "hyphens", "suffix_rate", "suffix_seen", "extension", "secure", "fragment", "longest_digits")
+NAMES = ("length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "upper_ratio", "punct_ratio", "entropy", "host_entropy", "parameters", "longest_label", "hyphens", "suffix_rate", "suffix_seen", "section_rate", "section_seen", "extension", "secure", "fragment", "longest_digits")
 
 
 def host(url: Column) -> Column:
@@ -73,14 +73,20 @@ def suffix(host_: str) -> str:
     return ".".join(host_.split(".")[-2:])
 
 
+def section(host_: str, path_: str) -> str:
+    """The last label of a host with the first part of the path, which tells sites' parts apart."""
+    return host_.rsplit(".", 1)[-1] + "/" + path_.partition("/")[2].partition("/")[0]
+
+
 def lexical(url: str | None, suffixes: dict[str, tuple[float, int]]) -> list[float]:
     """Features of one URL, in the order of ``NAMES``; null counts as empty, and a text without a scheme is all query.
-    ``suffixes``: block rate and count of host suffixes in training."""
+    ``suffixes``: block rate and count of host suffixes, and of sections, in training."""
     u = url or ""
     scheme, h, p, q = parts(u)
     n = max(1, len(u))
     labels = h.split(".")
     rate, seen = suffixes.get(suffix(h), (0.5, 0))
+    section_rate, section_seen = suffixes.get(section(h, p), (0.5, 0))
     return [
         len(u),
         len(h),
@@ -98,6 +104,8 @@ def lexical(url: str | None, suffixes: dict[str, tuple[float, int]]) -> list[flo
         h.count("-") + p.count("-"),
         rate,
         math.log1p(seen),
+        section_rate,
+        math.log1p(section_seen),
         float("." in p.rsplit("/", 1)[-1]),
         float(scheme == "https"),
         float("#" in q),
@@ -184,7 +192,9 @@ def fit(labelled: DataFrame, max_rows: int = 20_000) -> Trees:
     rows = known.orderBy("h", "url").limit(max_rows).collect()
     half: dict[str, list[int]] = {}
     for r in rows[::2]:
-        half.setdefault(suffix(parts(r["url"])[1]), []).append(r["block"])
+        _, h, p, _ = parts(r["url"])
+        for key in (suffix(h), section(h, p)):
+            half.setdefault(key, []).append(r["block"])
     suffixes = {s: ((sum(v) + 1) / (len(v) + 2), len(v)) for s, v in half.items()}
     use = rows[1::2] or rows
     x = np.array([lexical(r["url"], suffixes) for r in use], dtype=float).reshape(-1, len(NAMES))
@@ -218,5 +228,6 @@ def judge(pages: DataFrame, model: Trees | None = None) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page."""
+    """page_id, host, path, rule, verdict of every page; a null url has an empty host and path and the trees' verdict on an empty
+    text. Rows that repeat are judged alike; an empty table gives no rows."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))

@@ -19,6 +19,7 @@ What leaves a task is summed in the task, so the hottest phrase is a row for eac
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -363,12 +364,14 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, fi
     three = three.withColumn("cut", F.least(cut(1), cut(2)))
     three = three.select("lang", F.concat_ws(" ", *[F.col(f"w{k}").cast("string") for k in (1, 2, 3)]).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     every = two.unionByName(three)
-    # The first of each share of a language, then of the language: no task sorts more than a few shares' first.
+    # The first of each share of a language, then of its share of shares, then of the language: no task sorts more than a few
+    # shares' first.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = every.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
-    best = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= first)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
+    best = every.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    for share in (F.col("share"), F.col("share") % max(2, math.isqrt(shares)), F.lit(0)):
+        best = best.withColumn("share", share)
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     totals = words.where("word is null").select("lang", "n")
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

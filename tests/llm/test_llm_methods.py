@@ -225,3 +225,28 @@ def test_depth_follows_shared_parts(spark, monkeypatch):
         return neardup.depth_of(join.classes, join.n)
 
     assert depth(alone) == 1 and depth(copies) <= 2 and 2 <= depth(shared) <= 5
+
+
+def test_large_nodes_of_one_template(spark, monkeypatch):
+    """Copies that differ by more or fewer edits of their own, far beyond a small node, beside texts that share words only."""
+    import random
+
+    monkeypatch.setattr(neardup, "SIDE", 32)
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 400)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base) if i % 3 else [f"v{rnd.randint(0, 300)}" for _ in range(150)]
+        for k in rnd.sample(range(150), rnd.choice([1, 4, 9, 13, 17, 25])):
+            w[k] = f"u{rnd.randint(0, 3000)}"
+        rows.append((i, " ".join(w)))
+    sets = [neardup.text_shingles(t.encode(), 2) for _, t in rows]
+    own = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if own[i] != own[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((own[i], own[j]))
+                own = [a if x == b else x for x in own]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shingle=2).collect()}
+    assert [got[i] for i in range(len(rows))] == own and len(set(own)) > 150

@@ -74,14 +74,26 @@ def unmatched_claims(claims: DataFrame, calls: DataFrame) -> DataFrame:
 def found_truths(truths: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
     """(event, truth): events that have a breakpoint near every breakpoint of a truth.
 
-    ``truths`` (truth, contig, pos) and ``found`` (event, contig, pos) have a row for each breakpoint.
+    ``truths`` (truth, contig, pos) and ``found`` (event, contig, pos) have a row for each breakpoint. A truth meets events
+    only at the breakpoint with the fewest found ones around it, and its others are looked up in the event's own list; so
+    the pairs follow the rarest breakpoints, however crowded the others are. Breakpoints with nulls are left out.
     """
-    need = truths.groupBy("truth").agg(F.countDistinct("contig", "pos").alias("need"))
-    a = truths.select("truth", F.col("contig").alias("t_contig"), F.col("pos").alias("t_pos"))
-    b = found.select("event", F.col("contig").alias("f_contig"), F.col("pos").alias("f_pos"))
-    near = band_join(a, b, [("t_contig", "f_contig")], [("t_pos", "f_pos", tolerance)])
-    hits = near.groupBy("event", "truth").agg(F.countDistinct("t_contig", "t_pos").alias("have"))
-    return hits.join(need, "truth").where("have = need").select("event", "truth")
+    width = max(2 * tolerance, 1)
+    bin_of = lambda p: F.floor(p / F.lit(width)).cast("long")
+    known = "contig is not null and pos is not null"
+    spots = truths.where(known).select("truth", "contig", "pos").distinct()
+    crowds = found.where(known).groupBy("contig", bin_of(F.col("pos")).alias("bin")).agg(F.count("*").alias("n"))
+    around = spots.withColumn("bin", F.explode(F.sequence(bin_of(F.col("pos") - tolerance), bin_of(F.col("pos") + tolerance)))).join(crowds, ["contig", "bin"], "left")
+    load = around.groupBy("truth", "contig", "pos").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    anchors = load.groupBy("truth").agg(F.min(F.struct("n", "contig", "pos")).alias("a"), F.collect_list(F.struct("contig", "pos")).alias("t_ends"))
+    anchors = anchors.where("a.n > 0").select("truth", "t_ends", F.col("a.contig").alias("t_contig"), F.col("a.pos").alias("t_pos"))
+    events = found.where(known).groupBy("event").agg(F.array_sort(F.collect_set(F.struct("contig", "pos"))).alias("f_ends"))
+    at = events.withColumn("f", F.explode("f_ends")).select("event", "f_ends", "f", F.col("f.contig").alias("f_contig"), F.col("f.pos").alias("f_pos"))
+    near = lambda e, contig, pos: (e["contig"] == contig) & (F.abs(e["pos"] - pos) <= tolerance)
+    pairs = band_join(anchors, at, [("t_contig", "f_contig")], [("t_pos", "f_pos", tolerance)])
+    # An event with several breakpoints near the anchor comes by the first of them only.
+    pairs = pairs.where(F.get(F.filter("f_ends", lambda e: near(e, F.col("t_contig"), F.col("t_pos"))), F.lit(0)) == F.col("f"))
+    return pairs.where(F.forall("t_ends", lambda x: F.exists("f_ends", lambda e: near(e, x["contig"], x["pos"])))).select("event", "truth")
 
 
 def adjudicated(df: DataFrame, by: list[str], category: str, genuine: list[str], counted: Column) -> DataFrame:

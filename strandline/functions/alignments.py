@@ -24,10 +24,8 @@ def lacks(flag: Column, bits: int) -> Column:
 
 def operations(cigar: Column) -> Column:
     """array<struct<len,op>>; empty for null, ``*`` and empty strings."""
-    c = F.coalesce(cigar, F.lit(""))
-    lengths = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    kinds = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.zip_with(lengths, kinds, lambda n, k: F.struct(n.cast("long").alias("len"), k.alias("op")))
+    found = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit(r"\d+[MIDNSHP=X]"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("long").alias("len"), F.substring(x, -1, 1).alias("op")))
 
 
 def total(ops: Column, kinds: str) -> Column:

@@ -63,20 +63,31 @@ def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int
     Orientations are seen from this end. ``junctions`` may have related (array of struct c, p, 1-based): other ends of the
     same rearrangement.
     """
-    ops = A.operations(F.col("cigar"))
-    own = in_scope(reads).withColumns({"sa": A.segments(F.element_at("tags", F.lit("SA"))), "clip": A.clips(ops, "SH"), "rev": A.has(F.col("flag"), A.REVERSE), "mrev": A.has(F.col("flag"), A.MATE_REVERSE)})
-    x = interval_join(own, ends(junctions), [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256), longest=(ANY_LENGTH, 2 * window))
-    near = lambda pos, at: F.abs(pos - at) <= window
-    there = lambda chrom: plain(chrom) == plain(F.col("p_c"))
     length = lambda s: A.reference_length(A.operations(s["cigar"]))
-    hit = F.filter("sa", lambda s: there(s["chrom"]) & (near(s["pos"] - 1, F.col("p_p")) | near(s["pos"] + length(s) - 2, F.col("p_p"))))
-    x = x.withColumns({"hit": F.get(hit, F.lit(0)), "intra": plain(F.col("e_c")) == plain(F.col("p_c")), "low": F.col("mapq") < mapq, "last": F.col("end0") - 1})
-    x = x.withColumns({"h_start": F.col("hit.pos") - 1, "h_last": F.col("hit.pos") + length(F.col("hit")) - 2})
+    piece = lambda s: F.struct(plain(s["chrom"]).alias("c"), (s["pos"] - 1).alias("start"), (s["pos"] + length(s) - 2).alias("last"), s["mapq"].alias("mapq"))
+    # Texts are read once for each record or end, before the join; a pair of both compares numbers and names only.
+    mate, near = F.col("mate_contig"), lambda pos, at: F.abs(pos - at) <= window
+    own = in_scope(reads).withColumn("ops", A.operations(F.col("cigar"))).withColumns(
+        {
+            "sa": F.transform(A.segments(F.element_at("tags", F.lit("SA"))), piece), "clip": A.clips(F.col("ops"), "SH"),
+            "rev": A.has(F.col("flag"), A.REVERSE), "mrev": A.has(F.col("flag"), A.MATE_REVERSE),
+            "m_plain": plain(mate), "m_off": primary(mate) != primary(F.col("contig")),
+        }
+    )
+    at_ends = ends(junctions).withColumns({"e_plain": plain(F.col("e_c")), "p_plain": plain(F.col("p_c"))})
+    if "related" in junctions.columns:
+        at_ends = at_ends.withColumn("related", F.transform("related", lambda r: F.struct(plain(r["c"]).alias("c"), (r["p"] - 1).alias("p"))))
+    x = interval_join(own.drop("ops", "cigar", "tags"), at_ends, [("contig", "e_c")], (F.col("pos0"), F.col("end0")), (F.greatest(F.lit(0), F.col("e_p") - window), F.col("e_p") + window), max(2 * window, 256), longest=(ANY_LENGTH, 2 * window))
+    hit = F.filter("sa", lambda s: (s["c"] == F.col("p_plain")) & (near(s["start"], F.col("p_p")) | near(s["last"], F.col("p_p"))))
+    x = x.withColumns({"hit": F.when(F.size("sa") > 0, F.get(hit, F.lit(0))), "intra": F.col("e_plain") == F.col("p_plain"), "low": F.col("mapq") < mapq, "last": F.col("end0") - 1})
+    x = x.withColumns({"h_start": F.col("hit.start"), "h_last": F.col("hit.last")})
     middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
     primary_read = A.lacks(F.col("flag"), A.SUPPLEMENTARY) & A.has(F.col("flag"), A.PAIRED)
-    mate, proper = F.col("mate_contig"), A.has(F.col("flag"), A.PROPER)
-    at_partner = there(mate) & near(F.col("mate_pos0"), F.col("p_p")) & ~(F.col("intra") & proper)
-    at_related = F.coalesce(F.exists("related", lambda r: (plain(r["c"]) == plain(mate)) & near(F.col("mate_pos0"), r["p"] - 1)), F.lit(False)) & (plain(mate) != plain(F.col("e_c")))
+    proper = A.has(F.col("flag"), A.PROPER)
+    at_partner = (F.col("m_plain") == F.col("p_plain")) & near(F.col("mate_pos0"), F.col("p_p")) & ~(F.col("intra") & proper)
+    at_related = F.lit(False)
+    if "related" in junctions.columns:
+        at_related = F.coalesce(F.exists("related", lambda r: (r["c"] == F.col("m_plain")) & near(F.col("mate_pos0"), r["p"])), F.lit(False)) & (F.col("m_plain") != F.col("e_plain"))
     left_read = F.col("pos0") <= F.col("mate_pos0")
     outward = F.when(left_read, F.col("rev")).otherwise(~F.col("rev"))
     of_pair = (
@@ -84,7 +95,7 @@ def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int
         .when(mate.isNull(), None)
         .when(at_partner, "pair_partner")
         .when(at_related, "pair_related")
-        .when((primary(mate) != primary(F.col("contig"))) & (plain(mate) != plain(F.col("e_c"))), "pair_other_chrom")
+        .when(F.col("m_off") & (F.col("m_plain") != F.col("e_plain")), "pair_other_chrom")
         .when(mate != F.col("contig"), "pair_alt_contig")
         .when(proper, None)
         .when((F.col("rev") == F.col("mrev")) | outward, "pair_orientation")
@@ -92,10 +103,11 @@ def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int
     )
     of_split = F.when(F.col("hit").isNotNull(), "split_partner").when(F.size("sa") > 0, "split_other")
     x = x.withColumns({"k_pair": F.when(primary_read, of_pair), "k_split": of_split})
-    pair_first = (F.col("k_split") == "split_other") & F.col("k_pair").isin("pair_partner", "pair_related")
-    both = F.filter(F.when(pair_first, F.array("k_pair", "k_split")).otherwise(F.array("k_split", "k_pair")), lambda k: k.isNotNull())
-    alone = F.when((F.col("clip.left") >= clip) | (F.col("clip.right") >= clip), F.array(F.lit("clipped"))).when(F.col("low"), F.array(F.lit("ambiguous"))).otherwise(F.array().cast("array<string>"))
-    x = x.withColumn("kinds", F.when(F.size(both) > 0, both).otherwise(alone))
+    pair_first = F.coalesce((F.col("k_split") == "split_other") & F.col("k_pair").isin("pair_partner", "pair_related"), F.lit(False))
+    alone = F.when((F.col("clip.left") >= clip) | (F.col("clip.right") >= clip), "clipped").when(F.col("low"), "ambiguous")
+    x = x.withColumn("kind", F.when(pair_first, F.col("k_pair")).otherwise(F.coalesce("k_split", "k_pair", alone)))
+    second = F.when(pair_first, F.col("k_split")).when(F.col("k_split").isNotNull(), F.col("k_pair"))
+    x = x.withColumn("kinds", F.array_compact(F.array(F.col("kind"), second)))
     split_mine = ~F.col("intra") | _nearer(middle("pos0", "last"), middle("h_start", "h_last"))
     pair_mine = ~F.col("intra") | _nearer(F.col("pos0"), F.col("mate_pos0"))
     seen = lambda s, e: F.concat(s, F.lit("to"), e)
@@ -111,7 +123,7 @@ def review(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int
             "pair_o": F.when(is_pair, F.when(pair_mine, seen(here_s, mate_s)).otherwise(seen(mate_s, here_s))),
         }
     )
-    return x.select("id", "end", "qname", F.get("kinds", F.lit(0)).alias("kind"), "kinds", "low", "is_pair", "pair_o", "is_split", "split_o", F.coalesce("split_o", "pair_o").alias("joins_o"), "clip", "pos0", "end0", "e_p", "file_ord", "flag", "mapq", "mate_contig", "contig")
+    return x.select("id", "end", "qname", "kind", "kinds", "low", "is_pair", "pair_o", "is_split", "split_o", F.coalesce("split_o", "pair_o").alias("joins_o"), "clip", "pos0", "end0", "e_p", "file_ord", "flag", "mapq", "mate_contig", "contig")
 
 
 def scan(reads: DataFrame, junctions: DataFrame, window: int = 1000, mapq: int = 20) -> DataFrame:
@@ -144,7 +156,10 @@ def view(reviewed: DataFrame, most: int = 300) -> DataFrame:
     joins = F.col("kind").isin("split_partner", "pair_partner", "pair_related")
     x = reviewed.where("kind is not null")
     per = W.partitionBy("id", "end")
-    x = x.withColumns({"_joins": joins, "_n": F.count_if(~joins).over(per), "_j": F.count_if(joins).over(per), "_i": F.row_number().over(W.partitionBy("id", "end", joins).orderBy("file_ord", "pos0", "qname")) - 1})
+    # Ranked first, those that join the ends before the rest; the counts then need no sort of their own.
+    x = x.withColumn("_joins", joins).withColumn("_i", F.row_number().over(per.orderBy(F.col("_joins").desc(), "file_ord", "pos0", "qname")) - 1)
+    x = x.withColumns({"_n": F.count_if(~F.col("_joins")).over(per), "_j": F.count_if("_joins").over(per)})
+    x = x.withColumn("_i", F.when(F.col("_joins"), F.col("_i")).otherwise(F.col("_i") - F.col("_j")))
     room = F.greatest(F.lit(0), F.lit(most) - F.col("_j"))
     share = lambda i: F.floor(i * room / F.col("_n"))
     rest = (room > 0) & ((F.col("_n") <= room) | (F.col("_i") == 0) | (share(F.col("_i")) > share(F.col("_i") - 1)))

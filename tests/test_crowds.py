@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline import joins
-from strandline.operators import audit
+from strandline.operators import audit, junctions
 
 
 def test_truths_meet_at_their_rarest_breakpoint(spark, monkeypatch):
@@ -21,3 +21,16 @@ def test_truths_meet_at_their_rarest_breakpoint(spark, monkeypatch):
     # The truth with one known breakpoint is found by event 0 too, which has one near it; event 300 lacks the crowded place.
     assert sorted(map(tuple, found.collect())) == sorted([(i, i) for i in range(n)] + [(0, n), (n, n)])
     assert met[0].count() <= 2 * n
+
+
+def _above_join(df) -> str:
+    """The optimized plan down to its first join, with the join's condition."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return "\n".join(lines[: next(i for i, x in enumerate(lines) if "Join " in x) + 1])
+
+
+def test_texts_of_records_are_read_before_the_join(spark):
+    reads = "file_ord bigint, qname string, flag int, contig string, pos0 bigint, end0 bigint, mapq int, cigar string, mate_contig string, mate_pos0 bigint, tags map<string,string>"
+    x = junctions.review(spark.createDataFrame([], reads), spark.createDataFrame([], "id bigint, ca string, pa bigint, cb string, pb bigint"), 100)
+    for seen in (x.where("kind is not null").groupBy("id").count(), x.where("is_pair or is_split").groupBy("id").count()):
+        assert "regexp" not in _above_join(seen) and "split(" not in _above_join(seen)

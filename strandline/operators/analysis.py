@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.statistics import pair_weight
 from . import selection
 
 
@@ -114,20 +115,10 @@ def longest_pair_run(s: Column) -> Column:
 
 def pair_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_pairs, entropy): Shannon entropy in bits of a text's overlapping character pairs, for each row of two
-    characters or more. A row counts its own pairs as runs of its sorted array, so nothing is exploded or shuffled.
+    characters or more. A row counts its own pairs, in numpy, so nothing is exploded or shuffled.
     """
-    codes = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.ascii(c).cast("long"))
-    own = df.select(key, codes.alias("c")).where(F.size("c") >= 2)
-    # A pair is one number, so that sorting runs on an array of longs.
-    pairs = F.zip_with(F.slice(F.col("c"), F.lit(1), F.size("c") - 1), F.slice(F.col("c"), F.lit(2), F.size("c")), lambda a, b: a * (1 << 21) + b)
-    x = own.select(key, F.sort_array(pairs).alias("p"))
-    # Places where a run of one pair ends; the lengths of the runs are their differences.
-    following = F.concat(F.slice(F.col("p"), F.lit(2), F.size("p")), F.array(F.lit(-1).cast("long")))
-    ends = F.zip_with("p", following, lambda v, w: v != w)
-    stops = F.filter(F.transform(ends, lambda last, i: F.when(last, i + 1)), lambda i: i.isNotNull())
-    x = x.select(key, F.size("p").cast("long").alias("n_pairs"), stops.alias("e"))
-    runs = F.transform("e", lambda v, i: (v - F.when(i == 0, 0).otherwise(F.get("e", i - 1))).cast("double"))
-    x = x.select(key, "n_pairs", F.aggregate(runs, F.lit(0.0), lambda s, n: s + n * F.log2(n)).alias("s"))
+    own = df.select(key, F.col(text).alias("t")).where(F.length("t") >= 2)
+    x = own.select(key, (F.length("t") - 1).cast("long").alias("n_pairs"), pair_weight("t").alias("s"))
     return x.select(key, "n_pairs", (F.log2("n_pairs") - F.col("s") / F.col("n_pairs")).alias("entropy"))
 
 

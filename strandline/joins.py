@@ -20,19 +20,20 @@ def band_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], b
     """Pairs of rows with equal keys whose band columns differ by at most a tolerance each.
 
     ``equal``: (left column, right column); ``bands``: (left column, right column, tolerance). Columns of both sides must
-    have different names. The first band makes the bins; left rows go to their bin and both neighbours.
+    have different names. Every band makes bins, twice its tolerance wide, so that a crowd in one band is parted by the
+    others; a left row goes to the one or two bins of each band that its tolerance reaches, a right row to its own.
     """
-    l0, r0, tol = bands[0]
-    width = max(int(tol), 1)
-    near = F.explode(F.array(*[_bin(F.col(l0), width) + F.lit(d) for d in (-1, 0, 1)]))
-    a = left.withColumn("__bin", near)
-    b = right.withColumn("__bin_r", _bin(F.col(r0), width))
-    on = F.col("__bin") == F.col("__bin_r")
+    a, b, on = left, right, F.lit(True)
+    for k, (lc, rc, t) in enumerate(bands):
+        width = max(2 * int(t), 1)
+        a = a.withColumn(f"__bin{k}", F.explode(F.sequence(_bin(F.col(lc) - F.lit(t), width), _bin(F.col(lc) + F.lit(t), width))))
+        b = b.withColumn(f"__bin_r{k}", _bin(F.col(rc), width))
+        on = on & (F.col(f"__bin{k}") == F.col(f"__bin_r{k}"))
     for lc, rc in equal:
         on = on & (F.col(lc) == F.col(rc))
     for lc, rc, t in bands:
         on = on & (F.abs(F.col(lc) - F.col(rc)) <= F.lit(t))
-    return a.join(b, on).drop("__bin", "__bin_r")
+    return a.join(b, on).drop(*[f"{c}{k}" for k in range(len(bands)) for c in ("__bin", "__bin_r")])
 
 
 #: Levels of bins, and how much wider each is than the one before.

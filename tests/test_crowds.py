@@ -34,3 +34,14 @@ def test_texts_of_records_are_read_before_the_join(spark):
     x = junctions.review(spark.createDataFrame([], reads), spark.createDataFrame([], "id bigint, ca string, pa bigint, cb string, pb bigint"), 100)
     for seen in (x.where("kind is not null").groupBy("id").count(), x.where("is_pair or is_split").groupBy("id").count()):
         assert "regexp" not in _above_join(seen) and "split(" not in _above_join(seen)
+
+
+def test_bands_part_each_others_crowds(spark):
+    """20,000 rows at one place of the first band, far apart in the second: bins of the first alone would meet all pairs."""
+    n = 20_000
+    a = spark.range(n).select(F.col("id").alias("i"), F.lit("x").alias("k"), F.lit(5).alias("p"), (F.col("id") * 100).alias("q"))
+    b = a.select(F.col("i").alias("j"), F.col("k").alias("m"), F.col("p").alias("r"), (F.col("q") + 100).alias("s"))
+    pairs = joins.band_join(a, b, [("k", "m")], [("p", "r", 3), ("q", "s", 100)])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "__bin0" in plan and "__bin1" in plan
+    assert sorted(map(tuple, pairs.select("i", "j").collect())) == sorted((i, j) for i in range(n) for j in (i - 2, i - 1, i) if 0 <= j)

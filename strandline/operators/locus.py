@@ -61,9 +61,10 @@ def partner_sentence(top: Column, n: Column, share: Column, kinds: Column) -> Co
 
 
 def pile(at: DataFrame, side: Column, pos: Column, tie: Column) -> DataFrame:
-    """locus, side, n_side, consensus, n_consensus: the position with most ends on each side; ties by the least ``tie``."""
+    """locus, side, n_side, consensus, n_consensus: the position with most ends on each side; ties by the least ``tie``,
+    then by the least position, so that reruns agree."""
     g = at.groupBy("locus", side.alias("side"), pos.alias("pos")).agg(F.count("*").alias("n"), F.min(tie).alias("tie"))
-    return g.groupBy("locus", "side").agg(F.sum("n").cast("long").alias("n_side"), F.max_by("pos", F.struct("n", -F.col("tie"))).alias("consensus"), F.max("n").alias("n_consensus"))
+    return g.groupBy("locus", "side").agg(F.sum("n").cast("long").alias("n_side"), F.max_by("pos", F.struct("n", -F.col("tie"), -F.col("pos"))).alias("consensus"), F.max("n").alias("n_consensus"))
 
 
 def depth_bins(reads: DataFrame, loci: DataFrame, contig: tuple[str, str], half: int, width: int) -> DataFrame:

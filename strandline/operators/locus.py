@@ -74,10 +74,12 @@ def depth_bins(reads: DataFrame, loci: DataFrame, contig: tuple[str, str], half:
     """
     n = -(-2 * half // width)
     bins = loci.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"bin_start": (F.col("centre") - half + F.col("bin") * width).cast("long"), "bin_end": F.least(F.col("centre") - half + (F.col("bin") + 1) * width, F.col("centre") + half).cast("long")})
-    pairs = interval_join(reads, bins, [contig], (F.col("pos0"), F.col("end0")), (F.col("bin_start"), F.col("bin_end")), max(width, 256), longest=(ANY_LENGTH, width))
+    # Loci that share a bin share its reads: each different span meets them once.
+    span = [contig[1], "bin_start", "bin_end"]
+    pairs = interval_join(reads, bins.select(*span).distinct(), [contig], (F.col("pos0"), F.col("end0")), (F.col("bin_start"), F.col("bin_end")), max(width, 256), longest=(ANY_LENGTH, width))
     inside = F.least("end0", "bin_end") - F.greatest("pos0", "bin_start")
-    got = pairs.groupBy("locus", "bin").agg(F.sum(inside).cast("long").alias("covered"))
-    return bins.join(got, ["locus", "bin"], "left").select("locus", "centre", F.col("bin").cast("long").alias("bin"), "bin_start", "bin_end", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
+    got = pairs.groupBy(*span).agg(F.sum(inside).cast("long").alias("covered"))
+    return bins.join(got, span, "left").select("locus", "centre", F.col("bin").cast("long").alias("bin"), "bin_start", "bin_end", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 
 def depth_dip(bins: DataFrame, reach: int) -> DataFrame:

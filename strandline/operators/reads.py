@@ -19,8 +19,9 @@ from . import locus as L
 
 def prepared(reads: DataFrame) -> DataFrame:
     """Records with parsed parts: blk (aligned blocks), clip, sa, strand, and the scopes of the layers."""
-    ops = A.operations(F.col("cigar"))
-    flag = F.col("flag")
+    # A column of its own, so that a CIGAR is read once.
+    reads = reads.withColumn("ops", A.operations(F.col("cigar")))
+    ops, flag = F.col("ops"), F.col("flag")
     return reads.select(
         "file_ord", "qname", "flag", "contig", "pos0", "end0", "mapq", "mate_contig", "mate_pos0",
         A.blocks(F.col("pos0"), ops).alias("blk"),
@@ -54,9 +55,10 @@ def is_discordant(contig: Column, mate: Column) -> Column:
 def discordance(reads: DataFrame, loci: DataFrame, half: int = 500, mapq: int = 20) -> DataFrame:
     """total, discordant, below_mapq, fraction, assessable, and the partners as sorted ``name:count`` text."""
     other = F.col("mated") & is_discordant(F.col("contig"), F.col("mate_contig"))
-    x = at(reads.where("is_primary"), loci, half)
-    g = L.discordance(x, mapq, other)
-    p = L.partners(x, (F.col("mapq") >= mapq) & other, primary(F.col("mate_contig"))).groupBy("locus").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "partner", "n"))), lambda s: F.concat_ws(":", s["partner"], s["n"])).alias("partners"))
+    own = reads.where("is_primary").select("contig", "pos0", "end0", "mapq", other.alias("other"), primary(F.col("mate_contig")).alias("partner"))
+    x = at(own, loci, half)
+    g = L.discordance(x, mapq, F.col("other"))
+    p = L.partners(x, (F.col("mapq") >= mapq) & F.col("other"), F.col("partner")).groupBy("locus").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "partner", "n"))), lambda s: F.concat_ws(":", s["partner"], s["n"])).alias("partners"))
     out = loci.select("locus").join(g, "locus", "left").join(p, "locus", "left")
     return out.withColumn("assessable", F.col("total").isNotNull() & (F.coalesce("total", F.lit(0)) + F.coalesce("below_mapq", F.lit(0)) > 0))
 
@@ -81,15 +83,16 @@ def split_reads(reads: DataFrame, loci: DataFrame, half: int = 200, mapq: int =
     decoy_only (reads that name nothing else) say how many there were. same_strand counts entries on the read's own strand.
     """
     good = F.filter("sa", lambda s: F.coalesce(s["mapq"] >= mapq, F.lit(True)) & (primary(s["chrom"]) != primary(F.col("contig"))))
-    x = at(reads.where("is_primary"), loci, half).withColumn("other", good)
+    x = reads.where("is_primary").withColumn("other", good)
     decoy = lambda s: contig_class(s["chrom"]) == "decoy"
     x = x.withColumns({"far": F.filter("other", lambda s: ~decoy(s)), "bait": F.exists("other", decoy)})
     ok = F.col("mapq") >= mapq
     has = ok & (F.size("far") > 0)
-    same = F.size(F.filter("far", lambda s: s["strand"] == F.when(F.col("strand") == 1, "-").otherwise("+")))
+    x = x.withColumn("same", F.size(F.filter("far", lambda s: s["strand"] == F.when(F.col("strand") == 1, "-").otherwise("+"))))
+    x = at(x.select("file_ord", "contig", "pos0", "end0", "mapq", "far", "bait", "same"), loci, half)
     g = x.groupBy("locus").agg(
         F.count_if(ok).alias("total"), F.count_if(~ok).alias("below_mapq"), F.count_if(has).alias("split"),
-        F.sum(F.when(ok, F.size("far")).otherwise(0)).cast("long").alias("entries"), F.sum(F.when(ok, same).otherwise(0)).cast("long").alias("same_strand"),
+        F.sum(F.when(ok, F.size("far")).otherwise(0)).cast("long").alias("entries"), F.sum(F.when(ok, F.col("same")).otherwise(0)).cast("long").alias("same_strand"),
         F.count_if(ok & F.col("bait")).alias("decoys"), F.count_if(ok & F.col("bait") & (F.size("far") == 0)).alias("decoy_only"),
     )
     e = x.where(has).select("locus", "file_ord", F.explode("far").alias("s"))

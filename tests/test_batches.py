@@ -6,8 +6,10 @@ import collections
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from strandline.functions import statistics as S
-from strandline.operators import analysis
+from strandline.operators import analysis, locus
 
 
 def test_alignments_of_many_pairs():
@@ -30,3 +32,34 @@ def test_pair_entropy_in_numpy(spark):
     got = {r[0]: (r[1], r[2]) for r in df.collect()}
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_pile_ties_go_to_the_least_position(spark):
+    """Equal counts and equal least ids: whatever the order of rows, the least position is the consensus."""
+    rows = [(1, 7, "right", p) for p in (30, 10, 20)]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        at = spark.createDataFrame(some, "locus int, rid bigint, side string, pos bigint").coalesce(1)
+        assert [tuple(r) for r in locus.pile(at, F.col("side"), F.col("pos"), F.col("rid")).collect()] == [(1, "right", 3, 10, 1)]
+        # The same rows in another order of ids than of positions.
+        assert locus.pile(at.union(at), F.col("side"), F.col("pos"), F.col("rid")).first()["consensus"] == 10
+
+
+def test_shared_bins_meet_reads_once(spark, monkeypatch):
+    """Loci 200 bases apart share bins of 200: each read meets a span once, and all loci count it."""
+    met, join = [], locus.interval_join
+    monkeypatch.setattr(locus, "interval_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    loci = spark.range(20).select(F.col("id").alias("locus"), F.lit("c").alias("l_contig"), (F.col("id") * 200 + 5000).alias("centre"))
+    reads = spark.createDataFrame([("c", 5010, 5060)], "contig string, pos0 bigint, end0 bigint")
+    bins = locus.depth_bins(reads, loci, ("contig", "l_contig"), 2000, 200).where("covered > 0")
+    assert {(r.bin_start, r.covered) for r in bins.collect()} == {(5000, 50)} and bins.count() == 11
+    assert met[0].count() == 1
+
+
+def test_breakends_match_their_pattern_once(spark):
+    from strandline.functions.alignments import breakend
+
+    forms = ["N[chr1:5[", "]chr2:7]AC", ".]3:9].", "[chrX:1[n", "N]chr1:5[", "A", "N[chr1[", "[a:1:2[", None, "N[c:99999999999999999999[", "\tN[c:1["]
+    df = spark.createDataFrame(list(enumerate(forms)), "i int, a string").select("i", breakend(F.col("a")).alias("b"))
+    assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: tuple(r.b) for r in df.collect() if any(v is not None for v in r.b)}
+    assert got == {0: ("chr1", 5, "3to5"), 1: ("chr2", 7, "5to3"), 2: ("3", 9, "3to3"), 3: ("chrX", 1, "5to5"), 4: ("chr1", 5, "3to5"), 9: ("c", None, "3to5")}

@@ -46,7 +46,7 @@ def clips(ops: Column, kinds: str = "S") -> Column:
 
 def blocks(pos0: Column, ops: Column) -> Column:
     """array<struct<s,e>>: half-open stretches of the reference with aligned bases; deletions and skips part them."""
-    begin = F.struct(pos0.cast("long").alias("at"), F.from_json(F.lit("[]"), "array<struct<s:bigint,e:bigint>>").alias("out"))
+    begin = F.struct(pos0.cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
 
     def step(state: Column, o: Column) -> Column:
         stop = state["at"] + F.when(o["op"].isin(list("MDN=X")), o["len"]).otherwise(F.lit(0).cast("long"))
@@ -100,11 +100,12 @@ def breakend(alt: Column) -> Column:
     (its 5' end), ``]`` to the left (its 3' end).
     """
     pattern = r"^([ACGTNacgtn.]*)([\[\]])([^\[\]:]+):(\d+)[\[\]]([ACGTNacgtn.]*)$"
-    g = [F.regexp_extract(alt, pattern, k) for k in range(6)]
-    ok = g[3] != ""
-    here = F.when(g[1] != "", "3").otherwise("5")
-    there = F.when(g[2] == "[", "5").otherwise("3")
-    return F.struct(F.when(ok, g[3]).alias("chrom"), F.when(ok, g[4].try_cast("long")).alias("pos"), F.when(ok, F.concat(here, F.lit("to"), there)).alias("orientation"))
+    # The pattern is matched once; where it holds, the brackets and the colon part the text.
+    ok, even = alt.rlike(pattern), F.translate(alt, "]", "[")
+    before, place = F.substring_index(even, "[", 1), F.substring_index(F.substring_index(even, "[", 2), "[", -1)
+    here = F.when(before != "", "3").otherwise("5")
+    there = F.when(F.substring_index(alt, "[", 1) == before, "5").otherwise("3")
+    return F.struct(F.when(ok, F.substring_index(place, ":", 1)).alias("chrom"), F.when(ok, F.substring_index(place, ":", -1).try_cast("long")).alias("pos"), F.when(ok, F.concat(here, F.lit("to"), there)).alias("orientation"))
 
 
 def short_id(prefix: str, text: Column, digits: int) -> Column:

@@ -395,10 +395,10 @@ def q_alignment_fields(spark: SparkSession, d: str) -> DataFrame:
     """CIGARs, SA tags and ALTs written from line items, parsed by the expressions."""
     li = t(spark, d, "lineitem").withColumns({"q": F.floor("l_quantity").cast("long"), "n": F.col("l_linenumber").cast("long")})
     cigar = F.concat(F.col("n").cast("string"), F.lit("S"), F.col("q").cast("string"), F.lit("M"), F.col("n").cast("string"), F.lit("D"), F.lit("7M5H"))
-    ops = operations(cigar)
     sa = F.concat(F.lit("chr"), F.col("n").cast("string"), F.lit(","), F.col("l_orderkey").cast("string"), F.lit(",+,30M70S,"), F.col("q").cast("string"), F.lit(",0;bad,1,+;"))
     alt = F.concat(F.lit("N["), F.lit("chr"), F.col("n").cast("string"), F.lit(":"), F.col("l_orderkey").cast("string"), F.lit("["))
-    seg = segments(sa)
+    # Columns of their own, so that each text is read once.
+    li, ops, seg = li.withColumns({"ops": operations(cigar), "seg": segments(sa)}), F.col("ops"), F.col("seg")
     x = li.select("l_orderkey", "n", reference_length(ops).alias("ref_len"), clips(ops, "SH").alias("c"), overlap(blocks(F.col("l_orderkey"), ops), F.col("l_orderkey") + 5, F.col("l_orderkey") + 30).alias("inside"), F.size(seg).alias("segs"), F.get(seg, F.lit(0)).alias("s"), breakend(alt).alias("b"))
     return x.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "n", "ref_len", F.col("c.left").alias("clip_left"), F.col("c.right").alias("clip_right"), "inside", F.col("segs").cast("long").alias("segs"), F.col("s.pos").alias("sa_pos"), F.col("s.mapq").cast("long").alias("sa_mapq"), F.col("b.chrom").alias("alt_chrom"), F.col("b.pos").alias("alt_pos"), F.col("b.orientation").alias("orientation"), flipped(F.col("b.orientation")).alias("flipped"))
 
